@@ -50,8 +50,7 @@ def find_splitters(light: DataFrame, targets: list[float], slack: float) -> list
     shift = 64
     unsigned = F.col("key").bitwiseXOR(F.lit(lowest))
     while open_:
-        shift = max(0, shift - LEVEL_BITS)
-        below = min(64, shift + LEVEL_BITS)
+        below, shift = shift, max(0, shift - LEVEL_BITS)
         rows = light
         if below < 64:
             prefixes = sorted({p for p, _ in open_.values()})
