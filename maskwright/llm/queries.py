@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import exact_dedup, sharding, token_counts, toxicity
+from maskwright.llm import exact_dedup, fingerprints, near_dedup, secrets, sharding, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
