@@ -8,9 +8,10 @@
 3. Bands of ROWS coordinates are buckets. There are enough bands that a pair at the threshold misses all of them
    with a chance below MISS. Each member of a bucket is compared with the bucket's smallest id, never all with
    all; the links that hold give a first set of components.
-4. Members of one bucket that are still in different components are compared as well (the members outside the
-   bucket's largest component with all others), so no link between candidates is lost. A bucket inside one
-   component, as every large group of near copies is, causes no work here.
+4. Members of buckets that still hold several components are searched for further links with a prefix filter over
+   their whole sets: shingles ordered from the rarest, two sets above the threshold must share one among the first
+   few, at places that leave room for the overlap they need. Only pairs of different components that pass are
+   compared, so a large group of near copies causes no pairs of its own, and no link between candidates is lost.
 5. Components are the smallest id reachable over all links, by repeated shortcutting until nothing changes.
 
 Every comparison uses the whole sets. Candidates' sets are rebuilt from their texts, which move once.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,9 +250,7 @@ def near_groups(
     links = materialize(_linked(star, sets, percent), "links")
     first = materialize(components(links), "first")
 
-    rest = materialize(
-        _rest(crowded, first, percent).join(star, ["a", "b"], "left_anti"), "rest"
-    )
+    rest = materialize(_rest(crowded, first, sets, percent), "rest")
     more = materialize(_linked(rest, sets, percent), "more")
     final = components(links.unionByName(more)) if more.limit(1).count() else first
     roots = materialize(final, "final")
@@ -281,34 +280,45 @@ def _first_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("text").alias("text")) if again else rows
 
 
-def _rest(crowded: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members in different components, within reach of the threshold.
-
-    One side is never of the bucket's largest component, so a bucket costs its outsiders times its members.
-    """
-    known = crowded.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
-        "band", "bucket", "rep", "n_shingles", F.coalesce("root", "rep").alias("root")
-    )
-    known = materialize(known, "known")
-    per_root = known.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    per_bucket = materialize(
-        per_root.groupBy("band", "bucket")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", "n").alias("major"))
-        .filter("parts > 1")
-        .select("band", "bucket", "major"),
-        "mixed",
+def _rest(crowded: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that may reach the threshold, among members of buckets with several."""
+    rooted = crowded.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
+        "band", "bucket", F.col("rep").alias("id"), F.coalesce("root", "rep").alias("root")
     )
-    split = materialize(known.join(per_bucket, ["band", "bucket"]), "split")
-    outside = split.filter("root <> major").select(
-        "band", "bucket", "major", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx")
+    rooted = materialize(rooted, "rooted")
+    mixed = rooted.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    mixed = materialize(mixed.select("band", "bucket"), "mixed")
+    open_ = rooted.join(mixed, ["band", "bucket"]).select("id", "root").distinct()
+    own = materialize(sets.join(open_, "id"), "open")
+
+    # places of the shingles that other sets have too, ordered from the rarest; the others come first
+    each = own.select("id", "root", F.size("s").cast("long").alias("n"), F.explode("s").alias("g"))
+    shared = materialize(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "common")
+    by_doc = Window.partitionBy("id")
+    placed = each.join(shared, "g").select(
+        "id",
+        "root",
+        "n",
+        "g",
+        (F.col("n") - F.count(F.lit(1)).over(by_doc) + F.row_number().over(by_doc.orderBy("f", "g")) - 1).alias("at"),
     )
-    inside = split.select("band", "bucket", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n_shingles").alias("ny"))
-    pairs = outside.join(inside, ["band", "bucket"]).filter(
-        (F.col("rx") != F.col("ry"))
-        & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y")))
-        & _may_link("nx", "ny", percent)
+    least = F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9))
+    prefix = materialize(placed.filter(F.col("at") <= F.col("n") - least), "prefix")
+
+    # one side is never of the component that has most of a shingle's rows
+    per_root = prefix.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"))
+    per_g = per_root.groupBy("g").agg(F.max_by("root", "c").alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    split = materialize(prefix.join(materialize(per_g.select("g", "major"), "major"), "g"), "split")
+    x = split.filter("root <> major").select("g", "major", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")])
+    y = split.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "root", "n", "at")])
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    pairs = x.join(y, "g").filter(
+        (F.col("root_x") != F.col("root_y"))
+        & ((F.col("root_y") == F.col("major")) | (F.col("id_x") < F.col("id_y")))
+        & _may_link("n_x", "n_y", percent)
+        & ((100 + percent) * room >= percent * (F.col("n_x") + F.col("n_y")))
     )
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

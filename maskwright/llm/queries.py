@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import exact_dedup, fingerprints, near_dedup, secrets, sharding, token_counts, toxicity
+from maskwright.llm import (
+    exact_dedup,
+    fingerprints,
+    mixing,
+    near_dedup,
+    packing,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +53,32 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing queries: low (quality 0) and high (quality 1)."""
+    return labels.select(
+        F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high").alias("domain")
+    )
+
+
+TARGETS = {"low": 0.05, "high": 0.95}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rates = mixing.mixing_rates(docs, quality_domains(_table(spark, sf_dir, "labels")), TARGETS)
+    return rates.select(
+        F.col("id").alias("doc_id"),
+        F.col("tokens").alias("n_tokens"),
+        *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)],
+        "rate",
+        "copies",
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.derive(warc.responses(_table(spark, sf_dir, "pages"))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=1024)
 
@@ -63,13 +100,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_next(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op9_fingerprints": op9_fingerprints,
+    "op10_packing": op10_packing,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
