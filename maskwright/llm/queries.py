@@ -46,7 +46,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, where that package is installed."""
     import public_tokenizers
 
@@ -80,7 +80,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=1024)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048)
 
 
 QUERIES = {
