@@ -2,5 +2,347 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from maskwright.functions import checks
+from maskwright.functions import detectors as D
+from maskwright.functions.lexicon import ACRONYM_EXCLUSIONS
+from maskwright.functions.spans import arbitrate, substitute
+from maskwright.operators import detect as ops
+from maskwright.operators import language, mapping, quality
+from maskwright.scratch import local_rows
+from maskwright.sources import pages as page_source
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle if SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _spans(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
+    rows = docs.select(key, F.explode(found).alias("s"))
+    return rows.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.category").alias("category"), F.col("s.text").alias("text"))
+
+
+def _spans_sql(pattern: str, category: str, keep: str = "true", table: str = "documents", key: str = "doc_id", column: str = "text") -> str:
+    """Offsets of matches: lengths of the gaps and matches before each."""
+    p = pattern.replace("'", "''")
+    return f"""
+    WITH m AS (
+      SELECT {key}, regexp_extract_all({column}, '{p}') AS ms, regexp_split_to_array({column}, '{p}') AS gaps FROM {table}
+      WHERE regexp_matches({column}, '{p}')
+    ), e AS (SELECT {key}, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM m), s AS (
+      SELECT {key}, ms[i] AS t, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS a
+      FROM e
+    )
+    SELECT {key}, a AS "start", CAST(a + length(t) AS INTEGER) AS "end", '{category}' AS category, t AS text FROM s WHERE {keep}"""
+
+
+_DIGITS = "length(regexp_replace(t, '[^0-9]', '', 'g'))"
+_LUHN = """(list_sum(list_transform(range(1, {n} + 1), lambda i:
+    CASE WHEN ({n} - i) % 2 = 0 THEN CAST(substr({d}, i, 1) AS INTEGER)
+         ELSE (2 * CAST(substr({d}, i, 1) AS INTEGER)) // 10 + (2 * CAST(substr({d}, i, 1) AS INTEGER)) % 10 END)) % 10 = 0)""".format(
+    n=_DIGITS, d="regexp_replace(t, '[^0-9]', '', 'g')"
+)
+
+
+@query(_spans_sql(D.EMAIL, "EMAIL"))
+def email_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.email(F.col("text")))
+
+
+@query(_spans_sql(D.PHONE, "PHONE", f"{_DIGITS} BETWEEN 9 AND 15"))
+def phone_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.phone(F.col("text")))
+
+
+@query(_spans_sql(r"\b(?:\d[ -]?){13,19}\b", "CREDIT_CARD", f"{_DIGITS} BETWEEN 13 AND 19 AND {_LUHN}"))
+def card_spans_luhn(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.card(F.col("text")))
+
+
+@query(_spans_sql("[0-9A-Za-z*•_]+", "MASKED_ID", "regexp_matches(t, '[*xX•_]{2}') AND length(regexp_replace(t, '[*xX•_]', '', 'g')) >= 4"))
+def masked_id_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.masked_id(F.col("text")))
+
+
+_EXCLUDED_SQL = ", ".join(f"'{w}'" for w in ACRONYM_EXCLUSIONS)
+
+
+@query(_spans_sql(r"\b[A-Z]{2,}\b", "COMPANY", f"t NOT IN ({_EXCLUDED_SQL})"))
+def acronym_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.acronym(F.col("text")))
+
+
+_DATE_SQL = (
+    r"\b(?:\d{4}[.\-/]\d{2}[.\-/]\d{2}(?:[ \t]+\d{2}:\d{2}(?::\d{2})?)?|\d{2}[.\-/]\d{2}[.\-/]\d{4}(?:[ \t]+\d{2}:\d{2}(?::\d{2})?)?"
+    r"|\d{2}:\d{2}:\d{2})\b"
+)
+
+
+@query(_spans_sql(_DATE_SQL, "SHIELD"))
+def date_shields(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.date_time(F.col("text")))
+
+
+@query(_spans_sql(D.EMAIL, "EMAIL", table="pages", key="page_id", column="html"))
+def html_pages_email_spans(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    return _spans(rows, D.email(F.col("text")), "page_id")
+
+
+RULES = [
+    {"term_or_pattern": "the", "is_regex": False, "replacement_type": "FIXED", "target_category": None},
+    {"term_or_pattern": r"[a-z]+tion", "is_regex": True, "replacement_type": "CATEGORY", "target_category": "PROJECT"},
+]
+
+
+@query(_spans_sql("the", "CUSTOM") + " UNION ALL " + f"SELECT * FROM ({_spans_sql('[a-z]+tion', 'PROJECT')})")
+def dictionary_spans(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), D.dictionary(F.col("text"), RULES))
+
+
+@query(
+    f"""WITH a AS ({_spans_sql(D.EMAIL, "EMAIL")}), b AS ({_spans_sql(r"[a-z]+tion", "PROJECT")})
+    SELECT a.doc_id, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end
+    FROM a JOIN b ON a.doc_id = b.doc_id AND a."start" < b."end" AND b."start" < a."end" """
+)
+def span_overlap_pairs(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    both = docs.select("doc_id", D.email(F.col("text")).alias("a"), D.dictionary(F.col("text"), RULES[1:]).alias("b"))
+    pairs = both.select("doc_id", F.explode("a").alias("a"), "b").select("doc_id", "a", F.explode("b").alias("b"))
+    pairs = pairs.filter((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
+    return pairs.select("doc_id", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("start", "end")])
+
+
+def _two_kinds(docs: DataFrame) -> DataFrame:
+    """Emails and card numbers, arbitrated in the expression."""
+    t = F.col("text")
+    return docs.withColumn("spans", arbitrate(F.concat(D.email(t), D.card(t))))
+
+
+_TWO_SQL = f"""WITH RECURSIVE c AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start" - "end", "start", category DESC) AS k FROM (
+        SELECT * FROM ({_spans_sql(D.EMAIL, "EMAIL")}) UNION ALL
+        SELECT * FROM ({_spans_sql(r"\b(?:\d[ -]?){13,19}\b", "CREDIT_CARD", f"{_DIGITS} BETWEEN 13 AND 19 AND {_LUHN}")}))
+    ), r AS (
+      SELECT doc_id, k, [{{'a': "start", 'z': "end"}}] AS kept, true AS taken, "start", "end", category, text FROM c WHERE k = 1
+      UNION ALL
+      SELECT c.doc_id, c.k, CASE WHEN x.free THEN list_append(r.kept, {{'a': c."start", 'z': c."end"}}) ELSE r.kept END, x.free,
+             c."start", c."end", c.category, c.text
+      FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.k + 1,
+      LATERAL (SELECT len(list_filter(r.kept, lambda s: s.a < c."end" AND c."start" < s.z)) = 0 AS free) x
+    ), w AS (SELECT doc_id, "start", "end", category, text FROM r WHERE taken)"""
+
+
+@query(_TWO_SQL + ' SELECT doc_id, "start", "end", category, text FROM w')
+def arbitrated_spans(spark, sf_dir):
+    return _spans(_two_kinds(_docs(spark, sf_dir)), F.col("spans"))
+
+
+_MAPPING_SQL = (
+    _TWO_SQL
+    + """, f AS (
+      SELECT doc_id, text AS original_text, arg_min(category, "start") AS category, min("start") AS first_start, count(*) AS n FROM w GROUP BY doc_id, text
+    ), p AS (
+      SELECT doc_id, original_text, category, n,
+             '[[' || category || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, category ORDER BY first_start) AS VARCHAR), 3, '0') || ']]' AS placeholder
+      FROM f
+    )"""
+)
+
+
+def _two_table(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return mapping.mapping_table(rows, ["doc_id"])
+
+
+@query(_MAPPING_SQL + " SELECT doc_id, original_text, category, placeholder, n AS n_occurrences FROM p")
+def mapping_table(spark, sf_dir):
+    return _two_table(_two_kinds(_docs(spark, sf_dir))).drop("enabled")
+
+
+@query(
+    _MAPPING_SQL
+    + """, o AS (
+      SELECT w.doc_id, list(struct_pack(a := w."start", z := w."end", p := p.placeholder) ORDER BY w."start") AS os
+      FROM w JOIN p ON p.doc_id = w.doc_id AND p.original_text = w.text GROUP BY w.doc_id
+    )
+    SELECT d.doc_id, CASE WHEN o.os IS NULL THEN d.text ELSE
+      list_aggregate(list_transform(range(1, len(o.os) + 1), lambda i:
+        substr(d.text, CASE WHEN i = 1 THEN 1 ELSE o.os[i-1].z + 1 END, o.os[i].a - CASE WHEN i = 1 THEN 0 ELSE o.os[i-1].z END) || o.os[i].p), 'string_agg', '')
+      || substr(d.text, o.os[len(o.os)].z + 1) END AS masked
+    FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id"""
+)
+def masked_text(spark, sf_dir):
+    docs = _two_kinds(_docs(spark, sf_dir))
+    table = _two_table(docs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("original_text", "placeholder"))).alias("put"))
+    spots = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("put", s["text"]).alias("put")))
+    joined = docs.join(table, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("put").isNull(), F.col("text")).otherwise(substitute(F.col("text"), spots)).alias("masked"))
+
+
+@query(_MAPPING_SQL + " SELECT category, count(*) AS n_mappings FROM p GROUP BY category")
+def category_counts(spark, sf_dir):
+    return mapping.category_counts(_two_table(_two_kinds(_docs(spark, sf_dir))))
+
+
+@query(_MAPPING_SQL + " SELECT category, count(*) AS n_enabled, CAST(0 AS BIGINT) AS n_disabled FROM p GROUP BY ROLLUP (category)")
+def mapping_summary(spark, sf_dir):
+    return mapping.summary(_two_table(_two_kinds(_docs(spark, sf_dir))))
+
+
+@query()
+def detected_spans(spark, sf_dir):
+    """All rules in one pass."""
+    return ops.exploded(ops.detect(_docs(spark, sf_dir)), ["doc_id"])
+
+
+@query()
+def masked_documents(spark, sf_dir):
+    """All rules, mappings and masked text in one pass."""
+    return ops.mask(_docs(spark, sf_dir)).select("doc_id", "masked", F.size("mappings").alias("n_mappings"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def restored_documents(spark, sf_dir):
+    """What masking took out comes back; names, whose spellings are merged, are left out."""
+    return ops.restored(ops.mask(_docs(spark, sf_dir), settings={"NAME": False})).select("doc_id", F.col("result.text").alias("text"))
+
+
+@query()
+def masked_pages(spark, sf_dir):
+    """Pages as text, masked."""
+    pages = page_source.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return ops.mask(pages).select("page_id", "masked")
+
+
+# Inline cases of the check digits: the tables hold none.
+_IDS = ["12345678Z", "12345678A", "X1234567L", "Y7654321G", "76.123.312-M", "1234", ""]
+_IBANS = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "GB29NWBK60161331926819", "ES9121000418450200051333", "XX00"]
+_CIFS = ["B12345674", "A58818501", "Q2826000H", "B12345675", "K1234567L", "ESB12345674", ""]
+_NIFS = ["501442600", "123456789", "501442601", "12345678", "999999990"]
+
+
+def _values(spark, values: list[str]) -> DataFrame:
+    return local_rows(spark, [(v,) for v in values], "value string")
+
+
+def _values_sql(values: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ") AS t(value)"
+
+
+@query(
+    f"""SELECT value, coalesce(CASE WHEN regexp_full_match(n, '[XYZ0-9][0-9]{{7}}[A-Z]')
+        THEN substr('{checks.ID_LETTERS}', CAST(translate(substr(n, 1, 8), 'XYZ', '012') AS INTEGER) % 23 + 1, 1) = substr(n, 9, 1) END, false) AS valid
+    FROM (SELECT value, upper(regexp_replace(value, '[\\s.-]', '', 'g')) AS n FROM {_values_sql(_IDS)})"""
+)
+def dni_check(spark, sf_dir):
+    return _values(spark, _IDS).select("value", checks.identity_col(F.col("value")).alias("valid"))
+
+
+@query(
+    f"""SELECT value, regexp_full_match(n, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+') AND CAST(array_to_string(list_transform(string_split(substr(n, 5) || substr(n, 1, 4), ''),
+        lambda c: CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS HUGEINT) % 97 = 1 AS valid
+    FROM (SELECT value, replace(value, ' ', '') AS n FROM {_values_sql(_IBANS)})"""
+)
+def iban_check(spark, sf_dir):
+    return _values(spark, _IBANS).select("value", checks.iban_col(F.col("value")).alias("valid"))
+
+
+def _nth(i: int) -> str:
+    return f"CAST(substr(n, {i}, 1) AS INTEGER)"
+
+
+_CONTROL = "(10 - (" + " + ".join([_nth(i) for i in (3, 5, 7)] + [f"(2 * {_nth(i)}) // 10 + (2 * {_nth(i)}) % 10" for i in (2, 4, 6, 8)]) + ") % 10) % 10"
+
+
+@query(
+    f"""SELECT value, CASE WHEN NOT regexp_full_match(n, '[ABCDEFGHJNPQRSUVW][0-9]{{7}}[A-Z0-9]') THEN false
+      WHEN substr(n, 1, 1) IN ('K','P','Q','R','S','N','W') THEN substr('{checks.CIF_LETTERS}', {_CONTROL} + 1, 1) = substr(n, 9, 1)
+      WHEN substr(n, 1, 1) IN ('A','B','E','H') THEN CAST({_CONTROL} AS VARCHAR) = substr(n, 9, 1)
+      ELSE CAST({_CONTROL} AS VARCHAR) = substr(n, 9, 1) OR substr('{checks.CIF_LETTERS}', {_CONTROL} + 1, 1) = substr(n, 9, 1) END AS valid
+    FROM (SELECT value, upper(value) AS n FROM {_values_sql(_CIFS)})"""
+)
+def cif_check(spark, sf_dir):
+    return _values(spark, _CIFS).select("value", checks.cif_col(F.col("value")).alias("valid"))
+
+
+_NIF_SUM = " + ".join(f"{_nth(i + 1)} * {9 - i}" for i in range(8))
+
+
+@query(
+    f"""SELECT value, CASE WHEN regexp_full_match(n, '[0-9]{{9}}') THEN
+      CASE WHEN 11 - ({_NIF_SUM}) % 11 >= 10 THEN 0 ELSE 11 - ({_NIF_SUM}) % 11 END = {_nth(9)} ELSE false END AS valid
+    FROM (SELECT value, value AS n FROM {_values_sql(_NIFS)})"""
+)
+def nif_check(spark, sf_dir):
+    return _values(spark, _NIFS).select("value", checks.nif_pt_col(F.col("value")).alias("valid"))
+
+
+@query(
+    """SELECT doc_id, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(source, ''), lambda c: CAST(unicode(c) AS UBIGINT))),
+       lambda h, c: (xor(h, c) * 16777619::UBIGINT) % 4294967296::UBIGINT) AS BIGINT) AS seed FROM documents"""
+)
+def fnv1a_hash(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", checks.fnv1a_col(F.col("source")).alias("seed"))
+
+
+QUERIES["lang_scores"], ORACLES["lang_scores"] = language.lang_scores_query, language.LANG_SCORES_SQL
+QUERIES["coverage_union"], ORACLES["coverage_union"] = quality.coverage_query, quality.COVERAGE_SQL
+QUERIES["score_outcomes"], ORACLES["score_outcomes"] = quality.outcomes_query, quality.OUTCOMES_SQL
+
+
+@query(
+    """WITH RECURSIVE n(name, tokens) AS (VALUES ('Ana Prieto Casal', ['ana','prieto','casal']), ('Ana Prieto', ['ana','prieto']),
+      ('Prieto Casal', ['prieto','casal']), ('Ana Gómez', ['ana','gomez']), ('Gómez', ['gomez'])),
+    e AS (SELECT a.name AS x, b.name AS y FROM n a, n b WHERE a.name <> b.name
+          AND ((len(a.tokens) >= 2 AND list_has_all(b.tokens, a.tokens)) OR (len(b.tokens) >= 2 AND list_has_all(a.tokens, b.tokens)))),
+    r AS (SELECT name AS x, name AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+    SELECT x AS name, arg_max(y, length(y)) AS canonical FROM r GROUP BY x"""
+)
+def name_cluster_components(spark, sf_dir):
+    from maskwright.functions.names import cluster_names
+
+    names = ["Ana Prieto Casal", "Ana Prieto", "Prieto Casal", "Ana Gómez", "Gómez"]
+    return local_rows(spark, list(cluster_names(names).items()), "name string, canonical string")
+
+
+@query(
+    """SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS last_turn, count(*) AS n_turns FROM conversations GROUP BY conv_id"""
+)
+def latest_turns(spark, sf_dir):
+    """The latest revision of each conversation wins."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n_turns"))
+
+
+@query(
+    """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS counter,
+       '[[V1_' || upper(md5(source)) || '_CUSTOM_' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) || ']]' AS token FROM documents"""
+)
+def minted_tokens(spark, sf_dir):
+    """Stable tokens counted within a scope."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = docs.select("doc_id", "source", n.cast("long").alias("counter"))
+    return rows.withColumn("token", F.format_string("[[V1_%s_CUSTOM_%d]]", F.upper(F.md5("source")), "counter"))
