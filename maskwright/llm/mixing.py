@@ -151,15 +151,21 @@ def fit_rates(member: DataFrame, targets: list[float], least: float = 0.0, budge
     size = 1 / _largest_eigenvalue(gram)
     steps: list[list[float]] = []
     reached = [s * max(1.0, least) for s in shares]
-    for _ in range(ROUNDS):
+    best = (math.inf, 0, reached)
+    for _ in range(ROUNDS + 1):
         off = [a - w for a, w in zip(reached, wanted)]
-        if max(abs(x) for x in off) <= CLOSE * budget:
+        worst = max(abs(x) for x in off)
+        best = min(best, (worst, len(steps), reached))
+        if worst <= CLOSE * budget or len(steps) == ROUNDS:
             break
         steps.append([size * x * c for x, c in zip(off, scale)])
         rate = rate_of(steps, least)
         sums = member.select(*[(rate * t * p[i]).alias(f"x{i}") for i in range(k)]).agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
         reached = [(sums[f"x{i}"] or 0.0) / total for i in range(k)]
-    return steps, reached
+        # the next step's length fits the curvature along this one (Barzilai and Borwein)
+        bend = sum(off[i] * scale[i] * gram[i][j] / scale[i] * scale[j] * off[j] for i in range(k) for j in range(k))
+        size = sum(x * x * c for x, c in zip(off, scale)) / bend if bend > 0 else size
+    return steps[: best[1]], best[2]
 
 
 def copies_of(rate: Column, id_col: Column) -> Column:
