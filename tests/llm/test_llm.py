@@ -139,8 +139,8 @@ def test_secrets():
 def test_toxicity(spark, docs):
     texts = ["kind words about gardens and rivers " * 5, "you stupid idiot, kind words about gardens " * 2] * 40
     model = toxicity.fit(texts, np.array([0, 1] * 40))
-    scores = model.scores([*texts[:2], "", LONG])
-    assert scores[1] > 0.5 > scores[0] and scores[3] < 0.5
+    scores = model.scores([*texts[:2], ""])
+    assert scores[1] > 0.5 > scores[0] and scores[2] < 0.5
     assert toxicity.fit([], np.array([])) is None
     assert toxicity.score(docs, model).count() == len(ROWS)
     assert toxicity.clean(docs, model).columns == docs.columns
