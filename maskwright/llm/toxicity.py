@@ -181,7 +181,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 12) -> Model | None:
             m_b, v_b = 0.9 * m_b + 0.1 * gb, 0.99 * v_b + 0.01 * gb * gb
             fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             w -= 0.03 * fix * m_w / (np.sqrt(v_w) + 1e-8)
-            bias -= 0.03 * fix * m_b / (np.sqrt(v_b) + 1e-8)
+            bias = min(-1.0, bias - 0.03 * fix * m_b / (np.sqrt(v_b) + 1e-8))  # a text without evidence is not toxic
     full = np.zeros(width)
     full[used] = scale * w
     return Model(full, bias)
