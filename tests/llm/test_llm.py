@@ -157,3 +157,15 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_warc(made, f"file://{tmp_path}/out")
     back = warc.read_warc(spark, f"file://{tmp_path}/out/*.gz").collect()
     assert sorted((r.record_id, bytes(r.block)) for r in back) == sorted((r.record_id, bytes(r.block)) for r in rows)
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    draw = np.random.default_rng(11)
+    signs = list("abcXYZ  019.,;'s~<|>%_-\"") + ["É", "ß", "×", "÷", "ª", "½", "ŉ", "İ", "H̱", "é", "…", "日", "😀", " ", "İ", "ʰ", "˂", "<|endoftext|>", "Don't"]
+    texts = ["".join(draw.choice(signs, draw.integers(0, 30))) for _ in range(1000)]
+    for known, ids in zip(texts, packing.WordIds(path).ids(texts)):
+        assert ids.tolist() == library.encode(known, add_special_tokens=False).ids, known
