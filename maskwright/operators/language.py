@@ -58,3 +58,35 @@ w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS wor
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, lang, round(sum(weight * n), 6) AS score, CAST(sum(n) AS BIGINT) AS n_matches FROM c JOIN t USING (word) GROUP BY doc_id, lang
 """
+
+
+# What a decision needs.
+LEAST_WORDS, LEAST_MATCHES, LEAST_SCORE, LEAD = 20, 3, 6.0, 1.25
+
+
+def decide(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, language: the best-scored language of each text with enough evidence and a clear lead, else null.
+
+    A tie goes to no language, since neither leads. Only texts with any known word give a row.
+    """
+    words = F.size(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
+    scores = lang_scores(docs, keys, text_col)
+    best = F.reverse(F.array_sort(F.collect_list(F.struct("score", "n_matches", "lang")))).alias("best")
+    ranked = scores.groupBy(*keys).agg(best).join(docs.select(*keys, words), keys)
+    first, second = F.col("best")[0], F.coalesce(F.get("best", F.lit(1))["score"], F.lit(0.0))
+    enough = (F.col("n_words") >= LEAST_WORDS) & (first["n_matches"] >= LEAST_MATCHES) & (first["score"] >= LEAST_SCORE)
+    return ranked.select(*keys, F.when(enough & (first["score"] > LEAD * second), first["lang"]).alias("language"))
+
+
+def lang_decision_query(spark, sf_dir: str) -> DataFrame:
+    return decide(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+
+
+LANG_DECISION_SQL = f"""
+WITH s AS ({LANG_SCORES_SQL}), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n_matches DESC, lang DESC) AS k FROM s
+)
+SELECT a.doc_id, CASE WHEN len(regexp_extract_all(lower(d.text), '\\p{{L}}+')) >= {LEAST_WORDS} AND a.n_matches >= {LEAST_MATCHES}
+  AND a.score >= {LEAST_SCORE} AND a.score > {LEAD}::DOUBLE * coalesce(b.score, 0) THEN a.lang END AS language
+FROM r a LEFT JOIN r b ON b.doc_id = a.doc_id AND b.k = 2 JOIN documents d ON d.doc_id = a.doc_id WHERE a.k = 1
+"""

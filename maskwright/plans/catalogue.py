@@ -308,6 +308,7 @@ def fnv1a_hash(spark, sf_dir):
 
 
 QUERIES["lang_scores"], ORACLES["lang_scores"] = language.lang_scores_query, language.LANG_SCORES_SQL
+QUERIES["lang_decision"], ORACLES["lang_decision"] = language.lang_decision_query, language.LANG_DECISION_SQL
 QUERIES["coverage_union"], ORACLES["coverage_union"] = quality.coverage_query, quality.COVERAGE_SQL
 QUERIES["score_outcomes"], ORACLES["score_outcomes"] = quality.outcomes_query, quality.OUTCOMES_SQL
 
