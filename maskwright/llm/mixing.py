@@ -211,5 +211,7 @@ def apply_rates(
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     keyed = whole.select("__row", F.col(f"__row.`{id_col}`").alias("__id"), F.col(f"__row.`{text_col}`").alias("__text"))
     times = copies_of(rate_of(steps, least), F.col("__id"))
-    scored = with_posterior(keyed, F.col("__text"), model).select("__row", times.alias("__times")).filter("__times > 0")
-    return scored.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).select("__row.*")
+    scored = with_posterior(keyed, F.col("__text"), model)
+    # a condition on the copies below the generator would work out the posterior anew for every step of the rate
+    repeated = scored.select("__row", F.explode_outer(F.array_repeat(F.lit(1), times)).alias("__n"))
+    return repeated.filter(F.col("__n").isNotNull()).select("__row.*")
