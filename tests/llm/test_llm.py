@@ -121,7 +121,9 @@ def test_mixing(spark, docs, empty):
     total = sum(r.tokens for r in got)
     share = sum(r.tokens * r.rate * r.posterior[0] for r in got) / total
     assert abs(share - 0.5) < 1e-2
-    assert mixing.apply_rates(docs, labels, {"p": 0.5, "q": 0.5}).columns == docs.columns
+    out = mixing.apply_rates(docs, labels, {"p": 0.5, "q": 0.5}, least=0.0)
+    assert out.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.id) for r in got for _ in range(r.copies))
     assert mixing.mixing_rates(empty, labels, {"p": 0.5, "q": 0.5}).count() == 0
 
 
