@@ -7,8 +7,8 @@ the count at a candidate is within the tolerance. Then rows move once, to their
 
 Texts whose copies together weigh more than the tolerance times a shard are placed beforehand, largest first, on
 the lightest shard (at most shards / tolerance such texts exist, so their list is bounded); the splitters fill
-what each shard has left. Copies of one text share a shard, save a group heavier than a whole shard, which is
-dealt over several by a hash of the id.
+what each shard has left. Copies of one text share a shard, save a group heavier than a whole shard: its rows are
+numbered without gaps and each of its shards takes one run of numbers, equally many to a row.
 
 Defined results: a null text has no bytes and the group of the empty text; null ids share the hash of null;
 repeated rows each take a slot; an empty table gives an empty result; other columns are ignored.
@@ -36,6 +36,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -120,28 +121,63 @@ def shard_by_bytes(
 
     # at most shards / tolerance rows, whatever the input's size
     spark = docs.sparkSession
-    homes = [(k, [i]) for k, i in placed.items()] + list(spread.items())
-    lookup = local_rows(spark, homes, "key long, homes array<int>")
-    marked = rows.join(F.broadcast(lookup), "key", "left")
+    lookup = local_rows(spark, [(k, placed.get(k)) for k in [*placed, *spread]], "key long, home int")
     light = rows.join(F.broadcast(lookup), "key", "left_anti").select("key", "size")
     keys = find_splitters(light, targets, tolerance * share / 4) if light_total else [0] * (shards - 1)
     passed = sum((F.when(F.col("key") >= F.lit(k), 1).otherwise(0) for k in keys), F.lit(0))
-    own = F.element_at("homes", (F.pmod(F.xxhash64("doc_id", "size"), F.size("homes")) + 1).cast("int"))
-    sharded = marked.select(
-        "doc_id", "size", "text_crc32", "key", F.coalesce(own, passed).cast("int").alias("shard")
+    whole = rows.filter(~F.col("key").isin(list(spread))) if spread else rows
+    sharded = whole.join(F.broadcast(lookup), "key", "left").select(
+        "doc_id", "size", "text_crc32", "key", F.coalesce("home", passed).cast("int").alias("shard"), F.lit(None).cast("long").alias("number")
     )
+    if spread:
+        sharded = sharded.unionByName(dealt(rows, spread))
     return with_slots(sharded, shards)
 
 
+def dealt(rows: DataFrame, spread: dict[int, list[int]], parts: int = PARTS) -> DataFrame:
+    """The rows of the groups in spread with their number in the group, and the shard whose run holds that number.
+
+    Groups are numbered in parts dealt by a hash of the id, `parts` for each of their shards, whose sizes are summed
+    first. An id that alone outweighs a part (null, or repeated) follows in parts of its own, dealt by the written
+    row number: its rows are the same, so the result does not depend on which of them takes which number.
+    """
+    from pyspark.sql import Window
+
+    spark = rows.sparkSession
+    own = rows.filter(F.col("key").isin(list(spread))).withColumn("id", F.xxhash64("doc_id"))
+    ids = own.groupBy("key", "id").count()
+    total = {r["key"]: r["n"] for r in ids.groupBy("key").agg(F.sum("count").alias("n")).collect()}
+    # at most 2 x shards homes in all, as every group is heavier than a shard; fewer than `parts` ids a home are heavy
+    groups = [(k, homes, parts * len(homes), total[k]) for k, homes in spread.items()]
+    groups = F.broadcast(local_rows(spark, groups, "key long, homes array<int>, parts int, total long"))
+    over = ids.join(groups, "key").filter(F.col("count") * F.col("parts") > F.col("total")).orderBy("key", "id").collect()
+    heavy = [(r["key"], r["id"], n, -(-r["count"] * r["parts"] // r["total"])) for n, r in enumerate(over, 1)]
+    heavy = F.broadcast(local_rows(spark, heavy, "key long, id long, turn int, own_parts int"))
+    part = F.when(F.col("turn").isNull(), F.pmod("id", F.col("parts"))).otherwise(F.pmod(F.xxhash64("row"), F.col("own_parts")))
+    own = own.join(groups, "key").join(heavy, ["key", "id"], "left")
+    own = own.withColumn("part", part.cast("int")).withColumn("turn", F.coalesce("turn", F.lit(0)))
+    starts, at = [], dict.fromkeys(spread, 0)
+    for r in own.groupBy("key", "turn", "part").count().orderBy("key", "turn", "part").collect():
+        starts.append((r["key"], r["turn"], r["part"], at[r["key"]]))
+        at[r["key"]] += r["count"]
+    first = local_rows(spark, starts, "key long, turn int, part int, first long")
+    order = Window.partitionBy("key", "turn", "part").orderBy("doc_id", "row")
+    numbered = own.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(first), ["key", "turn", "part"])
+    numbered = numbered.withColumn("number", F.col("first") + F.col("nth"))
+    run = F.expr("number * size(homes) div total")
+    home = F.element_at("homes", (run + 1).cast("int"))
+    return numbered.select("doc_id", "size", "text_crc32", "key", home.alias("shard"), "number")
+
+
 def with_slots(rows: DataFrame, shards: int, parts: int = PARTS) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
-    Every shard is numbered in parts dealt by a hash of the id, whose sizes (shards x parts numbers) are summed
-    first; so no task sorts a whole shard.
+    Every shard is numbered in parts dealt by a hash of the id and of the number in a group that was dealt out, whose
+    sizes (shards x parts numbers) are summed first; so no task sorts a whole shard.
     """
     from pyspark.sql import Window
 
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "number"), F.lit(parts)).cast("int"))
     sizes = {(r["shard"], r["part"]): r["count"] for r in rows.groupBy("shard", "part").count().collect()}
     starts = []
     for shard in range(shards):

@@ -53,6 +53,22 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_bytes(empty, shards=3).count() == 0
 
 
+def test_sharding_deals_a_group_heavier_than_shards_evenly(spark):
+    ids = [None] * 600 + [7] * 600 + list(range(100, 900))
+    rows = [(i, "copy " * 20) for i in ids] + [(i, f"text number {i}") for i in range(1000, 3000)]
+    for given in (rows, rows[::-1]):
+        out = sharding.shard_by_bytes(spark.createDataFrame(given, "doc_id long, text string"), shards=4).collect()
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+        load = [sum(r.size for r in out if r.shard == k) for k in range(4)]
+        assert max(load) <= 1.01 * sum(load) / 4, load
+        for k in range(4):
+            slots = sorted(r.slot for r in out if r.shard == k)
+            assert slots == list(range(len(slots)))
+        hot = sorted((str(r.doc_id), r.shard) for r in out if r.size == 116)
+        assert given is rows or hot == before
+        before = hot
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
