@@ -3,8 +3,11 @@
 A sketch holds the hash of every run of SHINGLE code points whose 32-bit value lies below 2**32 / SCALE. That
 share is the same for all documents, so the sketch of a union is the union of sketches, and the share of one
 sketch found in another estimates how much of one document is contained in the other, however unequal they are.
-A text none of whose hashes lies below keeps its smallest hash; merging keeps that one only while nothing lower
-than the threshold is there, so merged sketches stay the sketches of merged documents.
+A text with fewer than LEAST such hashes keeps its LEAST smallest ones. So each sketch has a limit below which it
+lacks no hash of its text, and two sketches are compared below the lower of their limits only: likeness is always
+an estimate, exact for texts of fewer than LEAST shingles, and containment is not a number where the smaller text
+has no hash there. The smallest hashes of a union are among those of its parts, so merged sketches stay the
+sketches of merged documents.
 
 Defined results: null counts as empty; a text shorter than a shingle is one shingle; an empty text has an empty
 sketch, which is alike to an empty sketch only; documents that share an id stand in the order of their text;
@@ -26,6 +29,7 @@ from maskwright.scratch import local_rows
 
 SHINGLE = 16
 SCALE = 16
+LEAST = 64
 _U = np.uint32
 
 
@@ -50,34 +54,46 @@ def shingle_hashes(points: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str) -> np.ndarray:
-    """Sorted hashes below the threshold, or the smallest one."""
+    """Sorted hashes below the threshold, or the LEAST smallest ones."""
     if not text:
         return np.zeros(0, np.uint32)
     h = shingle_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-    low = h[h < _U((1 << 32) // SCALE)]
-    return np.unique(low) if len(low) else np.array([h.min()], np.uint32)
+    low = np.unique(h[h < _U((1 << 32) // SCALE)])
+    return low if len(low) >= LEAST else np.unique(h)[:LEAST]
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both documents together."""
     both = np.union1d(a, b)
-    low = both[both < _U((1 << 32) // SCALE)]
-    return low if len(low) else both[:1]
+    return both[: max(LEAST, int(np.searchsorted(both, (1 << 32) // SCALE)))]
+
+
+def limit(s: np.ndarray) -> int:
+    """The value below which the sketch has every hash of its text."""
+    return 1 << 32 if len(s) < LEAST else max((1 << 32) // SCALE, int(s[-1]) + 1)
+
+
+def comparable(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How many hashes each sketch, and both, have below the lower limit."""
+    top = min(limit(a), limit(b))
+    a, b = a[: np.searchsorted(a, top)], b[: np.searchsorted(b, top)]
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller document's shingles that the other has."""
+    """Estimated share of the smaller document's shingles that the other has; nan where no hash can tell."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    own, other, both = comparable(a, b)
+    return both / min(own, other) if min(own, other) else float("nan")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard similarity, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    own, other, both = comparable(a, b)
+    return both / (own + other - both)
 
 
 def written(s: np.ndarray) -> str:

@@ -98,6 +98,21 @@ def test_fingerprints(docs):
     assert by[6].fingerprint == by[5].fingerprint
 
 
+def test_fingerprints_of_short_texts_are_compared_where_both_are_complete():
+    draw = np.random.default_rng(5)
+    texts = ["".join(draw.choice(list("abcdefgh "), 45)) for _ in range(60)]
+    runs = lambda t: {t[i : i + 16] for i in range(len(t) - 15)}
+    for one, following in zip(texts, texts[1:]):
+        changed = fingerprints.edited(one, following)
+        alike = len(runs(one) & runs(changed)) / len(runs(one) | runs(changed))
+        assert alike > 0 and fingerprints.likeness(fingerprints.sketch(one), fingerprints.sketch(changed)) == alike
+    whole = "|".join(texts * 2)
+    shares = [fingerprints.containment(fingerprints.sketch(t), fingerprints.sketch(whole)) for t in texts]
+    assert all(s == 1.0 or np.isnan(s) for s in shares) and 1.0 in shares
+    merged = fingerprints.merge(fingerprints.sketch(texts[0]), fingerprints.sketch(texts[1]))
+    assert len(merged) == 60 and np.array_equal(fingerprints.merge(merged, fingerprints.sketch(whole)), fingerprints.sketch(whole))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
