@@ -4,21 +4,21 @@
    permutations of the 64-bit integers make all coordinates: sigma scatters the shingle hashes, and coordinate k
    is the least value of pi(sigma(x) - k), the same permutation shifted circularly by k.
 2. Texts with the same set are one class, told apart by a 128-bit digest of the set and its size; a class goes on
-   as its smallest id, so thousands of copies cost one row.
+   as its smallest pair of id and hash of the text, so thousands of copies cost one row.
 3. Bands of ROWS coordinates are buckets. There are enough bands that a pair at the threshold misses all of them
-   with a chance below MISS. Each member of a bucket is compared with the bucket's smallest id, never all with
+   with a chance below MISS. Each member of a bucket is compared with the bucket's smallest pair, never all with
    all; the links that hold give a first set of components.
 4. Members of buckets that still hold several components are searched for further links with a prefix filter over
    their whole sets: shingles ordered from the rarest, two sets above the threshold must share one among the first
    few, at places that leave room for the overlap they need. Only pairs of different components that pass are
    compared, so a large group of near copies causes no pairs of its own, and no link between candidates is lost.
-5. Components are the smallest id reachable over all links, by repeated shortcutting until nothing changes.
+5. Components are the smallest pair reachable over all links, named by its id, by repeated shortcutting until nothing changes.
 
 Every comparison uses the whole sets. Candidates' sets are rebuilt from their texts, which move once.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; a
 text of fewer words than a shingle is one shingle; a null id forms its own component with id null; repeated rows
-share their component; an empty table gives an empty result; other columns are ignored.
+share their component; rows that share an id but not their text are documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,6 +114,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_key", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()),
@@ -123,7 +124,7 @@ SKETCH = T.StructType(
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set size, set digest and band hashes of every row."""
+    """doc_id, text_key, set size, set digest and band hashes of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -143,6 +144,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"],
+                        "text_key": part["text_key"],
                         "n_shingles": np.fromiter(map(len, sets), np.int64, len(sets)),
                         "d1": np.array([d >> 64 for d in digest], np.uint64).view(np.int64),
                         "d2": np.array([d & mask for d in digest], np.uint64).view(np.int64),
@@ -154,7 +156,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """id and whole shingle set of each row."""
+    """id (doc_id and text_key) and whole shingle set of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -162,10 +164,11 @@ def _sets_of(docs: DataFrame, size: int) -> DataFrame:
             for a in range(0, len(batch), 500):
                 part = batch.iloc[a : a + 500]
                 yield pd.DataFrame(
-                    {"id": part["id"], "s": [shingle_set(t, size, words).view(np.int64) for t in part["text"]]}
+                    {"doc_id": part["doc_id"], "text_key": part["text_key"], "s": [shingle_set(t, size, words).view(np.int64) for t in part["text"]]}
                 )
 
-    return docs.mapInPandas(run, "id long, s array<long>")
+    sets = docs.mapInPandas(run, "doc_id long, text_key long, s array<long>")
+    return sets.select(F.struct("doc_id", "text_key").alias("id"), "s")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,11 +222,21 @@ def near_groups(
 
     Links hold where 100 * |A & B| >= percent * |A | B| over sets of `size`-word shingles.
     """
-    given = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    return keyed_groups(docs, size, percent, rows, miss, id_col, text_col).drop("text_key")
+
+
+def text_key(text_col: str) -> str:
+    """SQL of the hash that tells apart the texts of one id."""
+    return f"xxhash64(coalesce(`{text_col}`, ''))"
+
+
+def keyed_groups(docs: DataFrame, size: int, percent: int, rows: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """near_groups with the text_key of each row."""
+    given = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"{text_key(text_col)} as text_key", f"`{text_col}` as text")
     bands = bands_for(percent / 100, rows, miss)
     sketch = materialize(sketches(given, size, bands, rows), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.any_value("bands").alias("bands"))
     members = materialize(
         classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket")), "members"
     )
@@ -244,9 +257,9 @@ def near_groups(
         .distinct()
     )
     star = materialize(star, "star")
-    wanted = crowded.select(F.col("rep").alias("id")).distinct()
-    texts = given.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    sets = materialize(_sets_of(_first_rows(texts.join(wanted, "id", "left_semi")), size), "sets")
+    wanted = crowded.select("rep.doc_id", "rep.text_key").distinct()
+    texts = given.filter("doc_id is not null").join(wanted, ["doc_id", "text_key"], "left_semi")
+    sets = materialize(_sets_of(_first_rows(texts), size), "sets")
     links = materialize(_linked(star, sets, percent), "links")
     first = materialize(components(links), "first")
 
@@ -259,13 +272,13 @@ def near_groups(
     named = (
         classes.select("n_shingles", "d1", "d2", "rep")
         .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select("n_shingles", "d1", "d2", F.coalesce("root", "rep").alias("root"))
+        .select("n_shingles", "d1", "d2", F.coalesce("root", "rep")["doc_id"].alias("root"))
     )
-    marks = sketch.select("doc_id", "n_shingles", "d1", "d2")
+    marks = sketch.select("doc_id", "text_key", "n_shingles", "d1", "d2")
     return (
         marks.join(named, ["n_shingles", "d1", "d2"], "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
 
@@ -275,9 +288,9 @@ def _may_link(x: str, y: str, percent: int):
 
 
 def _first_rows(rows: DataFrame) -> DataFrame:
-    """One text per id; rows that repeat an id keep the smallest text, as copies of one document do."""
-    again = rows.groupBy("id").count().filter("count > 1").limit(1).count()
-    return rows.groupBy("id").agg(F.min("text").alias("text")) if again else rows
+    """One row per id and text."""
+    again = rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
+    return rows.groupBy("doc_id", "text_key").agg(F.min("text").alias("text")) if again else rows
 
 
 def _rest(crowded: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,5 +336,7 @@ def _rest(crowded: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
-    gone = near_groups(docs, size, percent, id_col=id_col, text_col=text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    groups = keyed_groups(docs, size, percent, ROWS, MISS, id_col, text_col)
+    gone = groups.filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias("_text_key"))
+    keyed = docs.withColumn("_text_key", F.expr(text_key(text_col)))
+    return keyed.join(gone, [id_col, "_text_key"], "left_anti").select(*docs.columns)

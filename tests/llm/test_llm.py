@@ -87,6 +87,17 @@ def test_near_groups(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_of_an_id_with_two_texts(spark):
+    own, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, own), (5, other), (5, other), (9, own + " end"), (7, other + " end"), (8, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs, size=3, percent=85).collect())
+    assert got == [(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 5, False)]
+    docs = spark.createDataFrame([*rows, (3, "start " + other)], "doc_id long, text string")
+    left = near_dedup.keep_one(docs, size=3, percent=85).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in left) == [(3, "start"), (5, own[:5]), (8, "alone")]
+
+
 def test_fingerprints(docs):
     got = fingerprints.fingerprint_next(docs).collect()
     assert len(got) == len(ROWS)
