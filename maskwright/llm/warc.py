@@ -3,7 +3,9 @@
 A record is a row: type, record_id, refers_to, target_uri, date, headers (name and value, in order) and block.
 Derived records name the response they come from in WARC-Refers-To, keep its target, date and digests, and carry
 its HTTP headers in the metadata block. Their own identifiers are name-based on the response's, so a rerun gives
-the same ones. Files are read and written by Spark's own readers and writers: plain or gzip-compressed.
+the same ones. Chunked transfer and the encodings gzip and deflate are undone first; a body that does not have the
+form its headers name counts as decoded already. A body of another encoding (br) or of a media type that is not
+text, and one that breaks off undecodably, gives its metadata record only. Files are read and written by Spark's own readers and writers: plain or gzip-compressed.
 
 Defined results: a page without a URL has the URI urn:page:<id>; null pages have an empty body; repeated rows
 give repeated records; blocks that are not UTF-8 are decoded with replacement characters, while their digests are
@@ -19,6 +21,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,8 +128,69 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
     return rows.mapInPandas(run, RECORD)
 
 
+_TEXTUAL = re.compile(r"text/|application/([\w.-]+\+)?(xml|json)\b|application/(xhtml|javascript|x-javascript|ecmascript)\b|image/svg\+xml", re.I)
+_CHUNK = re.compile(rb"([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
+
+
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked body; of one that breaks off, what is there."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out) if out or m else body
+
+
+def inflated(body: bytes, coding: str) -> bytes | None:
+    """The body without one content coding, or None where it cannot be undone."""
+    if coding in ("", "identity"):
+        return body
+    if coding in ("gzip", "x-gzip"):
+        if not body.startswith(b"\x1f\x8b"):
+            return body
+        kinds = (31,)
+    elif coding == "deflate":
+        kinds = (15, -15)
+    else:
+        return None
+    for kind in kinds:
+        out, rest = [], body
+        try:
+            while rest and (kind != 31 or rest.startswith(b"\x1f\x8b")):  # gzip may have several members
+                undo = zlib.decompressobj(kind)
+                out.append(undo.decompress(rest) + undo.flush())
+                rest = undo.unused_data if kind == 31 else b""
+            return b"".join(out)
+        except zlib.error:
+            continue
+    return None
+
+
+def payload_text(http: list[str], body: bytes) -> bytes | None:
+    """The decoded body of an HTTP response, or None where it is no text or cannot be decoded."""
+    named: dict[str, str] = {}
+    for line in http[1:]:
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        named[name] = f"{named[name]},{value.strip()}" if name in named else value.strip()
+    media = named.get("content-type", "")
+    if media and not _TEXTUAL.match(media):
+        return None
+    transfers = [c.strip().lower() for c in named.get("transfer-encoding", "").split(",")]
+    codings = [c.strip().lower() for c in named.get("content-encoding", "").split(",")]
+    for coding in [*reversed(transfers), *reversed(codings)]:
+        body = unchunked(body) if coding == "chunked" else inflated(body, coding)
+        if body is None:
+            return None
+    return body
+
+
 def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response."""
+    """The metadata record of one response and, where its body is text, the conversion record."""
     known = {n.lower(): v for n, v in reversed(headers)}
     source, uri, date = known.get("warc-record-id", ""), known.get("warc-target-uri", ""), known.get("warc-date", "")
     head, split, body = block.partition(b"\r\n\r\n")
@@ -134,10 +198,11 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     if not http:
         body = block
     charset = next((m[1] for line in http for m in [re.search(r"charset=([\w-]+)", line, re.I)] if m), "utf-8")
+    decoded = payload_text(http, body)
     try:
-        page = body.decode(charset, "replace")
+        page = (decoded or b"").decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = (decoded or b"").decode("utf-8", "replace")
     payload = known.get("warc-payload-digest") or digest(body)
     linked = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri)]
     title = _TITLE.search(page)
@@ -154,6 +219,8 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     text = plain_text(page).encode("utf-8")
     out = []
     for kind, data, content in (("metadata", about, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+        if kind == "conversion" and decoded is None:
+            continue
         out.append(
             _row(
                 [
@@ -173,7 +240,7 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two derived records for each response among the records; others give none."""
+    """The derived records of each response among the records; others give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -203,6 +205,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted((r.record_id, bytes(r.block)) for r in back) == sorted((r.record_id, bytes(r.block)) for r in rows)
 
 
+def test_warc_undoes_encodings_and_skips_binary_types():
+    page = b'<html><title>T</title><a href="http://o.org/">x</a><p>body</p></html>'
+    packed, flat = gzip.compress(page), zlib.compress(page)
+    chunks = lambda b: b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (b[:20], b[20:])) + b"0\r\n\r\n"
+
+    def made(fields, body):
+        http = "HTTP/1.1 200 OK\r\n" + "".join(f"{f}\r\n" for f in fields) + "\r\n"
+        return {dict(r[-2])["WARC-Type"] if r[0] not in ("metadata", "conversion") else r[0]: bytes(r[-1]) for r in warc.derive_one([("WARC-Record-ID", "<urn:a>")], http.encode() + body)}
+
+    kind = "Content-Type: text/html"
+    plain = made([kind], page)["conversion"]
+    for fields, body in (
+        (["Content-Encoding: gzip"], packed), (["Content-Encoding: deflate"], flat), (["Content-Encoding: deflate"], flat[2:-4]),
+        (["Transfer-Encoding: chunked"], chunks(page)), (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], chunks(packed)),
+        (["Content-Encoding: gzip", "Transfer-Encoding: chunked"], page),
+    ):
+        got = made([kind, *fields], body)
+        assert got["conversion"] == plain and b"title: T" in got["metadata"] and b"outlink: http://o.org/" in got["metadata"]
+    for fields, body in ((["Content-Type: image/png"], b"\x89PNG"), ([kind, "Content-Encoding: br"], b"\x0b\x02")):
+        assert set(made(fields, body)) == {"metadata"}
+
+
 def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
