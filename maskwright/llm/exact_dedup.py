@@ -6,7 +6,8 @@ copies of any size reaches the last step as one row per salt.
 
 Defined results: a null text counts as empty; all empty texts form one group; a null id is larger than any
 other; rows that repeat an id and a text are one document given several times, of which one row stays; an
-empty table gives an empty result; columns other than id and text are ignored.
+empty table gives an empty result; columns other than id and text are ignored, pass through `drop_copies` and may
+have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def normalised(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("body"))
     return rows.select("doc_id", "body", F.sha2("body", 256).alias("sha"), F.xxhash64("body").alias("xx"))
 
 
@@ -63,21 +64,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    names = docs.columns
-    body = normalised(F.col(text_col))
-    keys = {"__sha": F.sha2(body, 256), "__xx": F.xxhash64(body), "__id": F.col(id_col)}
-    groups = text_groups(docs, id_col, text_col, salts).select(
-        F.col("sha").alias("__gsha"), F.col("xx").alias("__gxx"), F.col("keep_id").alias("__keep")
-    )
-    tagged = docs.withColumns(keys)
-    kept = tagged.join(
-        groups,
-        (tagged["__sha"] == groups["__gsha"])
-        & (tagged["__xx"] == groups["__gxx"])
-        & tagged["__id"].eqNullSafe(groups["__keep"]),
-        "left_semi",
-    )
-    again = docs.groupBy(F.col(id_col)).count().filter("count > 1").limit(1).count()
+    # the row is one column, so that no name of it can clash with a key
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = normalised(F.col(f"row.`{text_col}`"))
+    tagged = whole.select("row", F.col(f"row.`{id_col}`").alias("id"), F.sha2(body, 256).alias("sha"), F.xxhash64(body).alias("xx"))
+    groups = text_groups(docs, id_col, text_col, salts).withColumnsRenamed({"sha": "g_sha", "xx": "g_xx"})
+    fits = (F.col("sha") == F.col("g_sha")) & (F.col("xx") == F.col("g_xx")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    kept = tagged.join(groups, fits, "left_semi")
+    again = docs.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").limit(1).count()
     if again:
-        kept = kept.dropDuplicates(["__id", "__sha", "__xx"])
-    return kept.select(*names)
+        kept = kept.dropDuplicates(["id", "sha", "xx"])
+    return kept.select("row.*")

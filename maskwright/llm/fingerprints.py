@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,11 +170,13 @@ OUT = T.StructType(
 def fingerprint_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()]) for f in OUT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row that waits for the one after it
         for batch in batches:
             rows = []
-            for part, turn, doc_id, text in zip(batch["part"], batch["turn"], batch["doc_id"], batch["text"]):
+            for part, turn, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "turn", "doc_id", "text"))):
                 own = sketch(text)
                 if last is not None and last[0] == part:
                     _, prior_id, prior, prior_sketch = last
@@ -193,8 +195,7 @@ def fingerprint_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     )
                 # a repeated row only ends its part; of several with the same id the first one does
                 last = None if turn == 1 else (part, doc_id, text, own)
-            out = pd.DataFrame(rows, columns=OUT.names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            columns = list(zip(*rows)) or [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
-    return in_sequence(docs, id_col=id_col, text_col=text_col).mapInPandas(run, OUT)
+    return in_sequence(docs, id_col=id_col, text_col=text_col).mapInArrow(run, OUT)

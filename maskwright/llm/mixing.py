@@ -9,6 +9,9 @@
    the fold of the steps so far over the document's own posteriors, so rounds carry no state between them.
 3. A rate becomes whole copies: its integer part, and one more where a hash of the id lies below the rest.
 
+`Fit` says which shares were reached and whether they meet the targets to CLOSE of the budget; targets that no
+rates of at least `least` can meet, or that ROUNDS steps do not reach, are told by a warning and in the result.
+
 Tokens are words between ASCII white space. Domains without labelled rows get no mass and their target goes to
 the others. Defined results: null and empty texts have no tokens, prior posteriors, and their rate; null ids use
 the hash of null; repeated rows have the same rate; without labels all documents have equal posteriors; an empty
@@ -19,11 +22,13 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.scratch import local_rows, materialize
+from maskwright.scratch import discard, local_rows, materialize
 
 BUCKETS = 4096
 #: Labelled rows that training uses at most.
@@ -120,8 +125,20 @@ def rate_of(steps: list[list[float]], least: float) -> Column:
     return F.aggregate(table, F.lit(max(1.0, least)), move)
 
 
-def fit_rates(member: DataFrame, targets: list[float], least: float = 0.0, budget: float | None = None) -> tuple[list[list[float]], list[float]]:
-    """Gradient steps whose rates meet the targets, and the shares reached.
+class Fit(NamedTuple):
+    """Gradient steps, the masses they reach and those wanted, as multiples of the tokens there are."""
+
+    steps: list[list[float]]
+    reached: list[float]
+    wanted: list[float]
+
+    @property
+    def met(self) -> bool:
+        return all(abs(a - w) <= CLOSE * max(1.0, sum(self.wanted)) for a, w in zip(self.reached, self.wanted))
+
+
+def fit_rates(member: DataFrame, targets: list[float], least: float = 0.0, budget: float | None = None) -> Fit:
+    """Gradient steps whose rates meet the targets best.
 
     member has tokens and posterior. budget is the wanted total as a multiple of the tokens there are; None: 1, or
     with least >= 1 the smallest at which no domain has to shrink.
@@ -136,12 +153,12 @@ def fit_rates(member: DataFrame, targets: list[float], least: float = 0.0, budge
     ).first()
     total = first["total"] or 0.0
     if not total:
-        return [], [0.0] * k
+        return Fit([], [0.0] * k, [0.0] * k)
     shares = [first[f"s{i}"] / total for i in range(k)]
     live = [s > 1e-9 and g > 0 for s, g in zip(shares, targets)]
     goal = sum(g for g, ok in zip(targets, live) if ok)
     if not goal:
-        return [], shares
+        return Fit([], shares, shares)
     targets = [g / goal if ok else 0.0 for g, ok in zip(targets, live)]
     if budget is None:
         budget = max([1.0, *(least * s / g for s, g, ok in zip(shares, targets, live) if ok)]) if least >= 1 else 1.0
@@ -165,7 +182,10 @@ def fit_rates(member: DataFrame, targets: list[float], least: float = 0.0, budge
         # the next step's length fits the curvature along this one (Barzilai and Borwein)
         bend = sum(off[i] * scale[i] * gram[i][j] / scale[i] * scale[j] * off[j] for i in range(k) for j in range(k))
         size = sum(x * x * c for x, c in zip(off, scale)) / bend if bend > 0 else size
-    return steps[: best[1]], best[2]
+    fit = Fit(steps[: best[1]], best[2], wanted)
+    if not fit.met:
+        warnings.warn(f"mixing reached {fit.reached} of the tokens, wanted {wanted}", stacklevel=2)
+    return fit
 
 
 def copies_of(rate: Column, id_col: Column) -> Column:
@@ -184,13 +204,13 @@ def mixing_rates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """id, tokens, posterior, rate, copies of every row of docs."""
+    """id, tokens, posterior, rate, copies of every row of docs, and target_met: whether all targets were."""
     domains = list(targets)
     model = train(docs, labelled, domains, sample, id_col, text_col)
     member = materialize(posteriors(docs, model, id_col, text_col), "membership")
-    steps, _ = fit_rates(member, [targets[d] for d in domains], least, budget)
-    rated = member.withColumn("rate", rate_of(steps, least))
-    return rated.withColumn("copies", copies_of(F.col("rate"), F.col("id")))
+    fit = fit_rates(member, [targets[d] for d in domains], least, budget)
+    rated = member.withColumn("rate", rate_of(fit.steps, least))
+    return rated.withColumn("copies", copies_of(F.col("rate"), F.col("id"))).withColumn("target_met", F.lit(fit.met))
 
 
 def apply_rates(
@@ -206,7 +226,8 @@ def apply_rates(
     domains = list(targets)
     model = train(docs, labelled, domains, sample, id_col, text_col)
     member = materialize(posteriors(docs, model, id_col, text_col), "membership")
-    steps, _ = fit_rates(member, [targets[d] for d in domains], least)
+    steps = fit_rates(member, [targets[d] for d in domains], least).steps
+    discard(member)
     # the posterior is worked out again beside each row: cheaper than moving texts to meet it
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     keyed = whole.select("__row", F.col(f"__row.`{id_col}`").alias("__id"), F.col(f"__row.`{text_col}`").alias("__text"))

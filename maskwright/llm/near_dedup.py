@@ -18,7 +18,8 @@ Every comparison uses the whole sets. Candidates' sets are rebuilt from their te
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; a
 text of fewer words than a shingle is one shingle; a null id forms its own component with id null; repeated rows
-share their component; rows that share an id but not their text are documents of their own; an empty table gives an empty result; other columns are ignored.
+share their component, and `keep_one` keeps all rows of the document it keeps; rows that share an id but not their
+text are documents of their own; an empty table gives an empty result; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,8 @@ ROWS = 4
 MISS = 1e-7
 WORDS = 400_000
 BLOCK = 1 << 15
+#: Parts of a class of equal sets when its rows are given their component.
+SALTS = 32
 
 _U = np.uint64
 _SIGMA = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -126,48 +129,41 @@ SKETCH = T.StructType(
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, set size, set digest and band hashes of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         words = Words()
         for batch in batches:
             for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                sets = [shingle_set(t if isinstance(t, str) else None, size, words) for t in part["text"]]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                sig = signatures([sets[i] for i in full], bands, rows).view(np.int64) if full else None
-                lists: list = [[] for _ in sets]
-                for j, i in enumerate(full):
-                    lists[i] = sig[j]
+                part = batch.slice(a, 500)
+                sets = [shingle_set(t, size, words) for t in part.column("text").to_pylist()]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                full = [s for s in sets if len(s)]
+                flat = signatures(full, bands, rows).view(np.int64).ravel() if full else np.zeros(0, np.int64)
+                ends = np.cumsum(np.where(n > 0, bands, 0), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends], pa.int32()), pa.array(flat))
                 digest = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 mask = (1 << 64) - 1
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"],
-                        "text_key": part["text_key"],
-                        "n_shingles": np.fromiter(map(len, sets), np.int64, len(sets)),
-                        "d1": np.array([d >> 64 for d in digest], np.uint64).view(np.int64),
-                        "d2": np.array([d & mask for d in digest], np.uint64).view(np.int64),
-                        "bands": lists,
-                    }
-                )
+                high, low = (np.array(d, np.uint64).view(np.int64) for d in ([d >> 64 for d in digest], [d & mask for d in digest]))
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(n), pa.array(high), pa.array(low), lists]
+                yield pa.RecordBatch.from_arrays(columns, SKETCH.names)
 
-    return docs.mapInPandas(run, SKETCH)
+    return docs.mapInArrow(run, SKETCH)
 
 
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
     """id (doc_id and text_key) and whole shingle set of each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"], "text_key": part["text_key"], "s": [shingle_set(t, size, words).view(np.int64) for t in part["text"]]}
-                )
+                part = batch.slice(a, 500)
+                sets = [shingle_set(t, size, words).view(np.int64) for t in part.column("text").to_pylist()]
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "s"])
 
-    sets = docs.mapInPandas(run, "doc_id long, text_key long, s array<long>")
+    sets = docs.mapInArrow(run, "doc_id long, text_key long, s array<long>")
     return sets.select(F.struct("doc_id", "text_key").alias("id"), "s")
 
 
@@ -236,7 +232,12 @@ def keyed_groups(docs: DataFrame, size: int, percent: int, rows: int, miss: floa
     bands = bands_for(percent / 100, rows, miss)
     sketch = materialize(sketches(given, size, bands, rows), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.any_value("bands").alias("bands"))
+    classes = filled.groupBy("n_shingles", "d1", "d2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("rep"),
+        F.any_value("bands").alias("bands"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _salt())).alias("salts"),
+        F.count(F.lit(1)).alias("n"),
+    )
     members = materialize(
         classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket")), "members"
     )
@@ -259,7 +260,8 @@ def keyed_groups(docs: DataFrame, size: int, percent: int, rows: int, miss: floa
     star = materialize(star, "star")
     wanted = crowded.select("rep.doc_id", "rep.text_key").distinct()
     texts = given.filter("doc_id is not null").join(wanted, ["doc_id", "text_key"], "left_semi")
-    sets = materialize(_sets_of(_first_rows(texts), size), "sets")
+    texts = texts.groupBy("doc_id", "text_key").agg(F.min("text").alias("text"))  # repeated rows have one set
+    sets = materialize(_sets_of(texts, size), "sets")
     links = materialize(_linked(star, sets, percent), "links")
     first = materialize(components(links), "first")
 
@@ -267,32 +269,37 @@ def keyed_groups(docs: DataFrame, size: int, percent: int, rows: int, miss: floa
     more = materialize(_linked(rest, sets, percent), "more")
     final = components(links.unionByName(more)) if more.limit(1).count() else first
     roots = materialize(final, "final")
-    discard(sets, crowded, star, rest)
+    discard(sets, crowded, star, rest, links, more, first)
 
+    # classes whose rows do not name themselves, once for each salt among their rows: no class is one task's
     named = (
-        classes.select("n_shingles", "d1", "d2", "rep")
+        classes.select("n_shingles", "d1", "d2", "rep", "salts", "n")
         .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select("n_shingles", "d1", "d2", F.coalesce("root", "rep")["doc_id"].alias("root"))
+        .filter("n > 1 or root is not null")
+        .select("n_shingles", "d1", "d2", F.coalesce("root", "rep")["doc_id"].alias("root"), F.explode(_salts_in("salts")).alias("salt"))
     )
-    marks = sketch.select("doc_id", "text_key", "n_shingles", "d1", "d2")
+    marks = sketch.select("doc_id", "text_key", "n_shingles", "d1", "d2", _salt().alias("salt"))
     return (
-        marks.join(named, ["n_shingles", "d1", "d2"], "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
+        marks.join(named, ["n_shingles", "d1", "d2", "salt"], "left")
+        .withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
 
+def _salt():
+    return F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")
+
+
+def _salts_in(mask: str):
+    """The salts whose bits are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col(mask), i) == 1)
+
+
 def _may_link(x: str, y: str, percent: int):
     """Set sizes that leave the threshold within reach."""
     return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
 
-def _first_rows(rows: DataFrame) -> DataFrame:
-    """One row per id and text."""
-    again = rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
-    return rows.groupBy("doc_id", "text_key").agg(F.min("text").alias("text")) if again else rows
-
-
 def _rest(crowded: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that may reach the threshold, among members of buckets with several."""
     rooted = crowded.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
@@ -337,6 +344,7 @@ def _rest(crowded: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
     groups = keyed_groups(docs, size, percent, ROWS, MISS, id_col, text_col)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias("_text_key"))
-    keyed = docs.withColumn("_text_key", F.expr(text_key(text_col)))
-    return keyed.join(gone, [id_col, "_text_key"], "left_anti").select(*docs.columns)
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    keyed = whole.select("__row", F.col(f"__row.`{id_col}`").cast("long").alias("__id"), F.expr(text_key(f"__row`.`{text_col}")).alias("__key"))
+    return keyed.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti").select("__row.*")

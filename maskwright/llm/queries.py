@@ -34,7 +34,8 @@ WITH n AS (
   SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body
 )
 SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
-       n.doc_id = g.keep_id AS kept, sha256(n.body) AS text_sha256
+       n.doc_id IS NOT DISTINCT FROM g.keep_id AND row_number() OVER (PARTITION BY n.body, n.doc_id) = 1 AS kept,
+       sha256(n.body) AS text_sha256
 FROM n JOIN g USING (body)
 """
 
@@ -72,6 +73,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)],
         "rate",
         "copies",
+        "target_met",
     )
 
 

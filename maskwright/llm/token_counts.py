@@ -6,7 +6,8 @@ a known pair are done. The number of symbols left is the number of tokens. Count
 worker are looked up; that memory is emptied when it is full, which costs time and no result.
 
 Defined results: null counts as empty, an empty text has no tokens, special strings inside a text count as one
-token each (the library's default), repeated rows are counted alike, other columns are ignored.
+token each (the library's default), ids pass as they are, null ones too, repeated rows are counted alike, an empty
+table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -155,19 +156,14 @@ def token_counts(
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row: one pass, no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(tokenizer_path)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             n = np.array(counter.count(texts), np.int64)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_bytes": np.array([len(t.encode("utf-8")) for t in texts], np.int64),
-                    "n_tokens": n,
-                    "over_limit": n > limit,
-                }
-            )
+            sizes = np.array([len(t.encode("utf-8")) for t in texts], np.int64)
+            # the ids stay Arrow columns: a null beside them must not turn them into floats
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)], OUT.names)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return rows.mapInPandas(run, OUT)
+    return rows.mapInArrow(run, OUT)

@@ -6,7 +6,8 @@ counts within a window times that ratio. A score is the largest over overlapping
 short insult in a long text counts as much as in a short one; every window of the whole text is scored.
 
 Only training looks at labels, and only at those whose fold crc32(id) mod 5 is not 0. It uses at most SAMPLE
-labelled rows per class, the ones with the smallest hash of the id; scoring covers all rows.
+labelled rows per class, the ones with the smallest hash of the id, and of these the texts of at most LONGEST bytes,
+so what reaches the driver is bounded in rows and bytes; scoring covers all rows and whole texts.
 
 Defined results: null and empty texts get the score of a text without n-grams; where a class has no labels, all
 scores are 0; null ids are held out by the fold of the empty string; repeated rows score alike; labels of ids
@@ -18,7 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ BITS = 18
 SIZES = (3, 4, 5)
 #: Labelled rows per class that training uses at most.
 SAMPLE = 1200
+#: Bytes of a text that training uses at most; longer texts are scored, not learned from.
+LONGEST = 1 << 15
 #: Bytes of a window, and how far the next one starts.
 WINDOW, STEP = 256, 128
 FOLDS = 5
@@ -187,7 +191,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 12) -> Model | None:
     return Model(full, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Model | None:
     """Fit on the labelled rows outside the held-out fold, at most `sample` per class."""
     known = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -205,9 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     picked = local_rows(spark, sorted(ids), f"__id {kind}, __y int")
-    # the sample is bounded by 2 x sample ids, so it may be broadcast
+    # the sample is bounded by 2 x sample ids, so it may be broadcast; ids may repeat in docs, so its rows are bounded again
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = rows.join(F.broadcast(picked), "__id").orderBy("__id", "__text").collect()
+    found = rows.filter(F.octet_length("__text") <= longest).join(F.broadcast(picked), "__id")
+    found = found.orderBy(F.xxhash64("__id"), "__id", "__y", "__text").limit(2 * sample).collect()
     texts = [r["__text"] for r in found]
     return fit(texts, np.array([r["__y"] for r in found]))
 
@@ -226,40 +231,33 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """doc_id, held_out, score, predicted of every row: one pass, no shuffle."""
     given = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if given.value is None else Model(*given.value)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             s = np.zeros(len(texts)) if own is None else own.scores(texts)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "held_out": batch["held_out"],
-                    "score": s,
-                    "predicted": (s >= 0.5).astype(np.int32),
-                }
-            )
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, OUT.names)
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"), F.col(text_col).alias("text")
     )
-    return rows.mapInPandas(run, OUT)
+    return rows.mapInArrow(run, OUT)
 
 
 def clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns, in one pass."""
+    """The rows of docs that are not predicted toxic, with all their columns of any name, in one pass."""
     given = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.bias))
     at = docs.columns.index(text_col)
 
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if given.value is None else Model(*given.value)
         for batch in batches:
             if own is None:
                 yield batch
                 continue
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in pc.struct_field(batch.column(0), at).to_pylist()]
             yield batch.filter(pa.array(own.scores(texts) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.mapInArrow(run, whole.schema).select("row.*")

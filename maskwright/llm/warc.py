@@ -7,8 +7,9 @@ the same ones. Chunked transfer and the encodings gzip and deflate are undone fi
 form its headers name counts as decoded already. A body of another encoding (br) or of a media type that is not
 text, and one that breaks off undecodably, gives its metadata record only. Files are read and written by Spark's own readers and writers: plain or gzip-compressed.
 
-Defined results: a page without a URL has the URI urn:page:<id>; null pages have an empty body; repeated rows
-give repeated records; blocks that are not UTF-8 are decoded with replacement characters, while their digests are
+Defined results: a page without a URL has the URI urn:page:<id>; null pages have an empty body; repeated rows of an
+id and a URL are one capture, whose record is written as often as the row is there and keeps its identifier; records
+that break off or lack a length become rows with a `problem`, after which their file is not read on; blocks that are not UTF-8 are decoded with replacement characters, while their digests are
 those of the bytes; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
+#: Bytes of records that go on together.
+BATCH = 8 << 20
 CRLF = "\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RECORD = (
     "type string, record_id string, refers_to string, target_uri string, date string, "
-    "headers array<struct<name:string,value:string>>, block binary"
+    "headers array<struct<name:string,value:string>>, block binary, problem string"
 )
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|footer|header|title|head|body|html|blockquote|pre)\b[^>]*>", re.I)
@@ -64,20 +67,58 @@ def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}{CRLF}{head}{CRLF}".encode() + block + (CRLF + CRLF).encode()
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record; Content-Length says where a block ends."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
+class _Stream:
+    """The bytes of a file, decompressed as they are asked for; gzip files may have many members."""
+
+    def __init__(self, data: bytes):
+        packed = data[:2] == b"\x1f\x8b"
+        self.source = gzip.GzipFile(fileobj=io.BytesIO(data)) if packed else io.BytesIO(data)
+        self.held = b""
+        self.broken = ""
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are held, after reading what is missing."""
+        while len(self.held) < n and not self.broken:
+            try:
+                more = self.source.read(max(n - len(self.held), 1 << 16))
+            except (OSError, EOFError, zlib.error) as problem:
+                self.broken, more = f"compressed data: {problem}", b""
+            if not more:
+                self.broken = self.broken or "end"
+            self.held += more
+        return len(self.held) >= n
+
+    def take(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
+HEAD = 1 << 20
+
+
+def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """Headers, block and problem (null) of each record; Content-Length says where a block ends.
+
+    Where a file breaks off or is no WARC any more, the last record has what is there and says what is wrong. Only
+    the record at hand is held decompressed.
+    """
+    stream = _Stream(data)
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while stream.fill(2) and stream.held[:2] == b"\r\n":
+            stream.take(2)
+        if not stream.held:
+            if stream.broken not in ("", "end"):
+                yield [], b"", stream.broken
+            return
+        size, end = 1 << 12, -1
+        while end < 0 and size <= HEAD:
+            more = stream.fill(size)
+            end = stream.held.find(b"\r\n\r\n")
+            size = size * 2 if more else HEAD + 1
+        if end < 0 or not stream.held.startswith(b"WARC/"):
+            yield [], stream.held, "no WARC record" if not stream.held.startswith(b"WARC/") else f"headers break off ({stream.broken or 'too long'})"
             return
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        lines = stream.take(end + 4)[:-4].decode("utf-8", "replace").split(CRLF)
         headers: list[tuple[str, str]] = []
         for line in lines[1:]:
             if line[:1] in " \t" and headers:
@@ -85,15 +126,20 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             else:
                 name, _, value = line.partition(":")
                 headers.append((name.strip(), value.strip()))
-        size = int(next(v for n, v in headers if n.lower() == "content-length"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        length = next((v for n, v in headers if n.lower() == "content-length"), "")
+        if not (length.isascii() and length.isdigit()):
+            yield headers, stream.held, "no Content-Length"
+            return
+        if not stream.fill(int(length)):
+            yield headers, stream.held, f"block breaks off ({stream.broken})"
+            return
+        yield headers, stream.take(int(length)), None
 
 
-def _row(headers: list[tuple[str, str]], block: bytes) -> tuple:
+def _row(headers: list[tuple[str, str]], block: bytes, problem: str | None = None) -> tuple:
     known = {n.lower(): v for n, v in reversed(headers)}
     fields = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")
-    return (*(known.get(n) for n in fields), [{"name": n, "value": v} for n, v in headers], block)
+    return (*(known.get(n) for n in fields), [{"name": n, "value": v} for n, v in headers], block, problem)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -240,7 +286,7 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """The derived records of each response among the records; others give none."""
+    """The derived records of each whole response among the records; others and damaged ones give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,21 +295,26 @@ def derive(records: DataFrame) -> DataFrame:
                 rows += derive_one([(h["name"], h["value"]) for h in headers], bytes(block))
             yield _frame(rows)
 
-    return records.filter(F.col("type") == "response").select("headers", "block").mapInPandas(run, RECORD)
+    whole = (F.col("type") == "response") & F.col("problem").isNull()
+    return records.filter(whole).select("headers", "block").mapInPandas(run, RECORD)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of .warc and .warc.gz files; one file at a time is held in memory."""
+    """Records of .warc and .warc.gz files; a damaged record has a `problem` and ends its file, never the job.
+
+    A task holds the compressed bytes of one file, one decompressed record and a batch of rows of about BATCH bytes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for headers, block in parse(bytes(content)):
-                    rows.append(_row(headers, block))
-                    if len(rows) == 256:
+                rows, size = [], 0
+                for headers, block, problem in parse(bytes(content)):
+                    rows.append(_row(headers, block, problem))
+                    size += len(block) + 1000
+                    if size >= BATCH:
                         yield _frame(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield _frame(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
