@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -21,26 +22,49 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of this driver's intermediate tables that are still there.
+_written: dict[str, None] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return a reader of it.
 
-    The lineage ends at the files, which survive lost executors.
+    The lineage ends at the files, which survive lost executors. They stay until `discard`, `clear` or the end of the
+    driver's process.
     """
     path = f"{scratch_root(df.sparkSession)}/maskwright/{name}-{uuid.uuid4().hex}"
+    _written[path] = None
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this driver; results that were not written yet can no longer be read."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _written and spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
