@@ -6,24 +6,23 @@ line, whatever the text's script.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks
-from maskwright.functions.lexicon import ACRONYM_EXCLUSIONS, LEXICON, LOCALITIES, PLACES, AMBIGUOUS_PLACES, any_of
+from maskwright.functions.lexicon import AMBIGUOUS_PLACES, LOCALITIES, PLACES
+from maskwright.functions.packs import lexicon_of
+from maskwright.functions.patterns import any_of, spaced
 from maskwright.functions.spans import RUNG, SPAN, before, emit, scan
 
 B = r"(?<![A-Za-z0-9_])"  # before a word
 E = r"(?![A-Za-z0-9_])"  # after a word
 WS = r"[ \t]"
-SPACE = r"[\s   -     　﻿]"
 LOOK_BACK = 40
 
 # Shapes that must find what existing documents were masked by.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?){2,5}\d{2,4}"
+PHONE = spaced(r"(?:\+\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?){2,5}\d{2,4}")
 DNI = B + r"\d{2}\.?\d{3}\.?\d{3}-?[A-Za-z]" + E
 NIE = B + r"[XYZxyz]\d{7}[A-Za-z]" + E
 CARD = B + r"(?:\d[ -]?){13,19}(?:(?<=\d)(?![A-Za-z0-9_])|(?<=[ -])(?=[A-Za-z0-9_]))"
@@ -47,7 +46,7 @@ _ISO = r"(?:EUR|USD|GBP|JPY|CHF|CAD|AUD|MXN|ARS|COP|CLP|PEN|BRL|CNY)"
 _WORD = r"(?:euros?|d[óo]lares|d[óo]lar|dollars?)"
 _MAG = r"(?:mil\s+millones|millones|mill[óo]n|billones|bill[óo]n|mil|million|billion)(?!\p{L})"
 _END = r"(?!\p{N}|[.,]\p{N})"
-MONEY = (
+MONEY = spaced(
     rf"(?<![\p{{L}}\p{{N}}.,])(?:\(?[-−]?(?:{_CUR}|{_ISO}(?!\p{{L}}))[   ]?[-−]?{NUM}{_END}(?:\s+{_MAG})?\)?"
     rf"|\(?[-−]?{NUM}{_END}(?:\s+{_MAG})?(?:\s+de)?[   ]?(?:{_CUR}|(?:{_ISO}|{_WORD})(?![\p{{L}}\p{{N}}]))\)?)"
 )
@@ -56,9 +55,12 @@ _NUMBER_WORD = (
     r"|diecinueve|veinte|veinti\p{L}+|treinta|cuarenta|cincuenta|sesenta|setenta|ochenta|noventa|cien|ciento"
     r"|(?:dos|tres|cuatro|seis|sete|ocho|nove)cient[oa]s|quinient[oa]s|mil|mill[óo]n|millones|bill[óo]n|billones)"
 )
-MONEY_WORDS = rf"(?iu)(?<!\p{{L}}){_NUMBER_WORD}(?:\s+(?:y\s+)?{_NUMBER_WORD})*\s+(?:de\s+)?{_WORD}(?!\p{{L}})"
+MONEY_WORDS = spaced(rf"(?iu)(?<!\p{{L}}){_NUMBER_WORD}(?:\s+(?:y\s+)?{_NUMBER_WORD})*\s+(?:de\s+)?{_WORD}(?!\p{{L}})")
+#: Every amount has one of these, the words in small letters.
+CURRENCIES = (*_CUR[1:-1], *_ISO[3:-1].split("|"))
+CURRENCY_WORDS = ("euro", "dólar", "dolar", "dollar")
 PT_NIF = r"(?<![\d\-.,])(?:\d{3}[ .]?\d{3}[ .]?\d{3})(?!\d|[ .]?\d)"
-PT_NIF_LABEL = r"(?iu)(?:(?<![A-Za-z0-9_])NIF|(?<![A-Za-z0-9_])N\.?I\.?F\.?|(?<![A-Za-z0-9_])NIPC|(?<![A-Za-z0-9_])contribuinte)[\s:.nºo°-]*\z"
+PT_NIF_LABEL = spaced(r"(?iu)(?:(?<![A-Za-z0-9_])NIF|(?<![A-Za-z0-9_])N\.?I\.?F\.?|(?<![A-Za-z0-9_])NIPC|(?<![A-Za-z0-9_])contribuinte)[\s:.nºo°-]*\z")
 PT_CARD = r"(?<![\dA-Za-z])(?:\d{8} ?\d ?[A-Za-z]{2} ?\d)(?![\dA-Za-z])"
 PT_PHONE = (
     r"(?<![A-Za-z0-9_])(?:(?:\+|00)351[ .-]?)?(?:(?:9[1236]\d|2\d{2})[ .-]?\d{3}[ .-]?\d{3}|(?:2\d)[ .-]?\d{3}[ .-]?\d{4}"
@@ -70,12 +72,12 @@ PT_STREET = (
     r"(?:[ \t]+(?:de|do|da|dos|das|e|\p{Lu}\p{L}*))*[ \t]*,?[ \t]*\d+[A-Za-zº.]*(?:[ ,\t]*\d+\.?º[ \t]*(?:Esq|Dto|Esq\.|Dto\.)?)?"
 )
 _PARTICLE = r"(?:de|do|da|dos|das|del|la|las|los|el|o|a|os|as)"
-_STREETS = (
+STREETS = (
     "Rúa", "Rua", "Calle", "C/", "Avenida", "Avda", "Plaza", "Praza", "Camiño", "Street", "Avenue", "Road", "Rd", r"Avda\.", r"Av\.",
     r"Pza\.", "Camino", "Estrada", "Carretera", r"Ctra\.", "Lugar", "Travesía", "Travesia", "Rolda", "Ronda", "Paseo", "Pasaxe", "Pasaje",
     "Glorieta", "Urbanización", "Polígono", "Barrio", "Bairro",
 )
-_STREET = "|".join(f"[{s[0].upper()}{s[0].lower()}]{s[1:]}" for s in sorted(_STREETS, key=len, reverse=True))
+_STREET = "|".join(f"[{s[0].upper()}{s[0].lower()}]{s[1:]}" for s in sorted(STREETS, key=len, reverse=True))
 _AREA = rf"\p{{Lu}}\p{{L}}*(?:[ \t]+(?:{_PARTICLE}[ \t]+)?\p{{Lu}}\p{{L}}*){{0,3}}"
 _DOOR = (
     r"(?:\d{1,2}[ºª°](?:[ \t]*(?:[A-Z](?![A-Za-z0-9_])|esquerda|dereita|izquierda|derecha|izda\.?|dcha\.?|centro|ext\.?|int\.?))?"
@@ -95,21 +97,39 @@ US_ADDRESS = (
     B + r"\d+[ \t]+\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*){0,3},[ \t]*\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*)*,[ \t]*[A-Z]{2}[ \t]+\d{5}(?:-\d{4})?" + E
 )
 POSTCODE_PLACE = rf"(?iu){B}\d{{5}}[ \t]+(?:{any_of(LOCALITIES)}){E}"
-POSTCODE_LABEL = rf"(?iu){B}(?:CP|C\.?P\.?|código\s+postal|postal\s+code)\s*:?\s*(\d{{5}}){E}"
-PLACE = rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{any_of(PLACES)})(?![\p{{L}}\p{{M}}\p{{N}}_])"
-GEO_CUE = (
+POSTCODE_LABEL = spaced(rf"(?iu){B}(?:CP|C\.?P\.?|código\s+postal|postal\s+code)\s*:?\s*(\d{{5}}){E}")
+
+
+def place_pattern(places: list[str] | tuple[str, ...] = tuple(PLACES)) -> str:
+    return rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{any_of(places)})(?![\p{{L}}\p{{M}}\p{{N}}_])"
+
+
+GEO_CUE = spaced(
     r"(?iu)(?:(?<![A-Za-z0-9_])(?:in|from|to|at|near|within|around|visiting|en|desde|hacia|provincia|ciudad|país|países|estado|región|cidade|na|para|em)\s+"
     r"|(?<![A-Za-z0-9_])(?:city|country|province|state|region)\s+(?:of\s+)?|(?<![A-Za-z0-9_])(?:país|provincia|cidade|estado|región)\s+de\s+)\z"
 )
-_COMPANY_END = r"(?=[\s.,;:!?)]|\z)"
-COMPANY_SUFFIX = rf"\p{{Lu}}\p{{L}}*(?:[ \t]+\p{{Lu}}\p{{L}}*)*,?[ \t]+(?:{'|'.join(LEXICON['company_suffixes'])}){_COMPANY_END}"
-COMPANY_PREFIX = rf"{B}(?:{'|'.join(LEXICON['company_prefixes'])})[ \t]+\p{{Lu}}\p{{L}}*(?:[ \t]+\p{{Lu}}\p{{L}}*)*"
-LEGAL = rf"{B}(?:{'|'.join(LEXICON['legal_heads'])})(?:[ \t]+(?:de|del|la|las|los|y|\p{{Lu}}\p{{L}}*|\d+(?:/(?:\d+|CE|UE))*))*"
-TITLES = rf"{B}(?:{'|'.join(LEXICON['titles'])})(?:[ \t]+(?:{'|'.join(LEXICON['title_qualifiers'])}))*"
-INSTITUTION = rf"{B}(?:{'|'.join(LEXICON['institutions'])})(?:[ \t]+(?:de|del|la|las|los|\p{{Lu}}\p{{L}}*|\d+))*"
+_COMPANY_END = spaced(r"(?=[\s.,;:!?)]|\z)")
+
+
+def _or(words) -> str:
+    return "|".join(words) or "(?!)"
+
+
+def company_patterns(lexicon: dict) -> tuple[str, str]:
+    """A run of capitalised words before a legal form, and one after an opening word."""
+    run = r"\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*)*"
+    return rf"{run},?[ \t]+(?:{_or(lexicon['company_suffixes'])}){_COMPANY_END}", rf"{B}(?:{_or(lexicon['company_prefixes'])})[ \t]+{run}"
+
+
+def shield_patterns(lexicon: dict) -> tuple[str, str, str]:
+    """Legal citations, professional titles and public bodies."""
+    return tuple(
+        rf"{B}(?:{_or(lexicon[heads])})(?:[ \t]+(?:{_or(lexicon[more])}))*"
+        for heads, more in (("legal_heads", "legal_continuation"), ("titles", "title_qualifiers"), ("institutions", "institution_continuation"))
+    )
+
 
 V, I = RUNG["VALIDATED_REGEX"], RUNG["ID_CODE"]
-Detector = Callable[[Column], Column]
 
 
 def digits(text: Column) -> Column:
@@ -189,18 +209,22 @@ def address(t: Column) -> Column:
 
 def location(t: Column) -> Column:
     def ok(m: Column) -> Column:
-        cued = before(t, m, 32).rlike(GEO_CUE) & ~F.substring(t, m["end"] + 1, 64).rlike(r"^\s+\p{Lu}\p{L}+")
+        cued = before(t, m, 32).rlike(GEO_CUE) & ~F.substring(t, m["end"] + 1, 64).rlike(spaced(r"^\s+\p{Lu}\p{L}+"))
         return ~F.lower(m["text"]).isin(*[p.lower() for p in AMBIGUOUS_PLACES]) | cued
 
-    return emit(F.filter(scan(t, PLACE), ok), "LOCATION", RUNG["LOCATION"], 0.9)
+    return emit(F.filter(scan(t, place_pattern()), ok), "LOCATION", RUNG["LOCATION"], 0.9)
 
 
-def company(t: Column) -> Column:
-    return emit(F.concat(scan(t, COMPANY_SUFFIX), scan(t, COMPANY_PREFIX)), "COMPANY", RUNG["COMPANY"], pack=None)
+DEFAULT = ("es", "en")
 
 
-def acronym(t: Column) -> Column:
-    kept = F.filter(scan(t, ACRONYM), lambda m: ~m["text"].isin(*ACRONYM_EXCLUSIONS))
+def company(t: Column, languages: tuple[str, ...] = DEFAULT) -> Column:
+    found = [scan(t, p) for p in company_patterns(lexicon_of(languages))]
+    return emit(F.concat(*found), "COMPANY", RUNG["COMPANY"], pack=None)
+
+
+def acronym(t: Column, languages: tuple[str, ...] = DEFAULT) -> Column:
+    kept = F.filter(scan(t, ACRONYM), lambda m: ~m["text"].isin(*lexicon_of(languages)["acronym_exclusions"]))
     return emit(kept, "COMPANY", RUNG["COMPANY_ACRONYM"], 0.4, None, enabled=False)
 
 
@@ -208,8 +232,8 @@ def date_time(t: Column) -> Column:
     return emit(scan(t, DATE_TIME), "SHIELD", RUNG["SHIELD"], shield=True)
 
 
-def shields(t: Column) -> Column:
-    return emit(F.concat(scan(t, LEGAL), scan(t, TITLES), scan(t, INSTITUTION)), "SHIELD", RUNG["SHIELD"], pack=None, shield=True)
+def shields(t: Column, languages: tuple[str, ...] = DEFAULT) -> Column:
+    return emit(F.concat(*[scan(t, p) for p in shield_patterns(lexicon_of(languages))]), "SHIELD", RUNG["SHIELD"], pack=None, shield=True)
 
 
 def pt_nif(t: Column) -> Column:
@@ -241,28 +265,3 @@ def dictionary(t: Column, rules: list[dict]) -> Column:
         spans = F.transform(emit(hits, category, RUNG["DICTIONARY"]), lambda s: s.withField("source", F.lit("dictionary")))
         out = F.concat(out, spans)
     return out
-
-
-# Detectors by (categories they can emit, expression); order decides ties.
-COMMON: list[tuple[tuple[str, ...], Detector]] = [
-    (("SHIELD",), date_time),
-    (("EMAIL",), email),
-    (("CREDIT_CARD",), card),
-    (("MONEY",), money),
-    (("LOCATION",), location),
-]
-COUNTRY: dict[str, list[tuple[tuple[str, ...], Detector]]] = {
-    "ES": [
-        (("DNI", "INVALID_ID"), dni),
-        (("NIE", "INVALID_ID"), nie),
-        (("MASKED_ID",), masked_id),
-        (("ID_CODE",), id_code),
-        (("PHONE",), phone),
-        (("ADDRESS",), address),
-    ],
-    "PT": [(("NIF",), pt_nif), (("PHONE",), pt_phone), (("ADDRESS",), pt_address)],
-}
-LANGUAGE: list[tuple[tuple[str, ...], Detector]] = [
-    (("SHIELD",), shields),
-    (("COMPANY",), company),
-]

@@ -6,17 +6,20 @@ column expressions would each scan it again and take longer to plan than most in
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
 import regex
 
 from maskwright.functions import checks
 from maskwright.functions import detectors as D
 from maskwright.functions import names as N
-from maskwright.functions.lexicon import ACRONYM_EXCLUSIONS, AMBIGUOUS_PLACES
+from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
+from maskwright.functions.packs import lexicon_of
+from maskwright.functions.patterns import python as compiled
 from maskwright.functions.spans import RUNG
 
 
@@ -33,23 +36,23 @@ class Span(NamedTuple):
     shield: bool = False
 
 
-@lru_cache(maxsize=512)
-def compiled(pattern: str) -> regex.Pattern:
-    """A Java pattern of this package as a Python one; digits and blanks are ASCII in both."""
-    p = pattern.replace(r"\z", r"\Z")
-    if p.startswith("(?iu)"):
-        return regex.compile(p[5:], regex.I)
-    return regex.compile(p, regex.A)
-
-
 def _hits(pattern: str, text: str, group: int = 0) -> list[tuple[int, int, str]]:
-    return [(*m.span(group), m[group]) for m in compiled(pattern).finditer(text) if m.end() > m.start()]
+    return [(*m.span(group), m[group]) for m in compiled(pattern).finditer(text)]
 
 
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+def _some_digits(text: str, least: int) -> bool:
+    return sum(map(text.count, "0123456789")) >= least
+
+
+def _needs_digits(least: int, detector):
+    """The detector, left out where a text has too few digits for any of its spans."""
+    return lambda text: detector(text) if _some_digits(text, least) else []
+
+
 def _balance(hit: tuple[int, int, str]) -> tuple[int, int, str]:
     a, b, t = hit
     if t.startswith("(") != t.endswith(")"):
@@ -58,34 +61,147 @@ def _balance(hit: tuple[int, int, str]) -> tuple[int, int, str]:
 
 
 def _clear(hits: list, taken: list) -> list:
-    return [h for h in hits if not any(h[0] < t[1] and t[0] < h[1] for t in taken)]
+    """The hits that overlap none of the taken ones, which are sorted and apart."""
+    starts = [t[0] for t in taken]
+
+    def free(h) -> bool:
+        at = bisect_left(starts, h[1])
+        return at == 0 or taken[at - 1][1] <= h[0]
+
+    return [h for h in hits if free(h)]
+
+
+_PLAIN_START = regex.compile(r"(?:[^\\\[(?*+{|]|\\[./])+")
+
+
+def _cue(patterns, before: str = ""):
+    """Whether a text has the literal beginning of any pattern at the start of a word: one pass, no backtracking."""
+    starts = {m[0].replace("\\", "") for p in patterns if (m := _PLAIN_START.match(p))}
+    begins = ahocorasick.Automaton()
+    for word in starts:
+        begins.add_word(before + word, len(before + word))
+    if not starts:
+        return lambda text: False
+    begins.make_automaton()
+
+    def found(text: str) -> bool:
+        for at, n in begins.iter(text):
+            prior = text[at - n] if at >= n else " "
+            if before or not (prior.isascii() and prior.isalnum()):
+                return True
+        return False
+
+    return found
+
+
+_in_street = _cue([c + s[1:] for s in D.STREETS for c in (s[0].upper(), s[0].lower())])
 
 
 def _money(text: str) -> list:
-    kept: list = []
-    for h in [_balance(x) for p in (D.MONEY, D.MONEY_WORDS) for x in _hits(p, text)]:
-        kept += _clear([h], kept)
-    return kept
+    low = text.lower()
+    worded = any(w in low for w in D.CURRENCY_WORDS)
+    figures = [_balance(x) for x in _hits(D.MONEY, text)] if worded or any(c in text for c in D.CURRENCIES) else []
+    written = [_balance(x) for x in _hits(D.MONEY_WORDS, text)] if worded else []
+    return figures + _clear(written, figures)
 
 
 def _address(text: str) -> list:
+    streets = _hits(D.ADDRESS, text) if _in_street(text) else []
+    if not _some_digits(text, 1):
+        return streets
     us = _hits(D.US_ADDRESS, text)
-    return (
-        _hits(D.ADDRESS, text) + us + _clear(_hits(D.UK_ADDRESS, text), us) + _hits(D.POSTCODE_PLACE, text) + _hits(D.POSTCODE_LABEL, text, 1)
-    )
+    return streets + us + _clear(_hits(D.UK_ADDRESS, text), us) + _hits(D.POSTCODE_PLACE, text) + _hits(D.POSTCODE_LABEL, text, 1)
 
 
-_AMBIGUOUS = {p.lower() for p in AMBIGUOUS_PLACES}
-_FOLLOWED = regex.compile(r"\s+\p{Lu}\p{L}+")
+def _cards(text: str) -> list:
+    return [h for h in _hits(D.CARD, text) if 13 <= len(_digits(h[2])) <= 19 and checks.luhn(_digits(h[2]))]
 
 
-def _location(text: str) -> list:
+def _phones(text: str) -> list:
+    return [h for h in _hits(D.PHONE, text) if 9 <= len(_digits(h[2])) <= 15]
+
+
+_AMBIGUOUS = {p.lower() for p in AMBIGUOUS_PLACES}
+_FOLLOWED = compiled(r"\s+\p{Lu}\p{L}+")
+
+
+@lru_cache(maxsize=8)
+def _gazetteer(places: tuple[str, ...]) -> tuple[ahocorasick.Automaton, regex.Pattern]:
+    """All places in small letters, and the pattern of whole ones."""
+    found = ahocorasick.Automaton()
+    for place in places:
+        found.add_word(place.lower(), len(place))
+    if places:
+        found.make_automaton()
+    return found, compiled(D.place_pattern(places))
+
+
+def _locations(text: str, places: tuple[str, ...]) -> list:
+    """Places of the gazetteer, whole words in any case; one pass finds where any of them may begin."""
+    begins, pattern = _gazetteer(places)
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose small form has another length
+        hits = [(*m.span(), m[0]) for m in pattern.finditer(text)]
+    else:
+        hits, end = [], 0
+        for start in sorted({at - n + 1 for at, n in begins.iter(low)} if places else ()):
+            if start >= end and (m := pattern.match(text, start)):
+                hits.append((*m.span(), m[0]))
+                end = m.end()
+
     def stands(h) -> bool:
         if h[2].lower() not in _AMBIGUOUS:
             return True
         return bool(compiled(D.GEO_CUE).search(text[max(0, h[0] - 32) : h[0]])) and not _FOLLOWED.match(text, h[1])
 
-    return [h for h in _hits(D.PLACE, text) if stands(h)]
+    return [h for h in hits if stands(h)]
+
+
+_ID_CUES = ("afiliación", "colegiad", "expediente", "referencia", "ref.", "matrícula", "nuss", "historia", "protocolo", "núm.", "nº")
+
+
+def _id_codes(text: str) -> list:
+    low = text.lower()
+    if not any(cue in low for cue in _ID_CUES):
+        return []
+    return [h for h in _hits(D.ID_CODE, text, 1) if not (h[2].isdigit() and len(h[2]) <= 2)]
+
+
+def _shields(lexicon: dict):
+    kinds = [(_cue(lexicon[k]), p) for k, p in zip(("legal_heads", "titles", "institutions"), D.shield_patterns(lexicon))]
+    return lambda text: [h for has, p in kinds if has(text) for h in _hits(p, text)]
+
+
+_in_address = _cue(N.SALUTATIONS + N.ADDRESSED)
+
+
+_MASK_RUN = regex.compile("[*xX•_]{2,}")
+_MASK_TOKEN = regex.compile("[0-9A-Za-z*•_]*")
+_MASK_BEFORE = regex.compile("(?r)[0-9A-Za-z*•_]*")
+
+
+def _masked_ids(text: str) -> list:
+    """Whole tokens around a run of mask signs."""
+    out, end = [], 0
+    for run in _MASK_RUN.finditer(text):
+        if run.start() >= end:
+            start = _MASK_BEFORE.match(text, 0, run.start()).start()
+            end = _MASK_TOKEN.match(text, run.start()).end()
+            if len(regex.sub("[*xX•_]", "", text[start:end])) >= 4:
+                out.append((start, end, text[start:end]))
+    return out
+
+
+def _companies(lexicon: dict):
+    form, opening = D.company_patterns(lexicon)
+    has_form = [_cue(lexicon["company_suffixes"], blank) for blank in " \t"]
+    has_opening = _cue(lexicon["company_prefixes"])
+
+    def run(text: str) -> list:
+        found = _hits(form, text) if any(has(text) for has in has_form) else []
+        return found + (_hits(opening, text) if has_opening(text) else [])
+
+    return run
 
 
 def _identity(pattern: str, category: str, text: str) -> list[Span]:
@@ -116,10 +232,6 @@ def _pt_address(text: str) -> list:
     return streets + _hits(D.PT_POSTCODE, text)
 
 
-def _masked(t: str) -> bool:
-    return bool(regex.search("[*xX•_]{2}", t)) and len(regex.sub("[*xX•_]", "", t)) >= 4
-
-
 def _plain(category: str, rung: str, pack: str | None, find, confidence: float = 1.0, enabled: bool = True, shield: bool = False):
     def run(text: str) -> list[Span]:
         return [Span(h[0], h[1], category, h[2], h[3] if len(h) > 3 else confidence, "regex", RUNG[rung], pack, enabled, shield) for h in find(text)]
@@ -133,21 +245,20 @@ def _either(*patterns: str):
 
 # (categories, detector), in the order that settles ties
 COMMON = [
-    (("SHIELD",), _plain("SHIELD", "SHIELD", "common", _either(D.DATE_TIME), shield=True)),
+    (("SHIELD",), _plain("SHIELD", "SHIELD", "common", _needs_digits(6, _either(D.DATE_TIME)), shield=True)),
     (("EMAIL",), _plain("EMAIL", "VALIDATED_REGEX", "common", _either(D.EMAIL))),
-    (("IBAN",), _plain("IBAN", "VALIDATED_REGEX", "common", N.ibans)),
-    (("CREDIT_CARD",), _plain("CREDIT_CARD", "VALIDATED_REGEX", "common", lambda t: [h for h in _hits(D.CARD, t) if 13 <= len(_digits(h[2])) <= 19 and checks.luhn(_digits(h[2]))])),
+    (("IBAN",), _plain("IBAN", "VALIDATED_REGEX", "common", _needs_digits(2, N.ibans))),
+    (("CREDIT_CARD",), _plain("CREDIT_CARD", "VALIDATED_REGEX", "common", _needs_digits(13, _cards))),
     (("MONEY",), _plain("MONEY", "MONEY", "common", _money)),
-    (("VAT_NUMBER",), _plain("VAT_NUMBER", "ID_CODE", "common", N.vat_numbers)),
-    (("LOCATION",), _plain("LOCATION", "LOCATION", "common", _location, 0.9)),
+    (("VAT_NUMBER",), _plain("VAT_NUMBER", "ID_CODE", "common", _needs_digits(2, N.vat_numbers))),
 ]
 COUNTRY = {
     "ES": [
         (("DNI", "INVALID_ID"), lambda t: _identity(D.DNI, "DNI", t)),
         (("NIE", "INVALID_ID"), lambda t: _identity(D.NIE, "NIE", t)),
-        (("MASKED_ID",), _plain("MASKED_ID", "VALIDATED_REGEX", "ES", lambda t: [h for h in _hits(D.MASKED, t) if _masked(h[2])])),
-        (("ID_CODE",), _plain("ID_CODE", "ID_CODE", "ES", lambda t: [h for h in _hits(D.ID_CODE, t, 1) if not (h[2].isdigit() and len(h[2]) <= 2)])),
-        (("PHONE",), _plain("PHONE", "VALIDATED_REGEX", "ES", lambda t: [h for h in _hits(D.PHONE, t) if 9 <= len(_digits(h[2])) <= 15])),
+        (("MASKED_ID",), _plain("MASKED_ID", "VALIDATED_REGEX", "ES", _masked_ids)),
+        (("ID_CODE",), _plain("ID_CODE", "ID_CODE", "ES", _id_codes)),
+        (("PHONE",), _plain("PHONE", "VALIDATED_REGEX", "ES", _needs_digits(9, _phones))),
         (("ADDRESS",), _plain("ADDRESS", "ADDRESS", "ES", _address)),
     ],
     "PT": [
@@ -157,15 +268,20 @@ COUNTRY = {
         (("ADDRESS",), _plain("ADDRESS", "ADDRESS", "PT", _pt_address)),
     ],
 }
-LANGUAGE = [
-    (("SHIELD",), _plain("SHIELD", "SHIELD", None, _either(D.LEGAL, D.TITLES, D.INSTITUTION), shield=True)),
-    (("COMPANY",), _plain("COMPANY", "COMPANY", None, _either(D.COMPANY_SUFFIX, D.COMPANY_PREFIX))),
-    (("NAME",), _plain("NAME", "NAME", None, N.names)),
-    (("NAME",), _plain("NAME", "NAME", None, N.addressed_names)),
-]
-_EXCLUDED = frozenset(ACRONYM_EXCLUSIONS)
-ACRONYMS = _plain("COMPANY", "COMPANY_ACRONYM", None, lambda t: [h for h in _hits(D.ACRONYM, t) if h[2] not in _EXCLUDED], 0.4, enabled=False)
-PACKED_LANGUAGES = ("en", "es")
+
+
+def _language(languages: tuple[str, ...]) -> list:
+    """The detectors of all languages that have a pack, over their lists together."""
+    lexicon = lexicon_of(languages)
+    excluded = frozenset(lexicon["acronym_exclusions"])
+    acronyms = lambda t: [h for h in _hits(D.ACRONYM, t) if h[2] not in excluded]
+    return [
+        ("SHIELD", _plain("SHIELD", "SHIELD", None, _shields(lexicon), shield=True)),
+        ("COMPANY", _plain("COMPANY", "COMPANY", None, _companies(lexicon))),
+        ("NAME", _plain("NAME", "NAME", None, lambda t: N.names(t, languages))),
+        ("NAME", _plain("NAME", "NAME", None, lambda t: N.addressed_names(t, languages) if _in_address(t) else [])),
+        ("COMPANY_ACRONYM", _plain("COMPANY", "COMPANY_ACRONYM", None, acronyms, 0.4, enabled=False)),
+    ]
 
 
 def arbitrate(spans: list[Span]) -> list[Span]:
@@ -188,21 +304,28 @@ class Engine:
     jurisdictions: tuple[str, ...] = ("ES",)
     settings: dict[str, bool] = field(default_factory=dict)
     rules: list[dict] = field(default_factory=list)
+    places: tuple[str, ...] = tuple(PLACES)
 
     def __post_init__(self) -> None:
-        packed = any(lang in PACKED_LANGUAGES for lang in self.languages)
-        plan = list(COMMON)
+        languages = tuple(self.languages)
+        packed = lexicon_of(languages) is not None
+        places = tuple(self.places)
+        plan = [*COMMON, (("LOCATION",), _plain("LOCATION", "LOCATION", "common", lambda t: _locations(t, places), 0.9))]
         for country in dict.fromkeys(self.jurisdictions):
             plan += COUNTRY.get(country, [])
         if "ES" not in self.jurisdictions:  # a number whose check fits is evidence anywhere
             plan.append((("DNI",), lambda t: [s for s in _identity(D.DNI, "DNI", t) if s.category == "DNI"]))
             plan.append((("NIE",), lambda t: [s for s in _identity(D.NIE, "NIE", t) if s.category == "NIE"]))
-        plan += LANGUAGE if packed else []
-        if packed and self.on("COMPANY_ACRONYM"):
-            plan.append((("COMPANY",), ACRONYMS))
+        self.plan = []
+        for categories, detector in plan:
+            on = {c for c in categories if self.on(c)}
+            if on:
+                self.plan.append((detector, on if len(on) < len(categories) else None))
+        for switch, detector in _language(languages) if packed else ():
+            if self.on(switch) and (switch != "COMPANY_ACRONYM" or self.on("COMPANY")):
+                self.plan.append((detector, None))
         self.propagates = packed and self.on("NAME")
-        self.plan = [(f, {c for c in cs if self.on(c)}, len(cs)) for cs, f in plan]
-        self.plan = [(f, on if len(on) < n else None) for f, on, n in self.plan if on]
+        self.excluded = N._rules(languages)["excluded"] if packed else frozenset()
         self.terms = []
         for r in self.rules:
             literal = regex.escape(r["term_or_pattern"], special_only=True)
@@ -231,13 +354,15 @@ class Engine:
         people = [s for s in winners if s.category == "NAME" and not s.shield]
         if not people:
             return []
-        word, excluded = compiled(N.WORD), N._rules()["excluded"]
-        known = {w for s in people for w in word.findall(text[s.start : s.end]) if w.lower() not in excluded}
+        word = compiled(N.WORD)
+        known = {w for s in people for w in word.findall(text[s.start : s.end]) if w.lower() not in self.excluded}
         starts = [s.start for s in people]
         out = []
-        for m in word.finditer(text):
-            at = bisect_left(starts, m.start() + 1) - 1
-            if m[0] in known and not (at >= 0 and m.start() < people[at].end):
+        for m in word.finditer(text) if known else ():
+            if m[0] not in known:
+                continue
+            at = bisect_right(starts, m.start()) - 1
+            if not (at >= 0 and m.start() < people[at].end):
                 out.append(Span(*m.span(), "NAME", m[0], 0.5, "regex", RUNG["NAME"], None))
         return out
 
@@ -253,6 +378,9 @@ def mappings(text: str, spans: list[Span]) -> list[dict]:
     """Mappings of sorted winners: the first span of a text, or of a person, names it; numbers count per category."""
     real = [s for s in spans if not s.shield]
     one = N.cluster_names([s.text for s in real if s.category == "NAME"])
+    spelled: dict[str, list[str]] = {}
+    for spelling, canonical in one.items():
+        spelled.setdefault(canonical, []).append(spelling)
     by_key: dict[str, dict] = {}
     count: dict[str, int] = {}
     for s in real:
@@ -260,7 +388,7 @@ def mappings(text: str, spans: list[Span]) -> list[dict]:
         m = by_key.get(key)
         if m is None:
             n = count[s.category] = count.get(s.category, 0) + 1
-            spellings = sorted((t for t, c in one.items() if c == key), key=lambda t: (-len(t), list(one).index(t))) if s.category == "NAME" else []
+            spellings = sorted(spelled[key], key=len, reverse=True) if s.category == "NAME" else []
             m = by_key[key] = {
                 "id": f"{s.category}_{n}", "original_text": key, "placeholder": f"[[{s.category}_{n:03d}]]", "category": s.category,
                 "confidence": s.confidence, "source": s.source, "enabled": s.enabled, "variants": spellings or [key], "occurrences": [],

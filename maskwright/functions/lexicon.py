@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 LEXICON = {
     "company_suffixes": [
         r"S\.L\.U\.", r"S\.A\.U\.", r"S\.Coop\.", r"S\.L\.", r"S\.A\.", "SLU", "SAU", "SCP", "SL", "SA", r"Inc\.", "Inc", r"Ltd\.", "Ltd",
@@ -87,7 +85,3 @@ PLACES = list(dict.fromkeys(WORLD + LOCALITIES))
 #: Places that are names as well; they count after a geographic cue only.
 AMBIGUOUS_PLACES = ["Chad", "Georgia", "Jordan", "Malta", "Marín", "Paris", "Rome", "Santiago", "Turkey", "Washington", "Victoria"]
 
-
-def any_of(words: list[str]) -> str:
-    """An alternation of literal words, longest first; never matches if there are none."""
-    return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=len, reverse=True)) or "(?!)"

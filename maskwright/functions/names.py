@@ -7,11 +7,14 @@ number until its check fits), so they run in one vectorised function over a batc
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import regex
 
 from maskwright.functions import checks
 from maskwright.functions.lexicon import LEXICON
+from maskwright.functions.packs import lexicon_of
+from maskwright.functions.patterns import BLANKS
 
 Found = tuple[int, int, str, float]  # start, end, text, confidence
 WS = r"[ \t]"
@@ -33,8 +36,8 @@ _CIF_LABEL = regex.compile(
     r"(?<![A-Za-z0-9_])(?:CIF(?:/NIF)?|NIF(?:-IVA)?|VAT|IVA)(?![A-Za-z0-9_])[ \t:./-]*((?:ES)?[ABCDEFGHJNPQRSUVW]\d[\d \t./-]{5,10}[A-Z0-9])(?![A-Za-z0-9_])",
     regex.I,
 )
-_IBAN = regex.compile(r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\s?[A-Z0-9]{1,4}){2,7}(?![A-Za-z0-9_])")
-_LAST_GROUP = regex.compile(r"\s?[A-Z0-9]{1,4}\Z")
+_IBAN = regex.compile(rf"(?<![A-Za-z0-9_])[A-Z]{{2}}[0-9]{{2}}(?:[{BLANKS}]?[A-Z0-9]{{1,4}}){{2,7}}(?![A-Za-z0-9_])")
+_LAST_GROUP = regex.compile(rf"[{BLANKS}]?[A-Z0-9]{{1,4}}\Z")
 
 
 def ibans(text: str) -> list[Found]:
@@ -86,11 +89,14 @@ def _alt(words: list[str]) -> str:
     return "|".join(sorted(words, key=len, reverse=True)) or "(?!)"
 
 
-@lru_cache(maxsize=8)
-def _rules() -> dict:
-    lex = LEXICON
+DEFAULT = ("es", "en")
+
+
+@lru_cache(maxsize=64)
+def _rules(languages: tuple[str, ...]) -> dict:
+    lex = {kind: list(words) for kind, words in lexicon_of(languages).items()}
     stop, titles, heads, particles = lex["stopwords"], lex["titles"], lex["structure_heads"], lex["name_particles"]
-    name = rf"{TOKEN}(?:{WS}+(?:(?:{'|'.join(particles)}){WS}+)?{TOKEN}){{0,{MAX_TOKENS - 1}}}"
+    name = rf"{TOKEN}(?:{WS}+(?:(?:{'|'.join(particles) or '(?!)'}){WS}+)?{TOKEN}){{0,{MAX_TOKENS - 1}}}"
     edge = r"(?![A-Za-z0-9_])"
     return {
         "name": regex.compile(name),
@@ -106,10 +112,9 @@ def _rules() -> dict:
             regex.compile(rf"(?:{'|'.join(particles)}){edge}{WS}*"),
         ],
         "not_given": regex.compile(
-            rf"(?:{'|'.join(lex['company_suffixes'])}|{_alt(titles + stop)}|{'|'.join(heads)}|DNI|NIE|NIF|CIF|NUSS|IBAN)(?=[\s.,;:!?)]|\Z)", regex.I
+            rf",{WS}*(?:{'|'.join(lex['company_suffixes'])}|{_alt(titles + stop)}|{'|'.join(heads)}|DNI|NIE|NIF|CIF|NUSS|IBAN)(?=[{BLANKS}.,;:!?)]|\Z)", regex.I
         ),
         "given": regex.compile(rf",{WS}*({TOKEN}(?:{WS}+{TOKEN})?)"),
-        "comma": regex.compile(rf",{WS}*"),
         "caps": regex.compile(rf"(?:DE|DEL|DA|DO|DAS|DOS|AL|LA|LAS|LOS|EL|Y|E){WS}"),
         "initial": regex.compile(r"\p{Lu}\."),
         "attached": regex.compile(r"[\p{L}\p{N}*·•_]"),
@@ -118,36 +123,72 @@ def _rules() -> dict:
     }
 
 
+_BLANK = regex.compile(f"[{BLANKS}]")
+
+
 def _sentence_start(text: str, at: int) -> bool:
-    head = text[:at].rstrip()
-    return not head or head[-1] in ".!?"
+    while at and _BLANK.match(text, at - 1):
+        at -= 1
+    return not at or text[at - 1] in ".!?"
+
+
+class Candidate(NamedTuple):
+    """A run of capitalised words after peeling, and where it stands."""
+
+    text: str
+    start: int
+    value: str
+    words: list[str]
+
+    @property
+    def end(self) -> int:
+        return self.start + len(self.value)
+
+
+def _lettered(run: str, r: dict) -> bool:
+    """An item like "Punto G." or "I. Que": an initial beside a word that heads items or opens sentences."""
+    words = run.split()
+    return any(r["initial"].fullmatch(w) for w in words) and any(w.lower() in r["lettered"] or w.lower() in r["stop"] for w in words)
 
 
-def names(text: str) -> list[Found]:
-    r = _rules()
+def _peeled(run: str, start: int, r: dict) -> tuple[str, int]:
+    """The run without labels, titles, headings, bodies and particles in front, as long as there are any."""
+    at = 0
+    while m := next((m for rule in r["peel"] if (m := rule.match(run, at))), None):
+        at = m.end()
+    return run[at:], start + at
+
+
+# what a candidate must pass, beside being no lettered item
+CHECKS = (
+    lambda c, r: sum(w not in r["particles"] for w in c.words) >= 2,
+    lambda c, r: not r["caps"].match(c.value),
+    lambda c, r: not (any(w.lower() in r["stop"] for w in c.words) and _sentence_start(c.text, c.start)),
+    lambda c, r: not (c.start and r["attached"].match(c.text, c.start - 1)),
+)
+
+
+def _is_label(c: Candidate, r: dict) -> bool:
+    """A field name: it opens its line and a colon follows."""
+    return c.text[c.end : c.end + 1] == ":" and bool(r["line_start"].search(c.text[max(0, c.start - 40) : c.start]))
+
+
+def names(text: str, languages: tuple[str, ...] = DEFAULT) -> list[Found]:
+    """Runs of two to six capitalised words that pass CHECKS; "Surname, Given" is one name, given name first."""
+    r = _rules(languages)
     out = []
     for m in r["name"].finditer(text):
-        words = m[0].split()
-        if any(r["initial"].fullmatch(w) for w in words) and any(w.lower() in r["lettered"] or w.lower() in r["stop"] for w in words):
-            continue
-        value, start = m[0], m.start()
-        while peeled := next((p for rule in r["peel"] if (p := rule.match(value))), None):
-            value, start = value[peeled.end() :], start + peeled.end()
-        words = value.split()
-        if sum(w not in r["particles"] for w in words) < 2 or r["caps"].match(value):
-            continue
-        if any(w.lower() in r["stop"] for w in words) and _sentence_start(text, start):
+        if " " not in m[0] and "\t" not in m[0] or _lettered(m[0], r):
             continue
-        if start and r["attached"].match(text[start - 1]):
+        value, start = _peeled(m[0], m.start(), r)
+        c = Candidate(text, start, value, value.split())
+        if not all(check(c, r) for check in CHECKS):
             continue
-        end = start + len(value)
-        tail = text[end : end + 200]
-        comma = r["comma"].match(tail)
-        given = r["given"].match(tail)
-        if comma and given and not r["not_given"].match(tail[comma.end() :]):
-            out.append((start, end + given.end(), f"{given[1]} {value}", 0.6))
-        elif not (text[end : end + 1] == ":" and r["line_start"].search(text[max(0, start - 40) : start])):
-            out.append((start, end, value, 0.6))
+        given = None if r["not_given"].match(text, c.end) else r["given"].match(text, c.end)
+        if given:
+            out.append((c.start, given.end(), f"{given[1]} {value}", 0.6))
+        elif not _is_label(c, r):
+            out.append((c.start, c.end, value, 0.6))
     return out
 
 
@@ -167,8 +208,8 @@ _TITLED = regex.compile(rf"(?<!\p{{L}})(?:{_alt(ADDRESSED)}){WS}+({_RUN})")
 WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{2,}(?:-\p{Lu}\p{Ll}+)?(?![\p{L}\p{N}])"
 
 
-def addressed_names(text: str) -> list[Found]:
-    excluded = _rules()["excluded"]
+def addressed_names(text: str, languages: tuple[str, ...] = DEFAULT) -> list[Found]:
+    excluded = _rules(languages)["excluded"]
     out: dict[tuple[int, int], Found] = {}
     for rule in (_GREETED, _TITLED):
         for m in rule.finditer(text):

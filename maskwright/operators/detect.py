@@ -1,72 +1,115 @@
-"""Detection, masking and restoration of documents: one pass each, no shuffle."""
+"""Detection, masking and restoration of documents: one pass each, no shuffle.
+
+Defined results: null counts as empty and has no spans; columns of any name pass through, except that a column named
+like a result (`spans`, `mappings`, `masked`, `result`) is replaced by it; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from maskwright.functions.engine import Engine, apply, mappings, restore
+from maskwright.functions.engine import Engine, Span, apply, mappings, restore
 from maskwright.functions.spans import SPAN
 
+OCCURRENCE = "struct<start:int,end:int,text:string>"
 MAPPING = (
     "struct<id:string,original_text:string,placeholder:string,category:string,confidence:double,source:string,enabled:boolean,"
-    "variants:array<string>,occurrences:array<struct<start:int,end:int,text:string>>>"
+    f"variants:array<string>,occurrences:array<{OCCURRENCE}>>"
+)
+RESTORED = "struct<text:string,restored:int,unknown:array<string>,ambiguous:array<string>,malformed:array<string>>"
+_S, _I, _D, _B = pa.string(), pa.int32(), pa.float64(), pa.bool_()
+_SPANS = pa.list_(
+    pa.struct(
+        [("start", _I), ("end", _I), ("category", _S), ("text", _S), ("confidence", _D), ("source", _S), ("rung", _D), ("pack", _S), ("enabled", _B), ("shield", _B)]
+    )
+)
+_OCCURRENCES = pa.list_(pa.struct([("start", _I), ("end", _I), ("text", _S)]))
+_MAPPINGS = pa.list_(
+    pa.struct(
+        [("id", _S), ("original_text", _S), ("placeholder", _S), ("category", _S), ("confidence", _D), ("source", _S), ("enabled", _B), ("variants", pa.list_(_S)), ("occurrences", _OCCURRENCES)]
+    )
 )
-RESTORED = "text string, restored int, unknown array<string>, ambiguous array<string>, malformed array<string>"
+_RESULT = pa.struct([("text", _S), ("restored", _I), ("unknown", pa.list_(_S)), ("ambiguous", pa.list_(_S)), ("malformed", pa.list_(_S))])
 
 
-def _with(docs: DataFrame, text_col: str, columns: str, work) -> DataFrame:
-    """docs with the columns that work(texts) returns for a list of texts."""
-    extra = T._parse_datatype_string(columns)
-    schema = T.StructType([*docs.schema.fields, *extra.fields])
+def _with(docs: DataFrame, given: list[str], made: dict[str, tuple[str, pa.DataType]], start: Callable) -> DataFrame:
+    """docs with the columns `made` that the function start() returns gives for the values of the columns `given`.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The rows travel as one column, so their names do not matter.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = [docs.columns.index(c) for c in given]
+    types = [t for _, t in made.values()]
+    schema = f"row {whole.schema['row'].dataType.simpleString()}" if all(c.isidentifier() for c in docs.columns) else None
+    if schema is None:
+        quoted = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema)
+        schema = f"row struct<{quoted}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
         for batch in batches:
-            rows = work([t if isinstance(t, str) else "" for t in batch[text_col]])
-            for name in extra.names:
-                batch[name] = [r[name] for r in rows]
-            yield batch
+            row = batch.column(0)
+            out = [work(*values) for values in zip(*(pc.struct_field(row, i).to_pylist() for i in at))]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([row, *columns], ["row", *made])
+
+    full = whole.mapInArrow(run, ", ".join([schema, *(f"{n} {ddl}" for n, (ddl, _) in made.items())]))
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c not in made]
+    return full.select(*keep, *made)
 
-    return docs.mapInPandas(run, schema)
 
+def _manual(given: list[dict] | None, text: str) -> list[Span]:
+    """The caller's spans whose text still stands where it did."""
+    return [
+        Span(m["start"], m["end"], m["category"], m["text"], 1.0, "manual", 0.0, None)
+        for m in given or []
+        if 0 <= m["start"] < m["end"] and text[m["start"] : m["end"]] == m["text"]
+    ]
 
-def detect(docs: DataFrame, text_col: str = "text", **profile) -> DataFrame:
-    """docs with `spans`: the winners, shields included, sorted by start. profile: see Engine."""
 
-    def work(texts: list[str]) -> list[dict]:
+def detect(docs: DataFrame, text_col: str = "text", manual_col: str | None = None, **profile) -> DataFrame:
+    """docs with `spans`: the winners, shields included, sorted by start. profile: see Engine.
+
+    manual_col names spans (start, end, category, text) of the caller's, replayed where their text still matches.
+    """
+
+    def start():
         engine = Engine(**profile)
-        return [{"spans": [s._asdict() for s in engine.detect(t)]} for t in texts]
+        return lambda text, manual=None: (engine.detect(text or "", _manual(manual, text or "")),)
 
-    return _with(docs, text_col, f"spans array<{SPAN}>", work)
+    return _with(docs, [text_col, *([manual_col] if manual_col else [])], {"spans": (f"array<{SPAN}>", _SPANS)}, start)
 
 
-def mask(docs: DataFrame, text_col: str = "text", **profile) -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", manual_col: str | None = None, **profile) -> DataFrame:
     """docs with `spans`, `mappings` and `masked`."""
 
-    def work(texts: list[str]) -> list[dict]:
+    def start():
         engine = Engine(**profile)
-        out = []
-        for t in texts:
-            spans = engine.detect(t)
-            found = mappings(t, spans)
-            out.append({"spans": [s._asdict() for s in spans], "mappings": found, "masked": apply(t, found)})
-        return out
 
-    return _with(docs, text_col, f"spans array<{SPAN}>, mappings array<{MAPPING}>, masked string", work)
+        def work(text, manual=None):
+            text = text or ""
+            spans = engine.detect(text, _manual(manual, text))
+            found = mappings(text, spans)
+            return spans, found, apply(text, found)
+
+        return work
+
+    made = {"spans": (f"array<{SPAN}>", _SPANS), "mappings": (f"array<{MAPPING}>", _MAPPINGS), "masked": ("string", _S)}
+    return _with(docs, [text_col, *([manual_col] if manual_col else [])], made, start)
 
 
 def restored(responses: DataFrame, text_col: str = "masked", mappings_col: str = "mappings", tolerant: bool = True, legacy: bool = True) -> DataFrame:
     """responses with `result`: the restored text and its report."""
 
-    def one(texts: pd.Series, tables: pd.Series) -> pd.DataFrame:
-        rows = [restore(t if isinstance(t, str) else "", [] if m is None else list(m), tolerant, legacy) for t, m in zip(texts, tables)]
-        return pd.DataFrame(rows, columns=["text", "restored", "unknown", "ambiguous", "malformed"])
+    def start():
+        return lambda text, table: (restore(text or "", table or [], tolerant, legacy),)
 
-    return responses.withColumn("result", F.pandas_udf(one, RESTORED)(text_col, mappings_col))
+    return _with(responses, [text_col, mappings_col], {"result": (RESTORED, _RESULT)}, start)
 
 
 def exploded(docs: DataFrame, keys: list[str], column: str = "spans") -> DataFrame:
