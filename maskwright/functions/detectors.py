@@ -40,15 +40,15 @@ ID_LABEL = (
     r"(?iu)(?:D\.?N\.?I\.?|N\.?I\.?E\.?|N\.?I\.?F\.?|documento|identidad)(?:[ \t]+(?:es|son|num(?:\.|ero)?|número))?"
     r"[ \t]*(?:n[ºo°]\.?)?[ \t]*[:\-]?[ \t]*\z"
 )
-NUM = r"(?:\d{1,3}(?:[.,  ]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
+NUM = r"(?:\d{1,3}(?:[.,\u00A0\u202F]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 _CUR = r"[€$£¥]"
 _ISO = r"(?:EUR|USD|GBP|JPY|CHF|CAD|AUD|MXN|ARS|COP|CLP|PEN|BRL|CNY)"
 _WORD = r"(?:euros?|d[óo]lares|d[óo]lar|dollars?)"
 _MAG = r"(?:mil\s+millones|millones|mill[óo]n|billones|bill[óo]n|mil|million|billion)(?!\p{L})"
 _END = r"(?!\p{N}|[.,]\p{N})"
 MONEY = spaced(
-    rf"(?<![\p{{L}}\p{{N}}.,])(?:\(?[-−]?(?:{_CUR}|{_ISO}(?!\p{{L}}))[   ]?[-−]?{NUM}{_END}(?:\s+{_MAG})?\)?"
-    rf"|\(?[-−]?{NUM}{_END}(?:\s+{_MAG})?(?:\s+de)?[   ]?(?:{_CUR}|(?:{_ISO}|{_WORD})(?![\p{{L}}\p{{N}}]))\)?)"
+    rf"(?<![\p{{L}}\p{{N}}.,])(?:\(?[-−]?(?:{_CUR}|{_ISO}(?!\p{{L}}))[ \u00A0\u202F]?[-−]?{NUM}{_END}(?:\s+{_MAG})?\)?"
+    rf"|\(?[-−]?{NUM}{_END}(?:\s+{_MAG})?(?:\s+de)?[ \u00A0\u202F]?(?:{_CUR}|(?:{_ISO}|{_WORD})(?![\p{{L}}\p{{N}}]))\)?)"
 )
 _NUMBER_WORD = (
     r"(?:un|uno|una|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|trece|catorce|quince|diecis[ée]is|diecisiete|dieciocho"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.scratch import local_rows
+from maskwright.sources import tables
 
 # Frequent words of each language; the order settles ties.
 WORDS = {
@@ -41,15 +42,65 @@ def lang_scores(docs: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     """Score and matched words per document and language with any match. The table of words has a fixed size."""
     table = local_rows(docs.sparkSession, weights(), "lang string, word string, weight double")
     words = docs.select(*keys, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.groupBy(*keys, "word").count()
-    hits = counted.join(F.broadcast(table), "word")
-    return hits.groupBy(*keys, "lang").agg(
-        F.round(F.sum(F.col("weight") * F.col("count")), 6).alias("score"), F.sum("count").alias("n_matches")
-    )
+    hits = words.join(F.broadcast(table), "word")  # most words go here, before anything is shuffled
+    return hits.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("n_matches"))
+
+
+# Letters and endings that speak for a language, two points a word.
+HINTS = {
+    "es": "ñ|(?:ción|ciones)$", "gl": "ñ|cións?$", "pt": "(?:ção|ções)$|ã|õ", "ca": "l·l|ny|ç|[àèò]", "eu": "tx|tz", "fr": "ç|œ", "it": "[èìòù]",
+    "de": "[ßäöü]",
+}
+PARAGRAPH = r"\r?\n[^\S\r\n]*\r?\n(?:[^\S\r\n]*\r?\n)*"
+
+
+def paragraphs(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, nth, text: the parts of a text between blank lines that are not blank themselves."""
+    parts = docs.select(*keys, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), PARAGRAPH)).alias("nth", "text"))
+    return parts.filter(F.trim("text") != "")
+
+
+def evidence(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, lang, score, n_matches, n_words: known words and hints of each language with any."""
+    words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w != "")
+    listed = parts.select(*keys, F.size(words).alias("n_words"), F.explode(words).alias("word"))
+    table = local_rows(parts.sparkSession, weights(), "lang string, word string, weight double")
+    known = listed.join(F.broadcast(table), "word").select(*keys, "n_words", "lang", "weight", F.lit(1).alias("n"))
+    cues = F.array(*[F.when((F.length("word") > 1) & F.col("word").rlike(p), F.lit(lang)) for lang, p in HINTS.items()])
+    hinted = listed.select(*keys, "n_words", F.explode(F.array_compact(cues)).alias("lang"), F.lit(2.0).alias("weight"), F.lit(0).alias("n"))
+    both = known.unionByName(hinted)
+    return both.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.sum("n").alias("n_matches"), F.first("n_words").alias("n_words"))
+
+
+def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, languages, status: the winners of the whole text and of its paragraphs, in the order of the text's ranking.
+
+    A winner has LEAST_WORDS words, LEAST_MATCHES matches, LEAST_SCORE points and LEAD over the second. Letters count
+    in composed form only. status is detected, mixed or undetermined; documents without any evidence are undetermined.
+    """
+    parts = evidence(paragraphs(docs, keys, text_col), [*keys, "nth"])
+    totals = parts.groupBy(*keys, "lang").agg(F.sum("score").alias("score"), F.sum("n_matches").alias("n_matches"))
+    length = F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
+    whole = totals.join(docs.select(*keys, length), keys)
+    order = local_rows(docs.sparkSession, [(k, i) for i, k in enumerate(WORDS)], "lang string, turn int")
+
+    def winners(rows: DataFrame, by: list[str]) -> DataFrame:
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "turn", "lang", "score", "n_matches", "n_words"))).alias("r")
+        best = rows.join(F.broadcast(order), "lang").groupBy(*by).agg(ranked)
+        first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
+        enough = (first["n_words"] >= LEAST_WORDS) & (first["n_matches"] >= LEAST_MATCHES) & (first["score"] >= LEAST_SCORE)
+        return best.filter(enough & (first["score"] > LEAD * second)).select(*keys, F.col("r")[0]["lang"].alias("lang"))
+
+    won = winners(whole, keys).unionByName(winners(parts, [*keys, "nth"])).distinct()
+    placed = won.join(whole, [*keys, "lang"]).join(F.broadcast(order), "lang")
+    listed = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "turn", "lang"))).alias("l"))
+    out = docs.select(*keys).join(listed, keys, "left").withColumn("languages", F.coalesce(F.transform("l", lambda x: x["lang"]), F.array().cast("array<string>")))
+    status = F.when(F.size("languages") > 1, "mixed").when(F.size("languages") == 1, "detected").otherwise("undetermined")
+    return out.select(*keys, "languages", status.alias("status"))
 
 
 def lang_scores_query(spark, sf_dir: str) -> DataFrame:
-    return lang_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return lang_scores(tables.read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
 
 
 LANG_SCORES_SQL = f"""
@@ -79,7 +130,7 @@ def decide(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
 
 
 def lang_decision_query(spark, sf_dir: str) -> DataFrame:
-    return decide(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return decide(tables.read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
 
 
 LANG_DECISION_SQL = f"""

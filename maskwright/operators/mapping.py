@@ -56,19 +56,57 @@ def next_counter(mappings: DataFrame, keys: list[str]) -> DataFrame:
     return mappings.groupBy(*keys, "category").agg((F.max(F.regexp_extract("id", r"_(\d+)$", 1).cast("int")) + 1).alias("next_number"))
 
 
+def _number(id_: Column) -> Column:
+    return F.regexp_extract(id_, r"_(\d+)$", 1).try_cast("int")
+
+
 def merge(mappings: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """One mapping of those with the given ids, per document and category: the first keeps its name."""
+    """One mapping of those with the given ids, per document and category: the one of the lowest number keeps its name.
+
+    Spellings stand from the longest, equal ones in the order of the mappings. Where any of them has no anchors the
+    result has none. Documents with fewer than two of the ids in a category stay as they are.
+    """
     chosen = mappings.filter(F.col("id").isin(ids))
-    order = F.array_sort(F.collect_list(F.struct("id", "placeholder", "confidence", "source", "enabled")))
-    variants = F.array_distinct(F.flatten(F.collect_list("variants")))
-    longest = F.array_sort(F.transform(variants, lambda v: F.struct((-F.length(v)).alias("l"), v.alias("v"))))
-    merged = chosen.groupBy(*keys, "category").agg(order.alias("o"), longest.alias("v"), F.array_sort(F.flatten(F.collect_list("occurrences"))).alias("occurrences"))
-    merged = merged.select(
-        *keys, F.col("o")[0]["id"].alias("id"), F.col("v")[0]["v"].alias("original_text"), F.col("o")[0]["placeholder"].alias("placeholder"), "category",
+    parts = F.array_sort(F.collect_list(F.struct(_number(F.col("id")).alias("n"), "id", "placeholder", "confidence", "source", "enabled", "variants", "occurrences")))
+    grouped = chosen.groupBy(*keys, "category").agg(parts.alias("o")).filter(F.size("o") > 1)
+    spelled = F.array_distinct(F.flatten(F.transform("o", lambda x: x["variants"])))
+    longest = F.array_sort(F.transform(spelled, lambda v, i: F.struct((-F.length(v)).alias("l"), i.alias("i"), v.alias("v"))))
+    anchored = ~F.exists("o", lambda x: x["occurrences"].isNull())
+    merged = grouped.withColumn("v", F.transform(longest, lambda x: x["v"])).select(
+        *keys, F.col("o")[0]["id"].alias("id"), F.col("v")[0].alias("original_text"), F.col("o")[0]["placeholder"].alias("placeholder"), "category",
         F.col("o")[0]["confidence"].alias("confidence"), F.col("o")[0]["source"].alias("source"), F.col("o")[0]["enabled"].alias("enabled"),
-        F.transform("v", lambda x: x["v"]).alias("variants"), "occurrences",
+        F.col("v").alias("variants"), F.when(anchored, F.array_sort(F.flatten(F.transform("o", lambda x: x["occurrences"])))).alias("occurrences"),
     )
-    return mappings.filter(~F.col("id").isin(ids)).unionByName(merged)
+    gone = grouped.select(*keys, F.explode("o").alias("x")).select(*keys, "x.id")
+    return mappings.join(gone, [*keys, "id"], "left_anti").select(*mappings.columns).unionByName(merged)
+
+
+def toggle(mappings: DataFrame, ids: list[str], on: bool) -> DataFrame:
+    """mappings with those of the given ids switched on or off; `render` shows the difference."""
+    return mappings.withColumn("enabled", F.when(F.col("id").isin(ids), F.lit(on)).otherwise(F.col("enabled")))
+
+
+def without_anchors(text: str, mappings: list[dict], put) -> str:
+    """text with every spelling of the enabled mappings replaced: one pass, the longest first, whole words only."""
+    import regex
+
+    spelled = sorted(((v, put(m)) for m in mappings if m["enabled"] for v in m["variants"] if v), key=lambda x: -len(x[0]))
+    if not spelled:
+        return text
+    wordy = regex.compile(r"[\p{L}\p{N}_]")
+    edge = lambda v: (r"(?<![\p{L}\p{N}_])" if wordy.match(v[0]) else "") + regex.escape(v) + (r"(?![\p{L}\p{N}_])" if wordy.match(v[-1]) else "")
+    table = dict(reversed(spelled))
+    return regex.sub("|".join(edge(v) for v, _ in spelled), lambda m: table[m[0]], text)
+
+
+def render_old(docs: DataFrame, text_col: str = "text", mappings_col: str = "mappings") -> DataFrame:
+    """docs with `masked`, for mappings that were stored without anchors."""
+    import pyarrow as pa
+
+    from maskwright.operators.detect import _with
+
+    work = lambda text, found: (without_anchors(text or "", found or [], lambda m: m["placeholder"]),)
+    return _with(docs, [text_col, mappings_col], {"masked": ("string", pa.string())}, lambda: work)
 
 
 def split(mappings: DataFrame, keys: list[str], id_: str) -> DataFrame:

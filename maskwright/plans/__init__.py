@@ -1 +1,6 @@
+"""Registered queries of the masking engine."""
 
+from maskwright.plans import catalogue, detectors, review
+from maskwright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalogue", "detectors", "review"]

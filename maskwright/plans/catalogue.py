@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions import checks
+from maskwright.functions import checks, scalars
 from maskwright.functions import detectors as D
 from maskwright.functions.lexicon import ACRONYM_EXCLUSIONS
+from maskwright.functions.patterns import sql
 from maskwright.functions.spans import arbitrate, substitute
 from maskwright.operators import detect as ops
-from maskwright.operators import language, mapping, quality
+from maskwright.operators import language, mapping
+from maskwright.plans.registry import ORACLES, QUERIES, query
 from maskwright.scratch import local_rows
 from maskwright.sources import pages as page_source
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle if SQL can say it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from maskwright.sources import tables
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return tables.read(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def _spans(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
@@ -43,7 +28,7 @@ def _spans(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
 
 def _spans_sql(pattern: str, category: str, keep: str = "true", table: str = "documents", key: str = "doc_id", column: str = "text") -> str:
     """Offsets of matches: lengths of the gaps and matches before each."""
-    p = pattern.replace("'", "''")
+    p = sql(pattern).replace("'", "''")
     return f"""
     WITH m AS (
       SELECT {key}, regexp_extract_all({column}, '{p}') AS ms, regexp_split_to_array({column}, '{p}') AS gaps FROM {table}
@@ -79,7 +64,10 @@ def card_spans_luhn(spark, sf_dir):
     return _spans(_docs(spark, sf_dir), D.card(F.col("text")))
 
 
-@query(_spans_sql("[0-9A-Za-z*•_]+", "MASKED_ID", "regexp_matches(t, '[*xX•_]{2}') AND length(regexp_replace(t, '[*xX•_]', '', 'g')) >= 4"))
+_MASK_TOKENS, _MASK_KEEP = "[0-9A-Za-z*•_]+", "regexp_matches(t, '[*xX•_]{2}') AND length(regexp_replace(t, '[*xX•_]', '', 'g')) >= 4"
+
+
+@query(_spans_sql(_MASK_TOKENS, "MASKED_ID", _MASK_KEEP))
 def masked_id_spans(spark, sf_dir):
     return _spans(_docs(spark, sf_dir), D.masked_id(F.col("text")))
 
@@ -105,7 +93,7 @@ def date_shields(spark, sf_dir):
 
 @query(_spans_sql(D.EMAIL, "EMAIL", table="pages", key="page_id", column="html"))
 def html_pages_email_spans(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    rows = tables.read(spark, sf_dir, "pages", "page_id", "html").withColumnRenamed("html", "text")
     return _spans(rows, D.email(F.col("text")), "page_id")
 
 
@@ -128,21 +116,23 @@ def dictionary_spans(spark, sf_dir):
 def span_overlap_pairs(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     both = docs.select("doc_id", D.email(F.col("text")).alias("a"), D.dictionary(F.col("text"), RULES[1:]).alias("b"))
-    pairs = both.select("doc_id", F.explode("a").alias("a"), "b").select("doc_id", "a", F.explode("b").alias("b"))
-    pairs = pairs.filter((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
+    near = F.filter("b", lambda b: (F.col("a.start") < b["end"]) & (b["start"] < F.col("a.end")))  # pairs that do not meet are never rows
+    pairs = both.select("doc_id", F.explode("a").alias("a"), "b").select("doc_id", "a", F.explode(near).alias("b"))
     return pairs.select("doc_id", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("start", "end")])
 
 
-def _two_kinds(docs: DataFrame) -> DataFrame:
-    """Emails and card numbers, arbitrated in the expression."""
+def _kinds(docs: DataFrame) -> DataFrame:
+    """Emails, cards, phones and masked ids, arbitrated in the expression."""
     t = F.col("text")
-    return docs.withColumn("spans", arbitrate(F.concat(D.email(t), D.card(t))))
+    return docs.withColumn("spans", arbitrate(F.concat(D.email(t), D.card(t), D.phone(t), D.masked_id(t))))
 
 
 _TWO_SQL = f"""WITH RECURSIVE c AS (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start" - "end", "start", category DESC) AS k FROM (
-        SELECT * FROM ({_spans_sql(D.EMAIL, "EMAIL")}) UNION ALL
-        SELECT * FROM ({_spans_sql(r"\b(?:\d[ -]?){13,19}\b", "CREDIT_CARD", f"{_DIGITS} BETWEEN 13 AND 19 AND {_LUHN}")}))
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start" - "end", "start", turn) AS k FROM (
+        SELECT *, 1 AS turn FROM ({_spans_sql(D.EMAIL, "EMAIL")}) UNION ALL
+        SELECT *, 2 AS turn FROM ({_spans_sql(r"\b(?:\d[ -]?){13,19}\b", "CREDIT_CARD", f"{_DIGITS} BETWEEN 13 AND 19 AND {_LUHN}")}) UNION ALL
+        SELECT *, 3 AS turn FROM ({_spans_sql(D.PHONE, "PHONE", f"{_DIGITS} BETWEEN 9 AND 15")}) UNION ALL
+        SELECT *, 4 AS turn FROM ({_spans_sql(_MASK_TOKENS, "MASKED_ID", _MASK_KEEP)}))
     ), r AS (
       SELECT doc_id, k, [{{'a': "start", 'z': "end"}}] AS kept, true AS taken, "start", "end", category, text FROM c WHERE k = 1
       UNION ALL
@@ -155,7 +145,7 @@ _TWO_SQL = f"""WITH RECURSIVE c AS (
 
 @query(_TWO_SQL + ' SELECT doc_id, "start", "end", category, text FROM w')
 def arbitrated_spans(spark, sf_dir):
-    return _spans(_two_kinds(_docs(spark, sf_dir)), F.col("spans"))
+    return _spans(_kinds(_docs(spark, sf_dir)), F.col("spans"))
 
 
 _MAPPING_SQL = (
@@ -177,7 +167,7 @@ def _two_table(docs: DataFrame) -> DataFrame:
 
 @query(_MAPPING_SQL + " SELECT doc_id, original_text, category, placeholder, n AS n_occurrences FROM p")
 def mapping_table(spark, sf_dir):
-    return _two_table(_two_kinds(_docs(spark, sf_dir))).drop("enabled")
+    return _two_table(_kinds(_docs(spark, sf_dir))).drop("enabled")
 
 
 @query(
@@ -193,21 +183,26 @@ def mapping_table(spark, sf_dir):
     FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id"""
 )
 def masked_text(spark, sf_dir):
-    docs = _two_kinds(_docs(spark, sf_dir))
-    table = _two_table(docs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("original_text", "placeholder"))).alias("put"))
+    """Spans, placeholders and masked text of a row in the row itself: nothing is shuffled."""
+    docs = _kinds(_docs(spark, sf_dir))
+    texts = F.transform("spans", lambda s: s["text"])
+    first = F.filter("spans", lambda s, i: F.array_position(texts, s["text"]) == i + 1)
+    rows = docs.withColumn("first", first)
+    so_far = lambda s, i: F.size(F.filter(F.slice("first", F.lit(1), i + 1), lambda x: x["category"] == s["category"]))
+    named = F.transform("first", lambda s, i: F.struct(s["text"].alias("k"), F.format_string("[[%s_%03d]]", s["category"], so_far(s, i)).alias("v")))
+    rows = rows.withColumn("put", F.map_from_entries(named))
     spots = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("put", s["text"]).alias("put")))
-    joined = docs.join(table, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("put").isNull(), F.col("text")).otherwise(substitute(F.col("text"), spots)).alias("masked"))
+    return rows.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(substitute(F.col("text"), spots)).alias("masked"))
 
 
 @query(_MAPPING_SQL + " SELECT category, count(*) AS n_mappings FROM p GROUP BY category")
 def category_counts(spark, sf_dir):
-    return mapping.category_counts(_two_table(_two_kinds(_docs(spark, sf_dir))))
+    return mapping.category_counts(_two_table(_kinds(_docs(spark, sf_dir))))
 
 
 @query(_MAPPING_SQL + " SELECT category, count(*) AS n_enabled, CAST(0 AS BIGINT) AS n_disabled FROM p GROUP BY ROLLUP (category)")
 def mapping_summary(spark, sf_dir):
-    return mapping.summary(_two_table(_two_kinds(_docs(spark, sf_dir))))
+    return mapping.summary(_two_table(_kinds(_docs(spark, sf_dir))))
 
 
 @query()
@@ -222,16 +217,20 @@ def masked_documents(spark, sf_dir):
     return ops.mask(_docs(spark, sf_dir)).select("doc_id", "masked", F.size("mappings").alias("n_mappings"))
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("SELECT doc_id, true AS same, CAST(0 AS BIGINT) AS n_unknown FROM documents")
 def restored_documents(spark, sf_dir):
-    """What masking took out comes back; names, whose spellings are merged, are left out."""
-    return ops.restored(ops.mask(_docs(spark, sf_dir), settings={"NAME": False})).select("doc_id", F.col("result.text").alias("text"))
+    """What masking took out comes back, names in the spelling of their mapping: the text with every occurrence of an
+    enabled mapping as its original is what restoring the masked text gives."""
+    masked = ops.mask(_docs(spark, sf_dir))
+    expected = mapping.render(F.coalesce("text", F.lit("")), F.col("mappings"), lambda m: m["original_text"])
+    back = ops.restored(masked.withColumn("expected", expected))
+    return back.select("doc_id", (F.col("result.text") == F.col("expected")).alias("same"), F.size("result.unknown").cast("long").alias("n_unknown"))
 
 
 @query()
 def masked_pages(spark, sf_dir):
     """Pages as text, masked."""
-    pages = page_source.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = page_source.from_table(tables.read(spark, sf_dir, "pages"))
     return ops.mask(pages).select("page_id", "masked")
 
 
@@ -309,25 +308,6 @@ def fnv1a_hash(spark, sf_dir):
 
 QUERIES["lang_scores"], ORACLES["lang_scores"] = language.lang_scores_query, language.LANG_SCORES_SQL
 QUERIES["lang_decision"], ORACLES["lang_decision"] = language.lang_decision_query, language.LANG_DECISION_SQL
-QUERIES["coverage_union"], ORACLES["coverage_union"] = quality.coverage_query, quality.COVERAGE_SQL
-QUERIES["score_outcomes"], ORACLES["score_outcomes"] = quality.outcomes_query, quality.OUTCOMES_SQL
-
-
-@query(
-    """WITH RECURSIVE n(name, tokens) AS (VALUES ('Ana Prieto Casal', ['ana','prieto','casal']), ('Ana Prieto', ['ana','prieto']),
-      ('Prieto Casal', ['prieto','casal']), ('Ana Gómez', ['ana','gomez']), ('Gómez', ['gomez'])),
-    e AS (SELECT a.name AS x, b.name AS y FROM n a, n b WHERE a.name <> b.name
-          AND ((len(a.tokens) >= 2 AND list_has_all(b.tokens, a.tokens)) OR (len(b.tokens) >= 2 AND list_has_all(a.tokens, b.tokens)))),
-    r AS (SELECT name AS x, name AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-    SELECT x AS name, arg_max(y, length(y)) AS canonical FROM r GROUP BY x"""
-)
-def name_cluster_components(spark, sf_dir):
-    from maskwright.functions.names import cluster_names
-
-    names = ["Ana Prieto Casal", "Ana Prieto", "Prieto Casal", "Ana Gómez", "Gómez"]
-    return local_rows(spark, list(cluster_names(names).items()), "name string, canonical string")
-
-
 @query(
     """SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS last_turn, count(*) AS n_turns FROM conversations GROUP BY conv_id"""
 )
@@ -338,12 +318,12 @@ def latest_turns(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS counter,
-       '[[V1_' || upper(md5(source)) || '_CUSTOM_' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) || ']]' AS token FROM documents"""
+    """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS counter,
+       '[[V1_' || upper(md5(CAST(conv_id AS VARCHAR))) || '_CUSTOM_' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) || ']]' AS token
+       FROM conversations"""
 )
 def minted_tokens(spark, sf_dir):
-    """Stable tokens counted within a scope."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = docs.select("doc_id", "source", n.cast("long").alias("counter"))
-    return rows.withColumn("token", F.format_string("[[V1_%s_CUSTOM_%d]]", F.upper(F.md5("source")), "counter"))
+    """Stable tokens counted within a conversation, the scope of a round trip."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = turns.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("counter"))
+    return rows.withColumn("token", scalars.token(F.upper(F.md5(F.col("conv_id").cast("string"))), F.lit("CUSTOM"), F.col("counter")))

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from maskwright.plans.catalogue import ORACLES, QUERIES
+from maskwright.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
