@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.scratch import local_rows
+from maskwright.scratch import local_rows, materialize
 from maskwright.sources import tables
 
 # Frequent words of each language; the order settles ties.
@@ -61,15 +61,20 @@ def paragraphs(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
 
 
 def evidence(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, lang, score, n_matches, n_words: known words and hints of each language with any."""
-    words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w != "")
-    listed = parts.select(*keys, F.size(words).alias("n_words"), F.explode(words).alias("word"))
+    """keys, lang, score, n_matches: known words and hints of each language with any."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))
+    listed = parts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("times"))
     table = local_rows(parts.sparkSession, weights(), "lang string, word string, weight double")
-    known = listed.join(F.broadcast(table), "word").select(*keys, "n_words", "lang", "weight", F.lit(1).alias("n"))
-    cues = F.array(*[F.when((F.length("word") > 1) & F.col("word").rlike(p), F.lit(lang)) for lang, p in HINTS.items()])
-    hinted = listed.select(*keys, "n_words", F.explode(F.array_compact(cues)).alias("lang"), F.lit(2.0).alias("weight"), F.lit(0).alias("n"))
+    known = listed.join(F.broadcast(table), "word").select(*keys, "lang", (F.col("weight") * F.col("times")).alias("weight"), F.col("times").alias("n"))
+    long = listed.filter((F.length("word") > 1) & F.col("word").rlike("|".join(HINTS.values())))
+    cues = F.array_compact(F.array(*[F.when(F.col("word").rlike(p), F.lit(lang)) for lang, p in HINTS.items()]))
+    hinted = long.select(*keys, F.explode(cues).alias("lang"), (F.col("times") * 2.0).alias("weight"), F.lit(0).cast("long").alias("n"))
     both = known.unionByName(hinted)
-    return both.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.sum("n").alias("n_matches"), F.first("n_words").alias("n_words"))
+    return both.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.sum("n").alias("n_matches"))
+
+
+def _length(text_col: str):
+    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
 
 
 def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -78,10 +83,11 @@ def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     A winner has LEAST_WORDS words, LEAST_MATCHES matches, LEAST_SCORE points and LEAD over the second. Letters count
     in composed form only. status is detected, mixed or undetermined; documents without any evidence are undetermined.
     """
-    parts = evidence(paragraphs(docs, keys, text_col), [*keys, "nth"])
+    cut = paragraphs(docs, keys, text_col)
+    by = [*keys, "nth"]
+    parts = materialize(evidence(cut, by).join(cut.select(*by, _length("text")), by), "evidence")  # read for texts and paragraphs
     totals = parts.groupBy(*keys, "lang").agg(F.sum("score").alias("score"), F.sum("n_matches").alias("n_matches"))
-    length = F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
-    whole = totals.join(docs.select(*keys, length), keys)
+    whole = totals.join(docs.select(*keys, _length(text_col)), keys)
     order = local_rows(docs.sparkSession, [(k, i) for i, k in enumerate(WORDS)], "lang string, turn int")
 
     def winners(rows: DataFrame, by: list[str]) -> DataFrame:
