@@ -1 +1 @@
-
+"""Documents that keep coming."""

@@ -133,9 +133,9 @@ def test_tokens_stay_over_revisions(spark):
 
 
 def test_old_mappings_and_switches(spark):
-    docs = detect.mask(spark.createDataFrame([(1, "Ana Prieto hizo Análisis. Ana Prieto, a@b.com")], "id int, text string"))
+    docs = detect.mask(spark.createDataFrame([(1, "Ana Prieto hizo Análisis. Ana Prieto, a@b.com")], "doc_id int, text string"))
     assert mapping.render_old(docs.drop("masked")).first().masked == "[[NAME_001]] hizo Análisis. [[NAME_001]], [[EMAIL_001]]"
-    rows = mapping.toggle(mapping.mapping_rows(docs, ["id"]), ["EMAIL_1"], False)
+    rows = mapping.toggle(mapping.mapping_rows(docs, ["doc_id"]), ["EMAIL_1"], False)
     assert rows.filter("not enabled").count() == 1
 
 
