@@ -124,7 +124,9 @@ def span_overlap_pairs(spark, sf_dir):
 def _kinds(docs: DataFrame) -> DataFrame:
     """Emails, cards, phones and masked ids, arbitrated in the expression."""
     t = F.col("text")
-    return docs.withColumn("spans", arbitrate(F.concat(D.email(t), D.card(t), D.phone(t), D.masked_id(t))))
+    found = arbitrate(F.concat(D.email(t), D.card(t), D.phone(t), D.masked_id(t)))
+    # behind a generator, or every later use of the spans would work them out anew
+    return docs.select("*", F.explode(F.array(found)).alias("spans"))
 
 
 _TWO_SQL = f"""WITH RECURSIVE c AS (
@@ -187,10 +189,10 @@ def masked_text(spark, sf_dir):
     docs = _kinds(_docs(spark, sf_dir))
     texts = F.transform("spans", lambda s: s["text"])
     first = F.filter("spans", lambda s, i: F.array_position(texts, s["text"]) == i + 1)
-    rows = docs.withColumn("first", first)
+    rows = docs.select("*", F.explode(F.array(first)).alias("first"))
     so_far = lambda s, i: F.size(F.filter(F.slice("first", F.lit(1), i + 1), lambda x: x["category"] == s["category"]))
     named = F.transform("first", lambda s, i: F.struct(s["text"].alias("k"), F.format_string("[[%s_%03d]]", s["category"], so_far(s, i)).alias("v")))
-    rows = rows.withColumn("put", F.map_from_entries(named))
+    rows = rows.select("*", F.explode(F.array(F.map_from_entries(named))).alias("put"))
     spots = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("put", s["text"]).alias("put")))
     return rows.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(substitute(F.col("text"), spots)).alias("masked"))
 
