@@ -2,8 +2,7 @@
 
 Two first-order Markov models over the characters of strings (letters in both cases, digits and a few signs, with a
 state for start and end) are trained from labelled samples: random strings drawn from the usual alphabets of keys,
-and ordinary identifiers. Candidates are the runs of at least LEAST such characters with a digit, or with a capital
-after a small letter, cut at slashes. The evidence of a candidate is its whole log-likelihood ratio, so longer
+and ordinary identifiers. Candidates are all runs of at least LEAST such characters, cut at slashes. The evidence of a candidate is its whole log-likelihood ratio, so longer
 strings may be less striking a character; it is a secret where the evidence passes a limit: odds of 1 to FALSE at
 least, and more where that is what keeps out all but FALSE of the identifiers made of words that training has not
 seen. Neighbours on both sides of a slash that are random too are part of the same secret, so a key with slashes
@@ -39,8 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 LEAST = 12
-#: A run with a digit, or with a capital after a small letter; an identifier of one kind of letters is no candidate.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+_=-])(?=[A-Za-z+_=-]*(?:[0-9]|(?<=[a-z])[A-Z]))[A-Za-z0-9+_=-]{12,}")
+#: Every run is scored, whatever its characters; the model alone decides.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{12,}")
 FALSE = 0.001
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
