@@ -9,13 +9,17 @@ text, and one that breaks off undecodably, gives its metadata record only. Files
 
 Defined results: a page without a URL has the URI urn:page:<id>; null pages have an empty body; repeated rows of an
 id and a URL are one capture, whose record is written as often as the row is there and keeps its identifier; records
-that break off or lack a length become rows with a `problem`, after which their file is not read on; blocks that are not UTF-8 are decoded with replacement characters, while their digests are
-those of the bytes; an empty table gives an empty result; other columns are ignored.
+that break off or lack a length become rows with a `problem`, after which their file is not read on; a record of more
+than LARGEST bytes is passed over and has a `problem`, as has a file of more than LARGEST_FILE; a body that inflates
+beyond LARGEST gives its metadata only; a charset that is unknown or no charset is read as UTF-8, and what cannot be
+decoded becomes replacement characters, while digests are those of the bytes; a response without an identifier gets
+one of its content; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -24,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,12 +43,20 @@ RECORD = (
     "type string, record_id string, refers_to string, target_uri string, date string, "
     "headers array<struct<name:string,value:string>>, block binary, problem string"
 )
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|footer|header|title|head|body|html|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+#: Bytes that a body may inflate to, and a record may have: one task holds that much at a time.
+LARGEST = 256 << 20
+#: Files beyond this cannot be read as one value; they become rows with a problem.
+LARGEST_FILE = (1 << 31) - (1 << 20)
+_BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table section article nav footer header title head body html blockquote pre".split())
+_RAW = frozenset(("script", "style", "noscript", "template"))
+_OPENED = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_HREF = re.compile(r"""\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+_LONG_NUMBER = re.compile(r"&#(?:\d{8,}|[xX][0-9a-fA-F]{7,});?")
+#: Charsets that are looked up; any other name means UTF-8. Codecs that are no charsets (idna, unicode_escape) are out.
+_CHARSET = re.compile(r"(?:utf|ucs|iso|latin|windows|cp|koi8|mac|us|ascii|gb|hz|big5|euc|shift|sjis|ms|tis|viscii|x)[\w.-]*", re.I)
+_NO_CHARSET = frozenset(("utf-7", "mbcs", "oem"))
 
 
 def digest(data: bytes) -> str:
@@ -54,11 +67,86 @@ def named_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join(parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text of a page, one line per block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+@dataclass
+class Page:
+    """What a page holds: visible text, one line a block; title, language and links, null where it has none."""
+
+    text: str
+    title: str | None
+    lang: str | None
+    links: list[str]
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number that is no code point is one replacement character."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text))
+
+
+def read_page(page: str) -> Page:
+    """One forward pass over the tags of a page: every character is looked at a bounded number of times.
+
+    Comments, declarations and the insides of scripts, styles, templates and noscript go; one that is not closed goes
+    to the page's end. A `<` that opens no tag is text.
+    """
+    parts: list[str] = []
+    links: list[str] = []
+    title = lang = None
+    at, low = 0, page.lower()
+    low = low if len(low) == len(page) else "".join(c.lower() if c.isascii() else c for c in page)
+    ends = {name: 0 for name in _RAW | {"title"}}
+
+    def closing(name: str, start: int) -> int:
+        """Where the next end tag of that name begins, or the page's length; a name's ends are never looked for twice."""
+        if ends[name] < start:
+            found = low.find(f"</{name}", start)
+            ends[name] = len(page) if found < 0 else found
+        return ends[name]
+
+    while at < len(page):
+        tag = _OPENED.search(page, at)
+        if not tag:
+            parts.append(page[at:])
+            break
+        opened = tag.start()
+        parts.append(page[at:opened])
+        if page.startswith("<!--", opened):
+            shut = page.find("-->", opened + 4)
+            at = len(page) if shut < 0 else shut + 3
+            continue
+        shut = page.find(">", opened)
+        if shut < 0:
+            parts.append(page[opened:])
+            break
+        at = shut + 1
+        named = _NAME.match(low, opened + 1, shut)
+        if not named:
+            continue
+        name, begins = named[1], low[opened + 1] != "/"
+        if name in _BLOCKS:
+            parts.append("\n")
+        if begins and name in _RAW:
+            end = closing(name, at)
+            shut = page.find(">", end)
+            at = len(page) if shut < 0 else shut + 1
+        elif begins and name == "title" and title is None:
+            end = closing("title", at)
+            if end < len(page):
+                title = " ".join(unescaped(page[at:end]).split())
+        elif begins and name == "a" and (link := _HREF.search(page, opened, shut)):
+            links.append(unescaped(link[1]))
+        elif begins and name == "html" and lang is None and (found := _LANG.search(page, opened, shut)):
+            lang = found[1]
+    lines = (" ".join(line.split()) for line in unescaped("".join(parts)).split("\n"))
+    return Page("\n".join(line for line in lines if line), title, lang, links)
+
+
+def charset_of(name: str) -> str:
+    """The codec of a charset's name, UTF-8 for what is none."""
+    try:
+        known = codecs.lookup(name).name if _CHARSET.fullmatch(name) else "utf-8"
+    except (LookupError, ValueError):
+        return "utf-8"
+    return "utf-8" if known in _NO_CHARSET or not codecs.lookup(known)._is_text_encoding else known
 
 
 def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -88,6 +176,12 @@ class _Stream:
             self.held += more
         return len(self.held) >= n
 
+    def skip(self, n: int) -> bool:
+        """Whether n bytes went by; no more than some of them are held."""
+        while n and self.fill(min(n, 1 << 20)):
+            n -= len(self.take(min(n, 1 << 20)))
+        return n == 0
+
     def take(self, n: int) -> bytes:
         out, self.held = self.held[:n], self.held[n:]
         return out
@@ -127,9 +221,14 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, str | Non
                 name, _, value = line.partition(":")
                 headers.append((name.strip(), value.strip()))
         length = next((v for n, v in headers if n.lower() == "content-length"), "")
-        if not (length.isascii() and length.isdigit()):
+        if not (length.isascii() and length.isdigit() and len(length) < 19):
             yield headers, stream.held, "no Content-Length"
             return
+        if int(length) > LARGEST:
+            yield headers, b"", f"block of more than {LARGEST} bytes"
+            if not stream.skip(int(length)):
+                return
+            continue
         if not stream.fill(int(length)):
             yield headers, stream.held, f"block breaks off ({stream.broken})"
             return
@@ -204,11 +303,14 @@ def inflated(body: bytes, coding: str) -> bytes | None:
     else:
         return None
     for kind in kinds:
-        out, rest = [], body
+        out, rest, left = [], body, LARGEST
         try:
             while rest and (kind != 31 or rest.startswith(b"\x1f\x8b")):  # gzip may have several members
                 undo = zlib.decompressobj(kind)
-                out.append(undo.decompress(rest) + undo.flush())
+                out.append(undo.decompress(rest, left + 1))
+                left -= len(out[-1])
+                if left < 0:
+                    return None
                 rest = undo.unused_data if kind == 31 else b""
             return b"".join(out)
         except zlib.error:
@@ -243,26 +345,23 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     http = head.decode("utf-8", "replace").split(CRLF) if split and head.startswith(b"HTTP/") else []
     if not http:
         body = block
-    charset = next((m[1] for line in http for m in [re.search(r"charset=([\w-]+)", line, re.I)] if m), "utf-8")
+    charset = next((m[1] for line in http for m in [re.search(r"charset=[\"']?([\w.-]+)", line, re.I)] if m), "utf-8")
     decoded = payload_text(http, body)
-    try:
-        page = (decoded or b"").decode(charset, "replace")
-    except LookupError:
-        page = (decoded or b"").decode("utf-8", "replace")
+    page = read_page((decoded or b"").decode(charset_of(charset), "replace"))
+    if not source:  # named by what it holds, or all nameless responses would share their derived ids
+        source = named_id("nameless", uri, date, digest(block))
     payload = known.get("warc-payload-digest") or digest(body)
     linked = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri)]
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
     fields = [("source-payload-digest", payload)]
     if "warc-block-digest" in known:
         fields.append(("source-block-digest", known["warc-block-digest"]))
     fields += [("source-status", http[0])] if http else []
     fields += [("source-header", line) for line in http[1:]]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("language", lang[1])] if lang else []
-    fields += [("outlink", html.unescape(x)) for x in _LINK.findall(page)]
-    about = "".join(f"{n}: {v}{CRLF}" for n, v in fields).encode("utf-8")
-    text = plain_text(page).encode("utf-8")
+    fields += [("title", page.title)] if page.title is not None else []
+    fields += [("language", page.lang)] if page.lang else []
+    fields += [("outlink", link) for link in page.links]
+    about = "".join(f"{n}: {v}{CRLF}" for n, v in fields).encode("utf-8", "replace")
+    text = page.text.encode("utf-8", "replace")
     out = []
     for kind, data, content in (("metadata", about, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
         if kind == "conversion" and decoded is None:
@@ -290,9 +389,14 @@ def derive(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for headers, block in zip(batch["headers"], batch["block"]):
-                rows += derive_one([(h["name"], h["value"]) for h in headers], bytes(block))
+                made = derive_one([(h["name"], h["value"] or "") for h in headers], bytes(block))
+                rows += made
+                size += sum(len(r[6]) + 1000 for r in made)
+                if size >= BATCH:
+                    yield _frame(rows)
+                    rows, size = [], 0
             yield _frame(rows)
 
     whole = (F.col("type") == "response") & F.col("problem").isNull()
@@ -317,7 +421,12 @@ def read_warc(spark, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _frame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    files = spark.read.format("binaryFile").load(path)
+    whole = files.where(F.col("length") <= LARGEST_FILE).select("content").mapInPandas(run, RECORD)
+    # the content of a larger file is never asked for
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema if f.name not in ("target_uri", "problem")]
+    large = files.where(F.col("length") > LARGEST_FILE).select(F.col("path").alias("target_uri"), F.lit(f"file of more than {LARGEST_FILE} bytes").alias("problem"), *none)
+    return whole.unionByName(large)
 
 
 def write_warc(records: DataFrame, path: str, compress: bool = True) -> None:
