@@ -6,6 +6,7 @@ line, whatever the text's script.
 
 from __future__ import annotations
 
+import regex as re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,11 +67,14 @@ PT_PHONE = (
     r"(?<![A-Za-z0-9_])(?:(?:\+|00)351[ .-]?)?(?:(?:9[1236]\d|2\d{2})[ .-]?\d{3}[ .-]?\d{3}|(?:2\d)[ .-]?\d{3}[ .-]?\d{4}"
     r"|(?:9[1236])[ .-]?\d{3}[ .-]?\d{4})(?!\d)"
 )
-PT_POSTCODE = r"(?<![\d-])\d{4}-\d{3}(?:[ \t]+\p{Lu}\p{L}*(?:[ \t]+(?:de|do|da|dos|das|\p{Lu}\p{L}*))*)?"
-PT_STREET = (
-    r"(?<!\p{L})(?:Rua|Avenida|Av\.|Praça|Largo|Travessa|Alameda|Estrada|Beco|Calçada)[ \t]+(?:(?:de|do|da|dos|das)[ \t]+)?\p{Lu}\p{L}*"
-    r"(?:[ \t]+(?:de|do|da|dos|das|e|\p{Lu}\p{L}*))*[ \t]*,?[ \t]*\d+[A-Za-zº.]*(?:[ ,\t]*\d+\.?º[ \t]*(?:Esq|Dto|Esq\.|Dto\.)?)?"
+PT_POSTCODE = r"(?<![\d-])\d{4}-\d{3}(?:[ \t]+\p{Lu}\p{L}*+(?:[ \t]++(?:de|do|da|dos|das|\p{Lu}\p{L}*+))*+)?"
+# Streets: a match without group 1 is a street whose words end before any number. It takes the words with it, so no word
+# is read once for every street before it; what a run of words has taken it never gives back.
+_PT_WORDS = (
+    r"(?<!\p{L})(?:Rua|Avenida|Av\.|Praça|Largo|Travessa|Alameda|Estrada|Beco|Calçada)[ \t]++(?:(?:de|do|da|dos|das)[ \t]++)?+(?!Av\.)\p{Lu}\p{L}*+"
+    r"(?:[ \t]++(?!Av\.)(?:de|do|da|dos|das|e|\p{Lu}\p{L}*+))*+"
 )
+PT_STREET = rf"({_PT_WORDS}[ \t]*,?[ \t]*\d+[A-Za-zº.]*(?:[ ,\t]*\d+\.?º[ \t]*(?:Esq|Dto|Esq\.|Dto\.)?)?)|{_PT_WORDS}"
 _PARTICLE = r"(?:de|do|da|dos|das|del|la|las|los|el|o|a|os|as)"
 STREETS = (
     "Rúa", "Rua", "Calle", "C/", "Avenida", "Avda", "Plaza", "Praza", "Camiño", "Street", "Avenue", "Road", "Rd", r"Avda\.", r"Av\.",
@@ -83,10 +87,13 @@ _DOOR = (
     r"(?:\d{1,2}[ºª°](?:[ \t]*(?:[A-Z](?![A-Za-z0-9_])|esquerda|dereita|izquierda|derecha|izda\.?|dcha\.?|centro|ext\.?|int\.?))?"
     r"|baixo|bajo|entresuelo|entreplanta|ático|atico|planta[ \t]+\d+|porta[ \t]+[A-Za-z0-9_]+|puerta[ \t]+[A-Za-z0-9_]+|piso[ \t]+[A-Za-z0-9_]+)"
 )
+_SHORT = "(?!" + "|".join(f"[{k[0].upper()}{k[0].lower()}]{k[1:]}" for k in STREETS if not k.isalpha()) + ")"
+_STREET_WORDS = (
+    rf"(?<!\p{{L}})(?:{_STREET})(?:[ \t]++{_PARTICLE}(?=[ \t]))*+[ \t]++{_SHORT}\p{{Lu}}\p{{L}}*+(?:[ \t]++(?:{_PARTICLE}[ \t]++)*+{_SHORT}\p{{Lu}}\p{{L}}*+)*+"
+)
 ADDRESS = (
-    rf"(?<!\p{{L}})(?:{_STREET})(?:[ \t]+{_PARTICLE})*[ \t]+\p{{Lu}}\p{{L}}*(?:[ \t]+(?:{_PARTICLE}[ \t]+)*\p{{Lu}}\p{{L}}*)*"
-    rf",?[ \t]*(?:(?:n[ºo°]\.?[ \t]*)?\d+[A-Za-z]?{E}|km\.?[ \t]*\d+(?:[.,]\d+)?|s/n)(?:,?[ \t]*{_DOOR}){{0,2}}"
-    rf"(?:,?[ \t]*\d{{5}}(?:[ \t]+{_AREA})?|,[ \t]*{_AREA})?"
+    rf"({_STREET_WORDS},?[ \t]*(?:(?:n[ºo°]\.?[ \t]*)?\d+[A-Za-z]?{E}|km\.?[ \t]*\d+(?:[.,]\d+)?|s/n)(?:,?[ \t]*{_DOOR}){{0,2}}"
+    rf"(?:,?[ \t]*\d{{5}}(?:[ \t]+{_AREA})?|,[ \t]*{_AREA})?)|{_STREET_WORDS}"
 )
 UK_ADDRESS = (
     B + r"\d+[A-Za-z]?[ \t]+(?:\p{Lu}\p{L}*[ \t]+){1,3}(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Grove|Close|Drive|Dr|Way|Place|Terrace|Crescent"
@@ -94,7 +101,7 @@ UK_ADDRESS = (
     r"(?:,?[ \t]*[A-Z]{1,2}\d[A-Z\d]?[ \t]?\d[A-Z]{2}" + E + ")?"
 )
 US_ADDRESS = (
-    B + r"\d+[ \t]+\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*){0,3},[ \t]*\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*)*,[ \t]*[A-Z]{2}[ \t]+\d{5}(?:-\d{4})?" + E
+    B + r"\d+[ \t]+\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*){0,3},[ \t]*\p{Lu}\p{L}*+(?:[ \t]++\p{Lu}\p{L}*+)*+,[ \t]*[A-Z]{2}[ \t]+\d{5}(?:-\d{4})?" + E
 )
 POSTCODE_PLACE = rf"(?iu){B}\d{{5}}[ \t]+(?:{any_of(LOCALITIES)}){E}"
 POSTCODE_LABEL = spaced(rf"(?iu){B}(?:CP|C\.?P\.?|código\s+postal|postal\s+code)\s*:?\s*(\d{{5}}){E}")
@@ -115,10 +122,19 @@ def _or(words) -> str:
     return "|".join(words) or "(?!)"
 
 
-def company_patterns(lexicon: dict) -> tuple[str, str]:
-    """A run of capitalised words before a legal form, and one after an opening word."""
-    run = r"\p{Lu}\p{L}*(?:[ \t]+\p{Lu}\p{L}*)*"
-    return rf"{run},?[ \t]+(?:{_or(lexicon['company_suffixes'])}){_COMPANY_END}", rf"{B}(?:{_or(lexicon['company_prefixes'])})[ \t]+{run}"
+_CAPITALS = r"\p{Lu}\p{L}*+(?:[ \t]++\p{Lu}\p{L}*+)*+"
+
+
+def company_patterns(lexicon: dict) -> tuple[str, str, str]:
+    """A run of capitalised words with the legal form at its end, if any; a legal form in such a run; a
+    run after an opening word. The last form of a run ends the name. A run is read once and gives nothing back."""
+    forms = lexicon["company_suffixes"]
+    # a form like S.L. is begun by a word of the run and goes on behind it
+    broken = [re.fullmatch(r"(\p{L}+)(\P{L}.*)", f) for f in forms]
+    after = rf",?[ \t]++(?:{_or(forms)}){_COMPANY_END}"
+    behind = "".join(rf"|(?<=[ \t]{m[1]}){m[2]}{_COMPANY_END}" for m in broken if m)
+    run = rf"\p{{Lu}}\p{{L}}*+(?:(?:[ \t]++\p{{Lu}}\p{{L}}*+)++(?:{after}{behind})?+|{after})?+"
+    return run, rf"(?<=\p{{L}}),?[ \t]+(?:{_or(forms)}){_COMPANY_END}", rf"{B}(?:{_or(lexicon['company_prefixes'])})[ \t]+{_CAPITALS}"
 
 
 def shield_patterns(lexicon: dict) -> tuple[str, str, str]:
@@ -200,10 +216,14 @@ def money(t: Column) -> Column:
     return emit(_apart(_balanced(scan(t, MONEY)), _balanced(scan(t, MONEY_WORDS))), "MONEY", RUNG["MONEY"])
 
 
+def _numbered(found: Column) -> Column:
+    return F.filter(found, lambda m: m["text"] != "")
+
+
 def address(t: Column) -> Column:
     us = scan(t, US_ADDRESS)
     uk = F.filter(scan(t, UK_ADDRESS), lambda u: ~F.exists(us, lambda a: (a["start"] < u["end"]) & (u["start"] < a["end"])))
-    all_ = F.concat(scan(t, ADDRESS), us, uk, scan(t, POSTCODE_PLACE), scan(t, POSTCODE_LABEL, 1))
+    all_ = F.concat(_numbered(scan(t, ADDRESS, 1)), us, uk, scan(t, POSTCODE_PLACE), scan(t, POSTCODE_LABEL, 1))
     return emit(all_, "ADDRESS", RUNG["ADDRESS"], pack="ES")
 
 
@@ -219,8 +239,14 @@ DEFAULT = ("es", "en")
 
 
 def company(t: Column, languages: tuple[str, ...] = DEFAULT) -> Column:
-    found = [scan(t, p) for p in company_patterns(lexicon_of(languages))]
-    return emit(F.concat(*found), "COMPANY", RUNG["COMPANY"], pack=None)
+    run, form, opening = company_patterns(lexicon_of(languages))
+
+    def cut(m: Column) -> Column:
+        text = F.regexp_extract(F.concat(m["text"], F.substring(t, m["end"] + 1, 1)), r"(?s)\A.*" + form, 0)
+        return F.struct(m["start"].alias("start"), (m["start"] + F.length(text)).alias("end"), text.alias("text"))
+
+    formed = F.filter(F.transform(scan(t, run), cut), lambda m: m["text"] != "")
+    return emit(F.concat(formed, scan(t, opening)), "COMPANY", RUNG["COMPANY"], pack=None)
 
 
 def acronym(t: Column, languages: tuple[str, ...] = DEFAULT) -> Column:
@@ -252,7 +278,7 @@ def pt_address(t: Column) -> Column:
         text = F.regexp_replace(m["text"], r"[ ,.\t]+\z", "")
         return F.struct(m["start"].alias("start"), (m["start"] + F.length(text)).alias("end"), text.alias("text"))
 
-    return emit(F.concat(F.transform(scan(t, PT_STREET), trimmed), scan(t, PT_POSTCODE)), "ADDRESS", RUNG["ADDRESS"], pack="PT")
+    return emit(F.concat(F.transform(_numbered(scan(t, PT_STREET, 1)), trimmed), scan(t, PT_POSTCODE)), "ADDRESS", RUNG["ADDRESS"], pack="PT")
 
 
 def dictionary(t: Column, rules: list[dict]) -> Column:

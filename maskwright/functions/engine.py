@@ -37,7 +37,7 @@ class Span(NamedTuple):
 
 
 def _hits(pattern: str, text: str, group: int = 0) -> list[tuple[int, int, str]]:
-    return [(*m.span(group), m[group]) for m in compiled(pattern).finditer(text)]
+    return [(*m.span(group), m[group]) for m in compiled(pattern).finditer(text) if m[group] is not None]
 
 
 def _digits(text: str) -> str:
@@ -106,7 +106,7 @@ def _money(text: str) -> list:
 
 
 def _address(text: str) -> list:
-    streets = _hits(D.ADDRESS, text) if _in_street(text) else []
+    streets = _hits(D.ADDRESS, text, 1) if _in_street(text) else []
     if not _some_digits(text, 1):
         return streets
     us = _hits(D.US_ADDRESS, text)
@@ -193,12 +193,18 @@ def _masked_ids(text: str) -> list:
 
 
 def _companies(lexicon: dict):
-    form, opening = D.company_patterns(lexicon)
+    runs, form, opening = D.company_patterns(lexicon)
+    whole = compiled(form)
     has_form = [_cue(lexicon["company_suffixes"], blank) for blank in " \t"]
     has_opening = _cue(lexicon["company_prefixes"])
 
     def run(text: str) -> list:
-        found = _hits(form, text) if any(has(text) for has in has_form) else []
+        found = []
+        if any(has(text) for has in has_form):
+            for a, b, t in _hits(runs, text):
+                end = max((m.end() for m in whole.finditer(t + text[b : b + 1])), default=0)
+                if end:
+                    found.append((a, a + end, t[:end]))
         return found + (_hits(opening, text) if has_opening(text) else [])
 
     return run
@@ -228,7 +234,7 @@ def _pt_nif(text: str) -> list[Span]:
 
 
 def _pt_address(text: str) -> list:
-    streets = [(a, a + len(t.rstrip(" ,.\t")), t.rstrip(" ,.\t")) for a, _, t in _hits(D.PT_STREET, text)]
+    streets = [(a, a + len(t.rstrip(" ,.\t")), t.rstrip(" ,.\t")) for a, _, t in _hits(D.PT_STREET, text, 1)]
     return streets + _hits(D.PT_POSTCODE, text)
 
 
