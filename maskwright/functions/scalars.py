@@ -168,3 +168,23 @@ def token(scope: Column, category: Column, counter: Column) -> Column:
 
 
 TOKEN = r"^\[\[V1_[A-F0-9]{32}_[A-Z][A-Z0-9_]{0,63}_[1-9][0-9]*\]\]\z"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters that are a letter with marks on it, and those letters, by the rule of canonical decomposition."""
+    import unicodedata
+
+    marked = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x1F00)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
+        if base != c and len(base) == 1:
+            marked[c] = base
+    return "".join(marked), "".join(marked.values())
+
+
+ACCENTED, BARE = _accents()
+
+
+def without_accents(text: Column) -> Column:
+    """Composed and decomposed letters without their marks: Latin, Greek and the letters added for Vietnamese."""
+    return F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), ACCENTED, BARE)

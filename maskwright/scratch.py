@@ -26,14 +26,20 @@ def scratch_root(spark: SparkSession) -> str:
 _written: dict[str, None] = {}
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted by `clear` or at the end of the driver's process."""
+    path = f"{scratch_root(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
+    _written[path] = None
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return a reader of it.
 
     The lineage ends at the files, which survive lost executors. They stay until `discard`, `clear` or the end of the
     driver's process.
     """
-    path = f"{scratch_root(df.sparkSession)}/maskwright/{name}-{uuid.uuid4().hex}"
-    _written[path] = None
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
