@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import scalars
@@ -115,18 +115,17 @@ def identified(current: DataFrame, log: SnapshotLog) -> DataFrame:
     """Mappings of a new version with their tokens.
 
     current: scope, category, original_text, variants, ordinal (order within the scope), enabled, anchors (how the
-    occurrences stand) and held, the highest number of a token of the scope in the raw text (null: none). A mapping
-    that comes again keeps its token unless the text holds one like it, and its switch where its anchors are the same.
+    occurrences stand) and held, the tokens of the scope that the raw text holds already (null: none). A mapping that
+    comes again keeps its token unless the text holds it, and its switch where its anchors are the same.
     """
     before = log.read().groupBy(*NAME).agg(F.max_by(F.struct("number", "token", "enabled", "anchors"), "version").alias("old"))
     on = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in NAME]
     joined = current.alias("c").join(before.alias("p"), on, "left").select("c.*", "old")
-    # a token that the raw text may hold already is not used again
-    kept = F.col("old").isNotNull() & (F.col("old.number") > F.coalesce("held", F.lit(0)))
+    kept = F.col("old").isNotNull() & ~F.coalesce(F.array_contains("held", F.col("old.token")), F.lit(False))
     rows = joined.withColumn("reused", kept).join(log.high_water(), "scope", "left")
     order = Window.partitionBy("scope").orderBy("ordinal")
     news = F.sum((~F.col("reused")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    from_ = F.greatest(F.coalesce("high", F.lit(0).cast("long")), F.coalesce(F.max("held").over(Window.partitionBy("scope")), F.lit(0).cast("long")))
+    from_ = F.greatest(F.coalesce("high", F.lit(0).cast("long")), F.coalesce(F.max(highest(F.col("held"))).over(Window.partitionBy("scope")), F.lit(0).cast("long")))
     numbered = rows.withColumn("number", F.when(F.col("reused"), F.col("old.number")).otherwise(from_ + news))
     same = F.col("reused") & F.col("old.anchors").eqNullSafe(F.col("anchors"))
     return numbered.select(
@@ -136,8 +135,12 @@ def identified(current: DataFrame, log: SnapshotLog) -> DataFrame:
     )
 
 
-def held_number(text, scope):
-    """The highest number of a token of the scope in a text, null where it holds none."""
-    shown = F.regexp_extract_all(text, F.lit(r"\[\[V1_([A-F0-9]{32}_[A-Z][A-Z0-9_]{0,63}_[1-9]\d{0,17})\]\]"), F.lit(1))
-    own = F.filter(shown, lambda t: t.startswith(F.concat(scope, F.lit("_"))))
-    return F.array_max(F.transform(own, lambda t: F.element_at(F.split(t, "_"), -1).cast("long")))
+def held_tokens(text: Column, scope: Column) -> Column:
+    """The tokens of a scope in a text."""
+    shown = F.regexp_extract_all(text, F.lit(r"\[\[V1_[A-F0-9]{32}_[A-Z][A-Z0-9_]{0,63}_[1-9]\d{0,17}\]\]"), F.lit(0))
+    return F.filter(shown, lambda t: t.startswith(F.concat(F.lit("[[V1_"), scope, F.lit("_"))))
+
+
+def highest(held: Column) -> Column:
+    """The highest number of some tokens, null where there are none."""
+    return F.array_max(F.transform(held, lambda t: F.regexp_extract(t, r"_(\d+)\]\]\z", 1).cast("long")))

@@ -85,7 +85,7 @@ def snapshot_tokens(spark, sf_dir):
         current = first.select(
             mentions.upper_md5(F.col("conv_id")).alias("scope"), F.lit("NAME").alias("category"), F.col("original").alias("original_text"), F.array("original").alias("variants"),
             F.row_number().over(Window.partitionBy("conv_id").orderBy("at")).alias("ordinal"), F.lit(True).alias("enabled"), F.col("n").cast("string").alias("anchors"),
-            F.lit(None).cast("long").alias("held"),
+            F.lit(None).cast("array<string>").alias("held"),
         )
         log.commit(snapshots.identified(current, log), version - 1)
     return log.read().select("scope", "version", F.col("original_text").alias("original"), "reused", "token")

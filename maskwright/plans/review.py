@@ -225,7 +225,7 @@ def identified_tokens(spark, sf_dir):
         F.lit(1.0).alias("confidence"), F.lit("manual").alias("source"), F.lit(True).alias("enabled"), F.array("word").alias("variants"), spot.alias("occurrences"),
     )
     rows = first.select("conv_id", "text", F.array(one).alias("mappings"), F.lit(_SCOPE).alias("scope"), F.lit(None).cast(f"array<{ops.MAPPING}>").alias("previous"), F.lit(1).cast("long").alias("following"))
-    out = identity.identify(rows, "scope", "previous", "following")
+    out = identity.identify(rows, ["conv_id"], "scope", "previous", "following")
     return out.select("conv_id", F.col("mappings")[0]["placeholder"].alias("token"), "masked", "next_counter")
 
 

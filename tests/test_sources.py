@@ -118,13 +118,13 @@ def test_stand_ins(spark):
 def test_tokens_stay_over_revisions(spark):
     scope = "AB" * 16
     docs = detect.mask(spark.createDataFrame([(1, "soy Ana Prieto, a@b.com")], "id int, text string"))
-    first = identity.identify(docs.withColumn("scope", F.lit(scope)).withColumn("previous", F.lit(None).cast(f"array<{detect.MAPPING}>")).withColumn("n", F.lit(1)), "scope", "previous", "n")
+    first = identity.identify(docs.withColumn("scope", F.lit(scope)).withColumn("previous", F.lit(None).cast(f"array<{detect.MAPPING}>")).withColumn("n", F.lit(1)), ["id"], "scope", "previous", "n")
     row = first.first()
     assert row.masked == f"soy [[V1_{scope}_NAME_1]], [[V1_{scope}_EMAIL_2]]" and row.next_counter == 3
     text = f"c@d.org y soy Ana Prieto [[V1_{scope}_EMAIL_3]]"
     again = detect.mask(spark.createDataFrame([(1, text)], "id int, text string"))
     known = first.select("id", F.col("mappings").alias("previous"), F.col("next_counter").alias("n"))
-    second = identity.identify(again.join(known, "id").withColumn("scope", F.lit(scope)), "scope", "previous", "n").first()
+    second = identity.identify(again.join(known, "id").withColumn("scope", F.lit(scope)), ["id"], "scope", "previous", "n").first()
     assert second.masked == f"[[V1_{scope}_EMAIL_4]] y soy [[V1_{scope}_NAME_1]] [[V1_{scope}_EMAIL_3]]" and second.next_counter == 5
     kept = first.select(identity.snapshot_problem(F.lit(scope), F.col("mappings")).alias("own"), identity.snapshot_problem(F.lit("F" * 32), F.col("mappings")).alias("other")).first()
     assert kept.own is None and kept.other

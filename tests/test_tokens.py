@@ -50,7 +50,7 @@ def test_a_stream_with_restarts_equals_the_table(spark, tmp_path):
 
 def mapped(spark, rows: list[tuple]):
     """scope, category, original, ordinal, held: as `identified` takes them."""
-    frame = spark.createDataFrame(rows, "scope string, category string, original_text string, ordinal int, held long")
+    frame = spark.createDataFrame(rows, "scope string, category string, original_text string, ordinal int, held array<string>")
     return frame.select("scope", "category", "original_text", F.array("original_text").alias("variants"), "ordinal", F.lit(True).alias("enabled"), F.lit("0:1").alias("anchors"), "held")
 
 
@@ -66,7 +66,7 @@ def test_versions_reuse_count_on_and_skip_what_the_text_holds(spark, tmp_path):
     assert log.version() == 0 and log.read().count() == 0
     first = snapshots.identified(mapped(spark, [(A, "NAME", "Ana", 1, None), (A, "NAME", "Bea", 2, None), (B, "NAME", "Ana", 1, None)]), log)
     assert log.commit(first, 0) == 1
-    second = snapshots.identified(mapped(spark, [(A, "NAME", "Carl", 1, None), (A, "NAME", "Bea", 2, None), (B, "NAME", "Ana", 1, 7), (B, "NAME", "Eve", 2, 7)]), log)
+    second = snapshots.identified(mapped(spark, [(A, "NAME", "Carl", 1, None), (A, "NAME", "Bea", 2, None), (B, "NAME", "Ana", 1, [f"[[V1_{B}_NAME_1]]"]), (B, "NAME", "Eve", 2, [f"[[V1_{B}_ID_7]]"])]), log)
     assert numbers(second) == [("A", "Bea", 2, True), ("A", "Carl", 3, False), ("B", "Ana", 8, False), ("B", "Eve", 9, False)]
     assert log.commit(second, 1) == 2
     assert sorted({r["version"] for r in log.read().collect()}) == [1, 2]
@@ -103,7 +103,8 @@ def test_a_switch_stays_where_the_anchors_do(spark, tmp_path):
     assert got == {"Ana": False, "Bea": True}
 
 
-def test_numbers_that_a_text_holds(spark):
+def test_tokens_that_a_text_holds(spark):
     text = f"x [[V1_{A}_NAME_12]] [[V1_{B}_NAME_99]] [[V1_{A}_CUSTOM_X_3]] [[NAME_500]]"
-    row = spark.createDataFrame([(text, A), ("none", A), (None, A)], "text string, scope string")
-    assert [r[0] for r in row.select(snapshots.held_number(F.col("text"), F.col("scope"))).collect()] == [12, None, None]
+    row = spark.createDataFrame([(text, A), ("none", A), (None, A)], "text string, scope string").select(snapshots.held_tokens(F.col("text"), F.col("scope")).alias("held"))
+    got = [(r[0], r[1]) for r in row.select("held", snapshots.highest(F.col("held"))).collect()]
+    assert got == [([f"[[V1_{A}_NAME_12]]", f"[[V1_{A}_CUSTOM_X_3]]"], 12), ([], None), (None, None)]
