@@ -85,6 +85,16 @@ def detect(docs: DataFrame, text_col: str = "text", manual_col: str | None = Non
     return _with(docs, [text_col, *([manual_col] if manual_col else [])], {"spans": (f"array<{SPAN}>", _SPANS)}, start)
 
 
+def candidates(docs: DataFrame, text_col: str = "text", **profile) -> DataFrame:
+    """docs with `candidates`: what every detector and rule finds, in the order that settles ties, nothing decided."""
+
+    def start():
+        engine = Engine(**profile)
+        return lambda text: (engine.candidates(text or ""),)
+
+    return _with(docs, [text_col], {"candidates": (f"array<{SPAN}>", _SPANS)}, start)
+
+
 def mask(docs: DataFrame, text_col: str = "text", manual_col: str | None = None, **profile) -> DataFrame:
     """docs with `spans`, `mappings` and `masked`."""
 

@@ -13,7 +13,6 @@ from maskwright.functions.spans import arbitrate, substitute
 from maskwright.operators import detect as ops
 from maskwright.operators import language, mapping
 from maskwright.plans.registry import ORACLES, QUERIES, query
-from maskwright.scratch import local_rows
 from maskwright.sources import pages as page_source
 from maskwright.sources import tables
 
@@ -236,37 +235,45 @@ def masked_pages(spark, sf_dir):
     return ops.mask(pages).select("page_id", "masked")
 
 
-# Inline cases of the check digits: the tables hold none.
-_IDS = ["12345678Z", "12345678A", "X1234567L", "Y7654321G", "76.123.312-M", "1234", ""]
-_IBANS = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "GB29NWBK60161331926819", "ES9121000418450200051333", "XX00"]
-_CIFS = ["B12345674", "A58818501", "Q2826000H", "B12345675", "K1234567L", "ESB12345674", ""]
-_NIFS = ["501442600", "123456789", "501442601", "12345678", "999999990"]
+# Numbers with check digits, made of the keys of customers and orders: the tables hold none of their own. Each is
+# spelled in SQL that both engines read, `{s}` being their name of strings.
+_N = "(c_custkey * 7919 + 12345)"
+_LETTER = f"substr('{checks.ID_LETTERS}', CAST(({{n}} + c_custkey % 3) % 23 AS INTEGER) + 1, 1)"
+_EIGHT, _SEVEN = f"{_N} % 100000000", f"{_N} % 10000000"
+_IDS = (
+    f"CASE c_custkey % 5 WHEN 0 THEN concat('X', lpad(CAST({_SEVEN} AS {{s}}), 7, '0'), {_LETTER.format(n=_SEVEN)}) "
+    f"WHEN 1 THEN concat(lpad(CAST({_EIGHT} AS {{s}}), 8, '0'), '-', lower({_LETTER.format(n=_EIGHT)})) "
+    f"WHEN 2 THEN lpad(CAST({_EIGHT} AS {{s}}), 8, '0') ELSE concat(lpad(CAST({_EIGHT} AS {{s}}), 8, '0'), {_LETTER.format(n=_EIGHT)}) END"
+)
+_IBANS = "concat('ES', lpad(CAST(o_orderkey % 97 + 2 AS {s}), 2, '0'), ' ', lpad(CAST(o_custkey * 1000003 + o_orderkey AS {s}), 20, '0'))"
+_CIFS = "concat(substr('ABKQNSJ', CAST(o_orderkey % 7 AS INTEGER) + 1, 1), lpad(CAST((o_orderkey * 7919) % 10000000 AS {s}), 7, '0'), substr('0123456789JABCDEFGHI', CAST(o_custkey % 20 AS INTEGER) + 1, 1))"
+_NIFS = "lpad(CAST((o_orderkey * 104729 + o_custkey) % 1000000000 AS {s}), 9, '0')"
 
 
-def _values(spark, values: list[str]) -> DataFrame:
-    return local_rows(spark, [(v,) for v in values], "value string")
+def _made(spark, sf_dir, table: str, key: str, value: str) -> DataFrame:
+    return tables.read(spark, sf_dir, table).selectExpr(key, f"{value.format(s='string')} as value")
 
 
-def _values_sql(values: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ") AS t(value)"
+def _made_sql(table: str, key: str, value: str) -> str:
+    return f"(SELECT {key}, {value.format(s='VARCHAR')} AS value FROM {table})"
 
 
 @query(
-    f"""SELECT value, coalesce(CASE WHEN regexp_full_match(n, '[XYZ0-9][0-9]{{7}}[A-Z]')
+    f"""SELECT c_custkey, value, coalesce(CASE WHEN regexp_full_match(n, '[XYZ0-9][0-9]{{7}}[A-Z]')
         THEN substr('{checks.ID_LETTERS}', CAST(translate(substr(n, 1, 8), 'XYZ', '012') AS INTEGER) % 23 + 1, 1) = substr(n, 9, 1) END, false) AS valid
-    FROM (SELECT value, upper(regexp_replace(value, '[\\s.-]', '', 'g')) AS n FROM {_values_sql(_IDS)})"""
+    FROM (SELECT c_custkey, value, upper(regexp_replace(value, '[\\s.-]', '', 'g')) AS n FROM {_made_sql('customer', 'c_custkey', _IDS)})"""
 )
 def dni_check(spark, sf_dir):
-    return _values(spark, _IDS).select("value", checks.identity_col(F.col("value")).alias("valid"))
+    return _made(spark, sf_dir, "customer", "c_custkey", _IDS).select("c_custkey", "value", checks.identity_col(F.col("value")).alias("valid"))
 
 
 @query(
-    f"""SELECT value, regexp_full_match(n, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+') AND CAST(array_to_string(list_transform(string_split(substr(n, 5) || substr(n, 1, 4), ''),
+    f"""SELECT o_orderkey, value, regexp_full_match(n, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+') AND CAST(array_to_string(list_transform(string_split(substr(n, 5) || substr(n, 1, 4), ''),
         lambda c: CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS HUGEINT) % 97 = 1 AS valid
-    FROM (SELECT value, replace(value, ' ', '') AS n FROM {_values_sql(_IBANS)})"""
+    FROM (SELECT o_orderkey, value, replace(value, ' ', '') AS n FROM {_made_sql('orders', 'o_orderkey', _IBANS)})"""
 )
 def iban_check(spark, sf_dir):
-    return _values(spark, _IBANS).select("value", checks.iban_col(F.col("value")).alias("valid"))
+    return _made(spark, sf_dir, "orders", "o_orderkey", _IBANS).select("o_orderkey", "value", checks.iban_col(F.col("value")).alias("valid"))
 
 
 def _nth(i: int) -> str:
@@ -277,26 +284,26 @@ _CONTROL = "(10 - (" + " + ".join([_nth(i) for i in (3, 5, 7)] + [f"(2 * {_nth(i
 
 
 @query(
-    f"""SELECT value, CASE WHEN NOT regexp_full_match(n, '[ABCDEFGHJNPQRSUVW][0-9]{{7}}[A-Z0-9]') THEN false
+    f"""SELECT o_orderkey, value, CASE WHEN NOT regexp_full_match(n, '[ABCDEFGHJNPQRSUVW][0-9]{{7}}[A-Z0-9]') THEN false
       WHEN substr(n, 1, 1) IN ('K','P','Q','R','S','N','W') THEN substr('{checks.CIF_LETTERS}', {_CONTROL} + 1, 1) = substr(n, 9, 1)
       WHEN substr(n, 1, 1) IN ('A','B','E','H') THEN CAST({_CONTROL} AS VARCHAR) = substr(n, 9, 1)
       ELSE CAST({_CONTROL} AS VARCHAR) = substr(n, 9, 1) OR substr('{checks.CIF_LETTERS}', {_CONTROL} + 1, 1) = substr(n, 9, 1) END AS valid
-    FROM (SELECT value, upper(value) AS n FROM {_values_sql(_CIFS)})"""
+    FROM (SELECT o_orderkey, value, upper(value) AS n FROM {_made_sql('orders', 'o_orderkey', _CIFS)})"""
 )
 def cif_check(spark, sf_dir):
-    return _values(spark, _CIFS).select("value", checks.cif_col(F.col("value")).alias("valid"))
+    return _made(spark, sf_dir, "orders", "o_orderkey", _CIFS).select("o_orderkey", "value", checks.cif_col(F.col("value")).alias("valid"))
 
 
 _NIF_SUM = " + ".join(f"{_nth(i + 1)} * {9 - i}" for i in range(8))
 
 
 @query(
-    f"""SELECT value, CASE WHEN regexp_full_match(n, '[0-9]{{9}}') THEN
+    f"""SELECT o_orderkey, value, CASE WHEN regexp_full_match(n, '[0-9]{{9}}') THEN
       CASE WHEN 11 - ({_NIF_SUM}) % 11 >= 10 THEN 0 ELSE 11 - ({_NIF_SUM}) % 11 END = {_nth(9)} ELSE false END AS valid
-    FROM (SELECT value, value AS n FROM {_values_sql(_NIFS)})"""
+    FROM (SELECT o_orderkey, value, value AS n FROM {_made_sql('orders', 'o_orderkey', _NIFS)})"""
 )
 def nif_check(spark, sf_dir):
-    return _values(spark, _NIFS).select("value", checks.nif_pt_col(F.col("value")).alias("valid"))
+    return _made(spark, sf_dir, "orders", "o_orderkey", _NIFS).select("o_orderkey", "value", checks.nif_pt_col(F.col("value")).alias("valid"))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as D
 from maskwright.operators import detect as ops
-from maskwright.plans.registry import query
+from maskwright.plans.registry import ORACLES, inline, query
 from maskwright.scratch import local_rows
+from maskwright.sources import tables
 
 #: name: (categories, profile, column form or None, [(text, [(span, category, confidence), ...]), ...])
 CASES: dict[str, tuple] = {
@@ -170,8 +171,33 @@ def _register(name: str, categories, profile, column, cases) -> None:
             out = out.unionByName(spans.select(F.lit("column").alias("form"), "id", "s.start", "s.category", "s.text", "s.confidence"))
         return out
 
-    query(sql, f"cases_{name}")(run)
+    inline(sql, f"cases_{name}")(run)
 
 
 for _name, _case in CASES.items():
     _register(_name, *_case)
+
+
+#: Detectors that SQL can say too: (category, shield, confidence), column form.
+TWINS = {
+    "EMAIL": (("EMAIL", 1.0), D.email), "CREDIT_CARD": (("CREDIT_CARD", 1.0), D.card), "PHONE": (("PHONE", 1.0), D.phone),
+    "MASKED_ID": (("MASKED_ID", 1.0), D.masked_id), "COMPANY": (("COMPANY", 0.4), D.acronym),
+}
+
+
+def _twins_sql() -> str:
+    counts = " UNION ALL ".join(f"SELECT doc_id, category FROM ({ORACLES[q]})" for q in ("email_spans", "card_spans_luhn", "phone_spans", "masked_id_spans", "acronym_spans"))
+    return f"SELECT doc_id, category, count(*) AS n_engine, count(*) AS n_columns, count(*) AS n_same FROM ({counts}) GROUP BY ALL"
+
+
+@query(_twins_sql())
+def detector_twins(spark, sf_dir):
+    """Spans of the engine's pass and of the column forms over all documents: how many of each, and how many are the same."""
+    docs = tables.read(spark, sf_dir, "documents", "doc_id", "text")
+    span = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["text"].alias("text"), s["confidence"].alias("confidence"))
+    wanted = [F.struct(F.lit(c).alias("c"), F.lit(sure).alias("sure")) for (c, sure), _ in TWINS.values()]
+    found = ops.candidates(docs).select("doc_id", F.explode("candidates").alias("s")).where(F.struct(F.col("s.category").alias("c"), F.col("s.confidence").alias("sure")).isin(*wanted))
+    columns = docs.select("doc_id", F.explode(F.concat(*[form(F.col("text")) for _, form in TWINS.values()])).alias("s"))
+    both = found.select("doc_id", span(F.col("s")).alias("s"), F.lit(1).alias("e"), F.lit(0).alias("c")).union(columns.select("doc_id", span(F.col("s")), F.lit(0), F.lit(1)))
+    each = both.groupBy("doc_id", "s").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
+    return each.groupBy("doc_id", F.col("s.category").alias("category")).agg(F.sum("e").alias("n_engine"), F.sum("c").alias("n_columns"), F.sum(F.least("e", "c")).alias("n_same"))

@@ -10,7 +10,7 @@ from maskwright.functions.names import cluster_names
 from maskwright.operators import export, identity, language, mapping, models, profile, pseudonyms, quality
 from maskwright.operators import detect as ops
 from maskwright.plans.catalogue import RULES, _docs, _spans_sql
-from maskwright.plans.registry import query, values_sql
+from maskwright.plans.registry import inline, query, values_sql
 from maskwright.scratch import local_rows
 from maskwright.sources import rules as rule_source
 from maskwright.sources import tables
@@ -73,7 +73,7 @@ def lang_detected(spark, sf_dir):
 _DECISIONS = [("es,en", None, None, "fr"), ("", "gl", "PT", "fr"), ("", None, None, "pt-BR"), ("", None, "XX", "xx"), ("fr", "pt", "ES", "en"), ("eu", "eu", None, "de")]
 
 
-@query(
+@inline(
     values_sql(
         [(1, "es,en", "ES"), (2, "gl", "ES,PT"), (3, "pt", "PT"), (4, "en", ""), (5, "fr,pt", "PT,ES"), (6, "eu", "ES")], "id, languages, jurisdictions"
     ).replace("(VALUES", "SELECT * FROM (VALUES", 1)
@@ -88,7 +88,7 @@ def profile_suggestion(spark, sf_dir):
 _PINNED = ['{"languages":["es","xx","es"],"jurisdictions":["PT","FR"]}', '{"languages":["es"]}', "nonsense", None, "[]"]
 
 
-@query("SELECT * FROM " + values_sql([(1, "es", "PT"), (2, None, None), (3, None, None), (4, None, None), (5, None, None)], "id, languages, jurisdictions"))
+@inline("SELECT * FROM " + values_sql([(1, "es", "PT"), (2, None, None), (3, None, None), (4, None, None), (5, None, None)], "id, languages, jurisdictions"))
 def pinned_profiles(spark, sf_dir):
     rows = local_rows(spark, list(enumerate(_PINNED, 1)), "id int, raw string")
     p = profile.parse_pinned(F.col("raw"))
@@ -98,7 +98,7 @@ def pinned_profiles(spark, sf_dir):
 _SETTINGS = ['{"EMAIL":false,"NAME":true,"OTHER":true,"PHONE":"x"}', "{}", "broken", None]
 
 
-@query("SELECT * FROM " + values_sql([(1, "EMAIL=false,NAME=true"), (2, ""), (3, ""), (4, "")], "id, switches"))
+@inline("SELECT * FROM " + values_sql([(1, "EMAIL=false,NAME=true"), (2, ""), (3, ""), (4, "")], "id, switches"))
 def category_settings(spark, sf_dir):
     rows = local_rows(spark, list(enumerate(_SETTINGS, 1)), "id int, raw string")
     table = scalars.settings_of(F.col("raw"), ["EMAIL", "NAME", "PHONE"])
@@ -109,7 +109,7 @@ def category_settings(spark, sf_dir):
 _LOCALES = ["pt-BR", "EN_us", "gl", "xx", "", None]
 
 
-@query("SELECT * FROM " + values_sql([(1, "pt"), (2, "en"), (3, "gl"), (4, "en"), (5, "en"), (6, "en")], "id, locale"))
+@inline("SELECT * FROM " + values_sql([(1, "pt"), (2, "en"), (3, "gl"), (4, "en"), (5, "en"), (6, "en")], "id, locale"))
 def resolved_locales(spark, sf_dir):
     rows = local_rows(spark, list(enumerate(_LOCALES, 1)), "id int, asked string")
     return rows.select("id", scalars.locale_of(F.col("asked"), profile.LANGUAGES).alias("locale"))
@@ -121,7 +121,7 @@ _AMOUNTS = [("1.234,56 €", "EN", 1234.56), ("$1,234.56", "ES", 1234.56), ("1.2
             ("2,5 millones de euros", "ES", 2500000.0), ("3 mil euros", "ES", 3000.0), ("mil euros", "ES", None), ("1.250.000 €", "EN", 1250000.0)]
 
 
-@query("SELECT * FROM " + values_sql([(i, a[2]) for i, a in enumerate(_AMOUNTS)], "id, amount"))
+@inline("SELECT * FROM " + values_sql([(i, a[2]) for i, a in enumerate(_AMOUNTS)], "id, amount"))
 def money_amounts(spark, sf_dir):
     rows = local_rows(spark, [(i, *a[:2]) for i, a in enumerate(_AMOUNTS)], "id int, text string, convention string")
     return rows.select("id", F.round(scalars.money_amount(F.col("text"), F.col("convention")), 6).alias("amount"))
@@ -130,7 +130,7 @@ def money_amounts(spark, sf_dir):
 _VOTES = [("pagó 1.234,56 € y 3,50 €", "ES"), ("paid $1,234.56 and $7.25", "EN"), ("1.234 €", "ES"), ("", "ES"), ("$1.25 y 2,75 €", "ES"), ("v1.2.3 and 10.5", "ES")]
 
 
-@query("SELECT * FROM " + values_sql([(i, v[1]) for i, v in enumerate(_VOTES)], "id, convention"))
+@inline("SELECT * FROM " + values_sql([(i, v[1]) for i, v in enumerate(_VOTES)], "id, convention"))
 def money_convention_vote(spark, sf_dir):
     rows = local_rows(spark, [(i, v[0]) for i, v in enumerate(_VOTES)], "id int, text string")
     return rows.select("id", scalars.money_convention(F.col("text")).alias("convention"))
@@ -164,7 +164,7 @@ def pseudonymized_documents(spark, sf_dir):
 # sheets and escapes
 
 
-@query(
+@inline(
     """SELECT CAST(i AS INTEGER) AS i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER))
        ELSE chr(CAST(65 + (i - 702) // 676 AS INTEGER)) || chr(CAST(65 + (i - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (i - 702) % 26 AS INTEGER)) END AS letters,
        i AS index_again, strftime(DATE '1899-12-31' + CAST(CASE WHEN i >= 60 THEN i - 1 ELSE i END AS INTEGER), '%Y-%m-%d') AS serial_date FROM range(16384) r(i)"""
@@ -202,7 +202,7 @@ _SCOPE = "0123456789ABCDEF" * 2
 _EVIDENCE = [(None,) * 6, (_SCOPE, "d", 1, 1, 1, "x"), (_SCOPE, "d", 2, 1, 1, "x"), (_SCOPE, None, 1, 1, 1, "x"), ("F" * 32, None, None, None, None, None)]
 
 
-@query("SELECT * FROM " + values_sql([(0, "unverifiable"), (1, "verified"), (2, "mismatched"), (3, "unverifiable"), (4, "mismatched")], "id, status"))
+@inline("SELECT * FROM " + values_sql([(0, "unverifiable"), (1, "verified"), (2, "mismatched"), (3, "unverifiable"), (4, "mismatched")], "id, status"))
 def snapshot_revision_status(spark, sf_dir):
     columns = "scope string, document_id string, document_revision int, policy_revision int, mapping_revision int, export_id string"
     rows = local_rows(spark, [(i, *e) for i, e in enumerate(_EVIDENCE)], f"id int, {columns}")
@@ -240,19 +240,19 @@ def _edited(spark):
     )
 
 
-@query("SELECT * FROM " + values_sql([("NAME_2", "[[NAME_002]]", "n10aa", "n10aa,n2aa,n10b,n2b", 4)] + [(f"NAME_{i}", f"[[NAME_{i:03d}]]", f"n{i}aa", f"n{i}aa,n{i}b", 2) for i in (1, 3, 4, 5, 6, 7, 8, 9)], "id, placeholder, original_text, variants, n_occurrences"))
+@inline("SELECT * FROM " + values_sql([("NAME_2", "[[NAME_002]]", "n10aa", "n10aa,n2aa,n10b,n2b", 4)] + [(f"NAME_{i}", f"[[NAME_{i:03d}]]", f"n{i}aa", f"n{i}aa,n{i}b", 2) for i in (1, 3, 4, 5, 6, 7, 8, 9)], "id, placeholder, original_text, variants, n_occurrences"))
 def merged_mappings(spark, sf_dir):
     rows = mapping.merge(_edited(spark), ["doc_id"], ["NAME_10", "NAME_2"])
     return rows.select("id", "placeholder", "original_text", F.array_join("variants", ",").alias("variants"), F.size("occurrences").alias("n_occurrences"))
 
 
-@query("SELECT * FROM " + values_sql([(f"NAME_{i}", f"n{i}aa", 2) for i in range(2, 11)] + [("NAME_11", "n1aa", 1), ("NAME_12", "n1b", 1)], "id, original_text, n_occurrences"))
+@inline("SELECT * FROM " + values_sql([(f"NAME_{i}", f"n{i}aa", 2) for i in range(2, 11)] + [("NAME_11", "n1aa", 1), ("NAME_12", "n1b", 1)], "id, original_text, n_occurrences"))
 def split_mappings(spark, sf_dir):
     rows = mapping.split(_edited(spark), ["doc_id"], "NAME_1")
     return rows.select("id", "original_text", F.size("occurrences").alias("n_occurrences"))
 
 
-@query("SELECT 'NAME' AS category, 11 AS next_number")
+@inline("SELECT 'NAME' AS category, 11 AS next_number")
 def next_counters(spark, sf_dir):
     return mapping.next_counter(_edited(spark), ["doc_id"]).select("category", "next_number")
 
@@ -260,7 +260,7 @@ def next_counters(spark, sf_dir):
 _RULES = [("1", "a", "CATEGORY", "Code"), ("2", "b", "CATEGORY", "CODE"), ("3", "c", "CATEGORY", "Other"), ("4", "d", "FIXED", "code"), ("5", "e", "CATEGORY", "Other")]
 
 
-@query(
+@inline(
     f"""SELECT lower(a.t) AS lowered, string_agg(DISTINCT a.t, ',' ORDER BY a.t) AS spellings FROM {values_sql([(r[0], r[3], r[2]) for r in _RULES], "id, t, kind").replace("AS t(", "AS a(")}
     WHERE kind = 'CATEGORY' GROUP BY lower(a.t) HAVING count(DISTINCT a.t) > 1"""
 )
@@ -272,7 +272,7 @@ def rule_case_clashes(spark, sf_dir):
 _TOKENS = [("[[NAME_001]] [name 1] [[EMAIL_1]]", "Ana Ana a@b.c", 3, "", ""), ("[[NAME_009]] NAME_1", "[[NAME_009]] NAME_1", 0, "[[NAME_009]]", ""), ("[Name_02] [[NAME", "[Name_02] [[NAME", 0, "", ""), ("", "", 0, "", "")]
 
 
-@query("SELECT * FROM " + values_sql([(i, *t[1:4]) for i, t in enumerate(_TOKENS)], "id, text, restored, unknown"))
+@inline("SELECT * FROM " + values_sql([(i, *t[1:4]) for i, t in enumerate(_TOKENS)], "id, text, restored, unknown"))
 def restore_report(spark, sf_dir):
     rows = local_rows(spark, [(i, t[0]) for i, t in enumerate(_TOKENS)], "id int, masked string")
     one = lambda id_, token, original, category: F.struct(
@@ -295,13 +295,13 @@ def _model_rows(spark):
     return models.with_offsets(tokens, chunks, ["doc_id"]), chunks
 
 
-@query("SELECT * FROM " + values_sql([("PER", 0, 10, "Ana Prieto", 0.8), ("ORG", 18, 22, "Acme", 0.9), ("LOC", 26, 30, "Lugo", 0.5)], "label, \"start\", \"end\", text, score"))
+@inline("SELECT * FROM " + values_sql([("PER", 0, 10, "Ana Prieto", 0.8), ("ORG", 18, 22, "Acme", 0.9), ("LOC", 26, 30, "Lugo", 0.5)], "label, \"start\", \"end\", text, score"))
 def model_entities(spark, sf_dir):
     found = models.entities(*_model_rows(spark), ["doc_id"])
     return found.select("label", "start", "end", "text", F.round("score", 6).alias("score"))
 
 
-@query("SELECT * FROM " + values_sql([(0, 10, "NAME", 0.8, True), (18, 22, "COMPANY", 0.9, True), (26, 30, "LOCATION", 0.5, False)], "\"start\", \"end\", category, confidence, enabled"))
+@inline("SELECT * FROM " + values_sql([(0, 10, "NAME", 0.8, True), (18, 22, "COMPANY", 0.9, True), (26, 30, "LOCATION", 0.5, False)], "\"start\", \"end\", category, confidence, enabled"))
 def model_spans(spark, sf_dir):
     tokens, chunks = _model_rows(spark)
     found = models.merged(models.entities(tokens, chunks, ["doc_id"]), ["doc_id"])
@@ -336,7 +336,7 @@ _MARKED = [(1, "{NAME|Ana Prieto} lives in {LOCATION|Lugo}, writes to {EMAIL|a@b
 _PREDICTED = [(1, 0, 3, "NAME"), (1, 4, 10, "NAME"), (1, 36, 43, "EMAIL"), (2, 5, 12, "PHONE"), (2, 21, 24, "NAME"), (3, 0, 7, "NAME")]
 
 
-@query("SELECT * FROM " + values_sql([(1, 0, 10, "NAME", False, "Ana Prieto"), (1, 20, 24, "LOCATION", False, "Lugo"), (1, 36, 43, "EMAIL", False, "a@b.com"), (2, 5, 16, "PHONE", False, "600 000 000"), (2, 22, 25, "NAME", True, "Bob")], 'doc_id, "start", "end", category, optional, text'))
+@inline("SELECT * FROM " + values_sql([(1, 0, 10, "NAME", False, "Ana Prieto"), (1, 20, 24, "LOCATION", False, "Lugo"), (1, 36, 43, "EMAIL", False, "a@b.com"), (2, 5, 16, "PHONE", False, "600 000 000"), (2, 22, 25, "NAME", True, "Bob")], 'doc_id, "start", "end", category, optional, text'))
 def labelled_corpus(spark, sf_dir):
     rows = local_rows(spark, _MARKED, "doc_id int, markup string")
     return quality.labelled(rows, ["doc_id"]).select("doc_id", F.explode("gold").alias("g")).select("doc_id", "g.*")
@@ -348,18 +348,18 @@ def _graded(spark):
     return gold, local_rows(spark, _PREDICTED, "doc_id int, start int, end int, category string"), read.select("doc_id", "text")
 
 
-@query("SELECT * FROM " + values_sql([(1, 0, 10, "NAME", "caught"), (1, 20, 24, "LOCATION", "missed"), (1, 36, 43, "EMAIL", "caught"), (2, 5, 16, "PHONE", "partial")], 'doc_id, "start", "end", category, outcome'))
+@inline("SELECT * FROM " + values_sql([(1, 0, 10, "NAME", "caught"), (1, 20, 24, "LOCATION", "missed"), (1, 36, 43, "EMAIL", "caught"), (2, 5, 16, "PHONE", "partial")], 'doc_id, "start", "end", category, outcome'))
 def score_outcomes(spark, sf_dir):
     return quality.outcomes(*_graded(spark))
 
 
-@query("SELECT * FROM " + values_sql([("EMAIL", 1, 1, 0, 0, 0, 1.0), ("LOCATION", 1, 0, 0, 1, 0, 0.0), ("NAME", 1, 1, 0, 0, 1, 1.0), ("PHONE", 1, 0, 1, 0, 0, 0.0), (None, 4, 2, 1, 1, 1, 0.5)], "category, total, caught, partial, missed, overflags, recall"))
+@inline("SELECT * FROM " + values_sql([("EMAIL", 1, 1, 0, 0, 0, 1.0), ("LOCATION", 1, 0, 0, 1, 0, 0.0), ("NAME", 1, 1, 0, 0, 1, 1.0), ("PHONE", 1, 0, 1, 0, 0, 0.0), (None, 4, 2, 1, 1, 1, 0.5)], "category, total, caught, partial, missed, overflags, recall"))
 def scorecard(spark, sf_dir):
     gold, predicted, texts = _graded(spark)
     return quality.scorecard(quality.outcomes(gold, predicted, texts), quality.overflags(gold, predicted))
 
 
-@query(
+@inline(
     "SELECT * FROM " + values_sql([(32, 24, 5, 6, 1, 0, 3, 7, 31)], "sensitive_chars, masked_sensitive_chars, gold_spans, predicted_spans, exact_spans, false_merges, unmasked_spans, extra_chars, masked_chars")
 )
 def span_metrics(spark, sf_dir):
