@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import io
-import json
 import os
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,38 +164,74 @@ def workbooks(docs: DataFrame, text_col: str = "text", format_col: str = "format
 # sealed keys
 
 LEAST_ROUNDS, MOST_ROUNDS = 600_000, 1_000_000
+# The published form of a sealed key.
+VERSION, CIPHER, DERIVATION = 1, "AES-256-GCM", "PBKDF2-HMAC-SHA256"
+FIELDS = ("version", "algorithm", "kdf", "iterations", "salt", "nonce", "ciphertext")
+LONGEST_ENVELOPE, LONGEST_PAYLOAD = 8_010_000, 4_000_000
 
 
-def _header(salt: bytes, nonce: bytes, rounds: int) -> dict:
-    text = lambda b: base64.b64encode(b).decode()
-    return {"version": 1, "kdf": "PBKDF2-SHA256", "iterations": rounds, "salt": text(salt), "cipher": "AES-256-GCM", "nonce": text(nonce)}
+def _keys(headers: DataFrame, password: str) -> DataFrame:
+    """headers (salt in hex, iterations), each once, with the key that the password gives under them.
+
+    A key is a value of a row and the password a part of the function, so neither stands in a plan or an event log.
+    """
+    if not 1 <= len(password.encode("utf-16-le")) // 2 <= 1024:
+        raise ValueError("a password has 1 to 1024 characters")
+
+    def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key = lambda salt, rounds: hashlib.pbkdf2_hmac("sha256", password.encode(), bytes.fromhex(salt), int(rounds), 32)
+            yield batch.assign(key=[key(*h) for h in zip(batch["salt"], batch["iterations"])])
+
+    return headers.select("salt", "iterations").distinct().mapInPandas(derive, "salt string, iterations int, key binary")
+
+
+def _bound(salt: Column, nonce: Column, rounds: Column) -> Column:
+    """The data that a ciphertext is bound to: the header as a JSON array."""
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    return F.concat(F.lit(f'[{VERSION},"{CIPHER}","{DERIVATION}",'), rounds.cast("string"), F.lit(","), text(salt), F.lit(","), text(nonce), F.lit("]"))
 
 
 def seal(snapshots: DataFrame, password: str, json_col: str = "snapshot", rounds: int = LEAST_ROUNDS, salt: bytes | None = None) -> DataFrame:
-    """snapshots with `envelope`: the JSON text encrypted under a key that only the driver derives, once.
+    """snapshots with `envelope`: the JSON text encrypted under a key of the password, in the published form.
 
-    Each row has its own nonce; header and ciphertext belong together, so a changed header opens nothing.
+    Each row has its own nonce; header and ciphertext belong together, so a changed header opens nothing. A payload
+    beyond LONGEST_PAYLOAD bytes has no envelope. Nonces are drawn when the rows are computed: write the result once.
     """
-    salt = salt or os.urandom(16)
-    key = F.lit(hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, 32))
-    head = json.dumps(_header(salt, b"", rounds), separators=(",", ":"))
-    sealed = F.base64(F.aes_encrypt(F.col(json_col).cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.replace(F.uuid(), F.lit("-")), 1, 24)), F.lit(head)))
-    return snapshots.withColumn("envelope", F.to_json(F.struct(F.lit(head).alias("header"), sealed.alias("sealed")))).drop(json_col)
+    if not LEAST_ROUNDS <= rounds <= MOST_ROUNDS:
+        raise ValueError(f"rounds from {LEAST_ROUNDS} to {MOST_ROUNDS}")
+    header = snapshots.sparkSession.range(1).select(F.lit((salt or os.urandom(16)).hex()).alias("salt"), F.lit(rounds).alias("iterations"))
+    key = _keys(header, password).select("key").scalar()
+    drawn = snapshots.withColumn("__nonce", F.substring(F.sha2(F.concat(F.uuid(), F.uuid()).cast("binary"), 256), 1, 24))
+    shown = F.lit((salt or b"").hex()) if salt else header.select("salt").scalar()
+    whole = F.aes_encrypt(F.col(json_col).cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex("__nonce"), _bound(shown, F.col("__nonce"), F.lit(rounds)))
+    # the cipher puts the nonce in front; the envelope has it as a field of its own
+    cipher = F.lower(F.hex(F.substring(whole, 13, 2**31 - 1)))
+    parts = F.struct(
+        F.lit(VERSION).alias("version"), F.lit(CIPHER).alias("algorithm"), F.lit(DERIVATION).alias("kdf"), F.lit(rounds).alias("iterations"),
+        shown.alias("salt"), F.col("__nonce").alias("nonce"), cipher.alias("ciphertext"),
+    )
+    fits = F.octet_length(json_col) <= LONGEST_PAYLOAD
+    return drawn.withColumn("envelope", F.when(fits, F.to_json(parts))).drop(json_col, "__nonce")
 
 
 def unseal(envelopes: DataFrame, password: str, envelope_col: str = "envelope") -> DataFrame:
     """envelopes with `snapshot`; null where the password or the header is wrong, or the envelope has another form.
 
-    The headers of a table are few: one per sealing, not per row.
+    Keys are derived once for each salt, on the executors, and meet their envelopes by a join: a table may hold any
+    number of sealings.
     """
-    shape = "struct<header:string,sealed:string>"
-    rows = envelopes.withColumn("__e", F.from_json(F.col(envelope_col), shape))
-    out = F.lit(None).cast("string")
-    for (head,) in rows.select("__e.header").filter("header is not null").distinct().limit(1000).collect():
-        spec = json.loads(head)
-        if spec.get("version") != 1 or not LEAST_ROUNDS <= spec.get("iterations", 0) <= MOST_ROUNDS or spec.get("cipher") != "AES-256-GCM":
-            continue
-        key = F.lit(hashlib.pbkdf2_hmac("sha256", password.encode(), base64.b64decode(spec["salt"]), spec["iterations"], 32))
-        opened = F.try_aes_decrypt(F.unbase64("__e.sealed"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(head)).cast("string")
-        out = F.when(F.col("__e.header") == head, opened).otherwise(out)
-    return rows.withColumn("snapshot", out).drop("__e")
+    shape = "struct<version:int,algorithm:string,kdf:string,iterations:int,salt:string,nonce:string,ciphertext:string>"
+    e, text = F.col("__e"), F.col(envelope_col)
+    fields = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(f) for f in sorted(FIELDS)])
+    hexes = e["salt"].rlike(r"^[a-f0-9]{32}\z") & e["nonce"].rlike(r"^[a-f0-9]{24}\z") & e["ciphertext"].rlike(r"^[a-f0-9]{32,}+\z") & (F.length(e["ciphertext"]) % 2 == 0)
+    known = (e["version"] == VERSION) & (e["algorithm"] == CIPHER) & (e["kdf"] == DERIVATION) & e["iterations"].between(LEAST_ROUNDS, MOST_ROUNDS)
+    good = F.coalesce((F.length(text) <= LONGEST_ENVELOPE) & fields & known & hexes, F.lit(False))
+    rows = envelopes.withColumn("__e", F.from_json(text, shape)).withColumn("__salt", F.when(good, e["salt"])).withColumn("__rounds", F.when(good, e["iterations"]))
+    headers = rows.where("__salt is not null").select(F.col("__salt").alias("salt"), F.col("__rounds").alias("iterations"))
+    keys = _keys(headers, password).withColumnsRenamed({"salt": "__key_salt", "iterations": "__key_rounds", "key": "__key"})
+    met = rows.join(keys, (F.col("__salt") == F.col("__key_salt")) & (F.col("__rounds") == F.col("__key_rounds")), "left")
+    sealed = F.unhex(F.concat(e["nonce"], e["ciphertext"]))
+    opened = F.try_aes_decrypt(sealed, F.col("__key"), F.lit("GCM"), F.lit("DEFAULT"), _bound(e["salt"], e["nonce"], e["iterations"]))
+    out = F.when(F.col("__key").isNotNull(), opened.cast("string"))
+    return met.withColumn("snapshot", out).drop("__e", "__salt", "__rounds", "__key", "__key_salt", "__key_rounds")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import detectors as D
 from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
 from maskwright.functions.names import _skipped
-from maskwright.operators import intervals, mentions, shared_names, snapshots
+from maskwright.operators import intervals, mentions, sanitise, shared_names, snapshots
 from maskwright.plans.catalogue import _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import query
 from maskwright.scratch import folder, local_rows
@@ -149,3 +149,44 @@ def gazetteer_spans(spark, sf_dir):
     named = local_rows(spark, [(p,) for p in PLACES], "place string")
     phrases = tables.read(spark, sf_dir, "benchmark", "text").select(F.regexp_extract("text", _PHRASE, 0).alias("place")).where("place != ''")
     return mentions.gazetteer_spans(_docs(spark, sf_dir), named.union(phrases), ["doc_id"], tuple(AMBIGUOUS_PLACES))
+
+
+@query(f'SELECT doc_id, "start", "end", category, text FROM ({_spans_sql(D.EMAIL, "EMAIL")}) UNION ALL SELECT * FROM ({_spans_sql("[a-z]+tion", "PROJECT")})')
+def lateral_spans(spark, sf_dir):
+    """SQL with the table function: a built-in detector and one of one's own, beside each other."""
+    from maskwright.functions.engine import Span
+    from maskwright.functions.udtf import register_detector
+
+    def projects(text):
+        import re
+
+        return [Span(*m.span(), "PROJECT", m[0], 1.0, "regex", 3.0, None) for m in re.finditer("[a-z]+tion", text)]
+
+    register_detector(spark, "projects", projects)
+    _docs(spark, sf_dir).createOrReplaceTempView("documents_for_detect")
+    return spark.sql("SELECT d.doc_id, s.start, s.end, s.category, s.text FROM documents_for_detect d, LATERAL detect(d.text, 'EMAIL,projects') s")
+
+
+_HELD_SQL = ", ".join(f"'{t}'" for t in sanitise.HOLDING)
+_GONE_SQL = ", ".join(f"'{t}'" for t in (*sanitise.HOLDING, *sanitise.EMPTY))
+_KEPT_SQL = rf"""'(?i)\s((?:{"|".join(sanitise.KEPT)})\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))'"""
+
+
+@query(
+    rf"""WITH t AS (SELECT page_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{sanitise.TOKEN}') AS ts FROM pages)),
+    n AS (SELECT *, nullif(lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1)), '') AS tag FROM t),
+    o AS (SELECT *, CASE WHEN tag IN ({_HELD_SQL}) AND NOT regexp_matches(token, '(?is)/>\z|^<(?:script|style)\b.*</(?:script|style)\s*>\z')
+                    THEN CASE WHEN token LIKE '</%' THEN -1 ELSE 1 END ELSE 0 END AS opens FROM n),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY pos) AS total FROM o),
+    d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM s),
+    w AS (SELECT page_id, pos, CASE WHEN tag = 'img' THEN regexp_extract(token, '(?i)\salt\s*=\s*"([^"]*)"', 1) WHEN tag IN ({_GONE_SQL}) OR regexp_matches(token, '^<[!?]') THEN ''
+              WHEN token LIKE '</%' THEN '</' || tag || '>'
+              WHEN tag IS NOT NULL THEN '<' || tag || coalesce(array_to_string([' ' || a FOR a IN regexp_extract_all(token, {_KEPT_SQL}, 1) IF NOT regexp_matches(a, '(?i)^href\s*=\s*["'']?\s*(?:javascript|data|vbscript):')], ''), '') || '>'
+              ELSE replace(token, '<', '&lt;') END AS put FROM d WHERE depth = 0 AND opens = 0)
+    SELECT p.page_id, md5(coalesce(string_agg(w.put, '' ORDER BY w.pos), '')) AS clean_md5, length(coalesce(string_agg(w.put, '' ORDER BY w.pos), '')) AS n_chars
+    FROM pages p LEFT JOIN w USING (page_id) GROUP BY p.page_id"""
+)
+def sanitised_pages(spark, sf_dir):
+    """Pages without what runs or loads."""
+    pages = tables.read(spark, sf_dir, "pages", "page_id", "html")
+    return sanitise.sanitised(pages, ["page_id"]).select("page_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n_chars"))

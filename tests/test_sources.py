@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -145,9 +147,22 @@ def test_gate_and_sealed_keys(spark):
     rows = docs.withColumn("findings", found).withColumn("acknowledged", F.col("id") == 3)
     assert {r.id for r in export.released(rows).collect()} == {1, 3} and {r.id for r in export.released(rows, unattended=True).collect()} == {1}
     assert "<mark>[[NAME_001]]</mark>" in docs.filter("id = 1").select(export.page(F.col("masked"), "t").alias("p")).first().p
-    sealed = export.seal(spark.createDataFrame([(1, '{"a":1}'), (2, "é")], "id int, snapshot string"), "pass", salt=b"0" * 16)
-    sealed = spark.createDataFrame(sealed.collect(), sealed.schema)  # one nonce a row, drawn once
-    assert {r.id: r.snapshot for r in export.unseal(sealed, "pass").collect()} == {1: '{"a":1}', 2: "é"}
+    plain = spark.createDataFrame([(1, '{"a":1}'), (2, "é"), (3, None)], "id int, snapshot string")
+    made = export.seal(plain, "pass", salt=b"0" * 16)
+    key = hashlib.pbkdf2_hmac("sha256", b"pass", b"0" * 16, 600_000, 32)
+    shown = made._jdf.queryExecution().toString().lower()
+    assert key.hex() not in shown and "pass" not in shown.replace("passes", "")
+    other = export.seal(plain.where("id = 2").withColumn("id", F.lit(4)), "pass")
+    sealed = spark.createDataFrame(made.collect() + other.collect(), made.schema)  # one nonce a row, drawn once
+    one = json.loads(sealed.where("id = 1").first().envelope)
+    assert list(one) == list(export.FIELDS) and (one["version"], one["iterations"], one["salt"]) == (1, 600_000, "30" * 16)
+    assert len(one["nonce"]) == 24 and len(one["ciphertext"]) == 2 * (7 + 16)
+    bound = json.dumps([one[f] for f in export.FIELDS[:-1]], separators=(",", ":"))
+    again = spark.range(1).select(F.aes_decrypt(F.lit(bytes.fromhex(one["nonce"] + one["ciphertext"])), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bound)).cast("string"))
+    assert again.first()[0] == '{"a":1}'
+    assert {r.id: r.snapshot for r in export.unseal(sealed, "pass").collect()} == {1: '{"a":1}', 2: "é", 3: None, 4: "é"}
     assert {r.snapshot for r in export.unseal(sealed, "other").collect()} == {None}
+    more = sealed.where("id = 1").withColumn("envelope", F.regexp_replace("envelope", r"^\{", '{"x":1,'))
+    assert {r.snapshot for r in export.unseal(more, "pass").collect()} == {None}
     broken = sealed.withColumn("envelope", F.regexp_replace("envelope", "600000", "600001"))
     assert {r.snapshot for r in export.unseal(broken, "pass").collect()} == {None}
