@@ -152,22 +152,27 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def _with_digits(t: Column, least: int) -> Column:
+    """Whether a text has that many digits, in one pass without a way back."""
+    return t.rlike(f"(?:[0-9][^0-9]*+){{{least}}}")
+
+
 def email(t: Column) -> Column:
-    return emit(scan(t, EMAIL), "EMAIL", V)
+    return emit(scan(t, EMAIL, gate=F.contains(t, F.lit("@"))), "EMAIL", V)
 
 
 def phone(t: Column) -> Column:
-    return emit(F.filter(scan(t, PHONE), lambda m: F.length(digits(m["text"])).between(9, 15)), "PHONE", V, pack="ES")
+    return emit(F.filter(scan(t, PHONE, gate=_with_digits(t, 9)), lambda m: F.length(digits(m["text"])).between(9, 15)), "PHONE", V, pack="ES")
 
 
 def card(t: Column) -> Column:
     ok = lambda m: F.length(digits(m["text"])).between(13, 19) & checks.luhn_col(digits(m["text"]))
-    return emit(F.filter(scan(t, CARD), ok), "CREDIT_CARD", V)
+    return emit(F.filter(scan(t, CARD, gate=_with_digits(t, 13)), ok), "CREDIT_CARD", V)
 
 
 def masked_id(t: Column) -> Column:
     ok = lambda m: m["text"].rlike("[*xX•_]{2}") & (F.length(F.regexp_replace(m["text"], "[*xX•_]", "")) >= 4)
-    return emit(F.filter(scan(t, MASKED), ok), "MASKED_ID", V, pack="ES")
+    return emit(F.filter(scan(t, MASKED, gate=t.rlike("[*xX•_]{2}")), ok), "MASKED_ID", V, pack="ES")
 
 
 def identity(t: Column, pattern: str, category: str) -> Column:

@@ -19,8 +19,11 @@ RUNG = {
 }
 
 
-def scan(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches as structs start, end, text, before; group 1 must end where the match ends."""
+def scan(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
+    """Matches as structs start, end, text; group 1 must end where the match ends.
+
+    gate is a cheap test that every text with a match passes.
+    """
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -35,7 +38,8 @@ def scan(text: Column, pattern: str, group: int = 0) -> Column:
 
     found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     # most texts have no match: one search settles that
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    some = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def before(text: Column, span: Column, n: int) -> Column:
