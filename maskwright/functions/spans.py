@@ -12,6 +12,9 @@ SPAN = (
     "struct<start:int,end:int,category:string,text:string,confidence:double,source:string,rung:double,"
     "pack:string,enabled:boolean,shield:boolean>"
 )
+_MATCH = "struct<start:int,end:int,text:string>"
+#: Matches that are placed in one array before it is joined to the others.
+_CHUNK = 128
 # The priority ladder; lower wins.
 RUNG = {
     "DICTIONARY": 0.0, "SHIELD": 1.0, "VALIDATED_REGEX": 2.0, "ID_CODE": 3.0, "INVALID_ID": 3.5, "MONEY": 3.7, "ADDRESS": 4.0,
@@ -25,21 +28,33 @@ def scan(text: Column, pattern: str, group: int = 0, gate: Column | None = None)
     gate is a cheap test that every text with a match passes.
     """
     p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    taken = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("m"), taken.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    named = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("m")]
+    if group:
+        named.append(F.regexp_extract_all(text, p, F.lit(group)).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["gap"]) + F.length(x["m"])
-        one = F.struct((end - F.length(x["g"])).alias("start"), end.alias("end"), x["g"].alias("text"))
+        taken = x["g"] if group else x["m"]
+        one = F.struct((end - F.length(taken)).alias("start"), end.alias("end"), taken.alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(pairs: Column) -> Column:
+        """Some matches at a time, as appending to an array copies it."""
+
+        def chunk(done: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
+            start = F.struct(at.alias("at"), F.array().cast(f"array<{_MATCH}>").alias("out"))
+            return F.concat(done, F.array(F.aggregate(F.slice(pairs, i * _CHUNK + 1, F.lit(_CHUNK)), start, step)))
+
+        none = F.array().cast(f"array<struct<at:int,out:array<{_MATCH}>>>")
+        return F.flatten(F.transform(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int")), none, chunk), lambda r: r["out"]))
+
+    # a variable of the function, or every chunk would search the text anew; the last gap has no match behind it
+    pairs = F.filter(F.arrays_zip(*named), lambda x: x["m"].isNotNull())
+    found = F.transform(F.array(pairs), placed)[0]
     # most texts have no match: one search settles that
     some = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.when(some, found).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def before(text: Column, span: Column, n: int) -> Column:
