@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from maskwright.functions import detectors as D
 from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
 from maskwright.functions.names import _skipped
-from maskwright.operators import intervals, mentions, sanitise, shared_names, snapshots
+from maskwright.functions.spans import scan, substitute
+from maskwright.operators import intervals, markdown, mentions, sanitise, shared_names, snapshots
 from maskwright.plans.catalogue import _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import query
 from maskwright.scratch import folder, local_rows
@@ -190,3 +191,73 @@ def sanitised_pages(spark, sf_dir):
     """Pages without what runs or loads."""
     pages = tables.read(spark, sf_dir, "pages", "page_id", "html")
     return sanitise.sanitised(pages, ["page_id"]).select("page_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n_chars"))
+
+
+_LONG = "[A-Z][a-z]{5,}"
+#: The lines of a reply in turn: heading, item, quotation, paragraph, numbered item, code.
+_FORMS = (("## ", ""), ("- ", ""), ("> ", ""), ("", ""), ("7. ", ""), ("```\n", "\n```"))
+
+
+def _reply(text, closing):
+    """text as a Markdown reply: its lines in six forms, and a closing line."""
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda r: F.trim(r)), lambda r: r != "")
+
+    def formed(r, i):
+        one = F.lit("")
+        for k, (a, b) in enumerate(_FORMS):
+            one = F.when(i % len(_FORMS) == k, F.concat(F.lit(a), r, F.lit(b))).otherwise(one)
+        return one
+
+    return F.array_join(F.concat(F.transform(rows, formed), F.array(closing)), "\n\n")
+
+
+_LINES_SQL = """l AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i FROM (
+      SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS r, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents) WHERE r <> ''),
+    x AS (SELECT *, replace(replace(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS e FROM l),
+    w AS (SELECT doc_id, i,
+      CASE i % 6 WHEN 0 THEN '<h2>' || e || '</h2>' WHEN 1 THEN '<ul><li>' || e || '</li></ul>' WHEN 2 THEN '<blockquote><p>' || e || '</p></blockquote>'
+        WHEN 3 THEN '<p>' || e || '</p>' WHEN 4 THEN '<ol start="7"><li>' || e || '</li></ol>' ELSE '<pre><code>' || e || '</code></pre>' END AS html,
+      CASE i % 6 WHEN 0 THEN '## ' || r WHEN 1 THEN '- ' || r WHEN 2 THEN '> ' || r WHEN 3 THEN r WHEN 4 THEN '7. ' || r ELSE '```' || chr(10) || r || chr(10) || '```' END AS markdown,
+      CASE i % 6 WHEN 1 THEN '• ' || r WHEN 4 THEN '7. ' || r ELSE r END AS plain FROM x)"""
+
+
+@query(
+    rf"""WITH {_LINES_SQL},
+    k AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{_LONG}')), 0) AS n, coalesce(nullif(regexp_extract(text, '{_LONG}'), ''), 'none') AS first,
+          '[[V1_' || upper(md5(CAST(doc_id AS VARCHAR))) || '_NAME_0]]' AS lost FROM documents),
+    a AS (SELECT doc_id, i, html, markdown, plain FROM w UNION ALL SELECT doc_id, 1e9, '<p>' || first || ' ' || lost || '</p>', first || ' ' || lost, first || ' ' || lost FROM k)
+    SELECT a.doc_id, md5(string_agg(html, chr(10) || chr(10) ORDER BY i)) AS html_md5, md5(string_agg(markdown, chr(10) || chr(10) ORDER BY i)) AS markdown_md5,
+           md5(string_agg(plain, chr(10) || chr(10) ORDER BY i)) AS plain_md5, CAST(any_value(k.n) + CASE WHEN any_value(k.n) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_restored,
+           CAST(1 AS BIGINT) AS n_unknown, CAST(1 AS BIGINT) AS inert
+    FROM a JOIN k USING (doc_id) GROUP BY a.doc_id"""
+)
+def structured_restore(spark, sf_dir):
+    """Documents as masked Markdown replies with their long capitalised words put back: in headings, items, quotations,
+    code and the text of a link, not in its destination; a token of no mapping stays."""
+    t = F.coalesce("text", F.lit(""))
+    scope = F.upper(F.md5(F.col("doc_id").cast("string")))
+    found = _docs(spark, sf_dir).select("doc_id", t.alias("text"), scan(t, _LONG).alias("spans")).withColumn("names", F.array_distinct(F.transform("spans", lambda s: s["text"])))
+    token = lambda n: F.concat(F.lit("[[V1_"), scope, F.lit("_NAME_"), n.cast("string"), F.lit("]]"))
+    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), token(F.array_position("names", s["text"])).alias("put")))
+    first = F.when(F.size("names") > 0, token(F.lit(1))).otherwise("none")
+    closing = F.concat(F.lit("["), first, F.lit("](http://host/"), first, F.lit(") "), token(F.lit(0)))
+    replies = found.select("doc_id", _reply(substitute(F.col("text"), placed), closing).alias("text"))
+    mapping = found.select("doc_id", F.posexplode("names").alias("n", "original")).select("doc_id", token(F.col("n") + 1).alias("token"), "original")
+    views = markdown.structured(replies, mapping, ["doc_id"])
+    return views.select("doc_id", *[F.md5(c).alias(f"{c}_md5") for c in ("html", "markdown", "plain")], "n_restored", "n_unknown", "inert")
+
+
+@query(
+    rf"""WITH {_LINES_SQL},
+    a AS (SELECT doc_id, i, html, plain FROM w UNION ALL
+      SELECT doc_id, 1e9, '<p><strong>' || doc_id || '</strong> <a href="http://host/' || doc_id || '">page</a></p>', doc_id || ' page (http://host/' || doc_id || ')' FROM documents)
+    SELECT doc_id, md5(string_agg(html, chr(10) || chr(10) ORDER BY i)) AS html_md5, md5(string_agg(plain, chr(10) || chr(10) ORDER BY i)) AS plain_md5 FROM a GROUP BY doc_id"""
+)
+def markdown_views(spark, sf_dir):
+    """Documents as Markdown replies, as pages and as plain texts, with the destinations of links."""
+    number = F.col("doc_id").cast("string")
+    closing = F.concat(F.lit("**"), number, F.lit("** [page](http://host/"), number, F.lit(")"))
+    replies = _docs(spark, sf_dir).select("doc_id", _reply(F.coalesce("text", F.lit("")), closing).alias("text"))
+    none = replies.select("doc_id", F.lit("").alias("token"), F.lit("").alias("original")).where("false")
+    views = markdown.structured(replies, none, ["doc_id"], linked=True)
+    return views.select("doc_id", F.md5("html").alias("html_md5"), F.md5("plain").alias("plain_md5"))
