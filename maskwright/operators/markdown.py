@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.scratch import materialize
+
 #: Nesting of lists that gets its own tags.
 DEEPEST = 6
 FENCE = r" {0,3}(?:`{3,}(?=[^`\n]*(?:\n|\z))|~{3,})"
@@ -186,7 +188,7 @@ def pieces(found: DataFrame, keys: list[str]) -> DataFrame:
     at = [*keys, "block", "row", "cell"]
     code = F.col("kind") == "code"
     cut = F.when(code, F.regexp_extract_all("text", F.lit(PLAIN_PIECE), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
-    rows = found.select(*at, code.alias("block_code"), F.posexplode(cut).alias("pos", "piece"))
+    rows = found.select(*at, F.col("kind").alias("leaf"), "n_cells", code.alias("block_code"), F.posexplode_outer(cut).alias("pos", "piece")).na.fill("", ["piece"]).na.fill(0, ["pos"])
     p = F.col("piece")
     kind = (
         F.when(F.col("block_code"), "code").when(p.rlike(r"^`.*`\z"), "span").when(p.rlike(r"(?s)^!?\[.*\]\([^()]*\)\z"), "link").when(p.rlike(rf"^{TOKEN}\z"), "text")
@@ -211,7 +213,7 @@ def pieces(found: DataFrame, keys: list[str]) -> DataFrame:
     to = F.when((F.col("kind") == "link") & ~F.col("piece").startswith("!"), F.regexp_extract("piece", r"(?s)\]\(([^()\s]*)[^()]*\)\z", 1)).when(F.col("kind") == "url", shown)
     # a link without a text is drawn by its destination alone
     inner = F.when(F.size(inner) > 0, inner).otherwise(F.array(F.lit("")))
-    rows = rows.select(*at, "pos", "kind", "opens", tag.alias("tag"), to.alias("to"), F.size(inner).alias("n_subs"), F.posexplode(inner).alias("sub", "piece"))
+    rows = rows.select(*at, "leaf", "n_cells", "pos", "kind", "opens", tag.alias("tag"), to.alias("to"), F.size(inner).alias("n_subs"), F.posexplode(inner).alias("sub", "piece"))
     return rows.withColumn("last", F.col("sub") == F.col("n_subs") - 1).drop("n_subs")
 
 
@@ -222,15 +224,13 @@ def structured(docs: DataFrame, mappings: DataFrame, keys: list[str], text_col:
     linked keeps destinations in the page (`<a href>`) and the plain text (`text (destination)`) and raw HTML in the
     page only: such a page goes through `sanitise.sanitised` before anyone opens it.
     """
-    framed = _framed(blocks(docs, keys, text_col), keys)
+    framed = materialize(_framed(blocks(docs, keys, text_col), keys), "blocks")  # read for the leaves and for what frames them
     parts = pieces(leaves(framed, keys), keys)
     known = mappings.groupBy(*keys, token_key(F.col("token")).alias("__token")).agg(F.collect_set("original").alias("__originals"))
     is_token = F.col("piece").rlike(rf"^{TOKEN}\z") & F.col("kind").isin("text", "link", "span", "code")
     parts = parts.withColumn("__token", F.when(is_token, token_key(F.col("piece"))))
-    # a text without tokens meets nothing: only pieces that are tokens go to the join
-    tokens = parts.where(F.col("__token").isNotNull()).join(known, [*keys, "__token"], "left").drop("__token")
-    others = parts.where(F.col("__token").isNull()).drop("__token").withColumn("__originals", F.lit(None).cast("array<string>"))
-    met = tokens.select(*others.columns).withColumn("was_token", F.lit(True)).unionByName(others.withColumn("was_token", F.lit(False)))
+    # pieces without a token keep a null key, which meets nothing and is spread by the other keys
+    met = parts.join(known, [*keys, "__token"], "left").withColumn("was_token", F.col("__token").isNotNull())
     put = F.when(F.size("__originals") == 1, F.get("__originals", F.lit(0)))
     kind, shown = F.col("kind"), F.coalesce(put, F.col("piece"))
     html = (
@@ -250,13 +250,11 @@ def structured(docs: DataFrame, mappings: DataFrame, keys: list[str], text_col:
         plain = F.when(kind == "html", "").when(named & (F.col("sub") == 0) & (shown == ""), to).when(named & F.col("last"), F.concat(shown, F.lit(" ("), to, F.lit(")"))).otherwise(plain)
     at = F.struct("pos", "sub", html.alias("html"), written.alias("markdown"), plain.alias("plain"))
     joined = lambda name: F.array_join(F.transform("at", lambda x: x[name]), "").alias(name)
-    cells = met.groupBy(*keys, "block", "row", "cell").agg(
+    cells = met.groupBy(*keys, "block", "row", "cell", "leaf", "n_cells").agg(
         F.array_sort(F.collect_list(at)).alias("at"), F.sum(put.isNotNull().cast("long")).alias("n_restored"),
         F.sum((F.col("was_token") & put.isNull()).cast("long")).alias("n_unknown"), F.sum((kind.isin("html", "link") & (F.col("sub") == 0)).cast("long")).alias("inert"),
-    ).select(*keys, "block", "row", "cell", joined("html"), joined("markdown"), joined("plain"), "n_restored", "n_unknown", "inert")
-    # a table's empty cells have no piece
-    cells = leaves(framed, keys).drop("text").join(cells, [*keys, "block", "row", "cell"], "left").na.fill("", ["html", "markdown", "plain"]).na.fill(0, ["n_restored", "n_unknown", "inert"])
-    table, last = F.col("kind") == "table", F.col("cell") == F.col("n_cells") - 1
+    ).select(*keys, "block", "row", "cell", "leaf", "n_cells", joined("html"), joined("markdown"), joined("plain"), "n_restored", "n_unknown", "inert")
+    table, last = F.col("leaf") == "table", F.col("cell") == F.col("n_cells") - 1
     th = F.when(F.col("row") == 0, "th").otherwise("td")
     edge = F.when(F.col("row") == 0, "</tr></thead><tbody>").otherwise("</tr>")
     opened = F.when(F.col("cell") == 0, F.when(F.col("row") == 0, "<thead><tr>").otherwise("<tr>")).otherwise("")
