@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.composed import composed
 from maskwright.scratch import local_rows, materialize
 from maskwright.sources import tables
 
@@ -38,10 +39,15 @@ def weights() -> list[tuple[str, str, float]]:
     return [(lang, w, (1.0 if len(w) <= 2 else 3.0) if shared[w] == 1 else 1 / shared[w]) for lang, words in lists.items() for w in words]
 
 
+def _words(text: Column) -> Column:
+    """Words in small letters; letters and their marks count as one letter."""
+    return F.regexp_extract_all(F.lower(composed(text)), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def lang_scores(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Score and matched words per document and language with any match. The table of words has a fixed size."""
     table = local_rows(docs.sparkSession, weights(), "lang string, word string, weight double")
-    words = docs.select(*keys, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    words = docs.select(*keys, F.explode(_words(F.col(text_col))).alias("word"))
     hits = words.join(F.broadcast(table), "word")  # most words go here, before anything is shuffled
     return hits.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("n_matches"))
 
@@ -62,7 +68,7 @@ def paragraphs(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
 
 def evidence(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang, score, n_matches: known words and hints of each language with any."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))
+    words = _words(F.col(text_col))
     listed = parts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("times"))
     table = local_rows(parts.sparkSession, weights(), "lang string, word string, weight double")
     known = listed.join(F.broadcast(table), "word").select(*keys, "lang", (F.col("weight") * F.col("times")).alias("weight"), F.col("times").alias("n"))
@@ -74,14 +80,13 @@ def evidence(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataF
 
 
 def _length(text_col: str):
-    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
+    return F.size(_words(F.coalesce(text_col, F.lit("")))).alias("n_words")
 
 
 def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, languages, status: the winners of the whole text and of its paragraphs, in the order of the text's ranking.
 
-    A winner has LEAST_WORDS words, LEAST_MATCHES matches, LEAST_SCORE points and LEAD over the second. Letters count
-    in composed form only. status is detected, mixed or undetermined; documents without any evidence are undetermined.
+    A winner has LEAST_WORDS words, LEAST_MATCHES matches, LEAST_SCORE points and LEAD over the second. status is detected, mixed or undetermined; documents without any evidence are undetermined.
     """
     cut = paragraphs(docs, keys, text_col)
     by = [*keys, "nth"]
@@ -126,7 +131,7 @@ def decide(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
 
     A tie goes to no language, since neither leads. Only texts with any known word give a row.
     """
-    words = F.size(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("n_words")
+    words = F.size(_words(F.col(text_col))).alias("n_words")
     scores = lang_scores(docs, keys, text_col)
     best = F.reverse(F.array_sort(F.collect_list(F.struct("score", "n_matches", "lang")))).alias("best")
     ranked = scores.groupBy(*keys).agg(best).join(docs.select(*keys, words), keys)

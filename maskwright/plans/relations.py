@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as D
+from maskwright.functions.composed import composed
 from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
 from maskwright.functions.names import _skipped
 from maskwright.functions.spans import scan, substitute
-from maskwright.operators import intervals, markdown, mentions, sanitise, shared_names, snapshots
+from maskwright.operators import intervals, language, markdown, mentions, sanitise, shared_names, snapshots
 from maskwright.plans.catalogue import _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import query
 from maskwright.scratch import folder, local_rows
@@ -261,3 +264,30 @@ def markdown_views(spark, sf_dir):
     none = replies.select("doc_id", F.lit("").alias("token"), F.lit("").alias("original")).where("false")
     views = markdown.structured(replies, none, ["doc_id"], linked=True)
     return views.select("doc_id", F.md5("html").alias("html_md5"), F.md5("plain").alias("plain_md5"))
+
+
+#: Latin letters with one mark, by rule.
+_ACCENTED = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(i))) == 2}
+
+
+def _decomposed(text):
+    for letter, apart in _ACCENTED.items():
+        text = F.replace(text, F.lit(letter), F.lit(apart))
+    return text
+
+
+@query(
+    f"""SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS composed_md5,
+           CAST(length(regexp_replace(nfc_normalize(coalesce(text, '')), '[^{"".join(_ACCENTED)}]', '', 'g')) AS INTEGER) AS n_marks FROM documents"""
+)
+def composed_texts(spark, sf_dir):
+    """Documents whose letters and marks were taken apart, put together again."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    apart = docs.select("doc_id", "text", _decomposed(F.col("text")).alias("apart"))
+    return apart.select("doc_id", F.md5(composed(F.col("apart"))).alias("composed_md5"), (F.length("apart") - F.length(composed(F.col("text")))).alias("n_marks"))
+
+
+@query(language.LANG_SCORES_SQL)
+def decomposed_lang_scores(spark, sf_dir):
+    """Language evidence of documents whose letters and marks were taken apart: that of the documents themselves."""
+    return language.lang_scores(_docs(spark, sf_dir).withColumn("text", _decomposed(F.col("text"))), ["doc_id"])
