@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.scalars import escape_html
+from maskwright.operators import markdown
 
 PLACEHOLDER = r"(\[\[[A-Z][A-Z0-9_]*\]\])"
 # Limits and shapes of the gate.
@@ -70,6 +71,21 @@ def page(text: Column, title: str, marked: bool = True) -> Column:
     return F.concat(F.lit(head), body, F.lit("</pre></body></html>\n"))
 
 
+def exported(docs: DataFrame, keys: list[str], side: str = "sanitized", marked: bool = True, text_col: str = "text") -> DataFrame:
+    """keys, kind (txt, md, html), file_name, mime and content: every text as it is, as Markdown that loads nothing and
+    as a page that stands alone. Names of files tell nothing of their source.
+    """
+    stem = f"document-{side}"
+    none = docs.select(*keys, F.lit("").alias("token"), F.lit("").alias("original")).where("false")
+    views = markdown.structured(docs, none, keys, text_col).select(*keys, F.col("html").alias("__html"), F.col("markdown").alias("__markdown"))
+    body = F.regexp_replace("__html", PLACEHOLDER, "<mark>$1</mark>") if marked else F.col("__html")
+    head = f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{stem}</title><style>pre{{white-space:pre-wrap}}</style></head>\n<body>\n'
+    whole = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(views, keys)
+    forms = {"txt": ("text/plain", F.col("__text")), "md": ("text/markdown", F.col("__markdown")), "html": ("text/html", F.concat(F.lit(head), body, F.lit("\n</body></html>\n")))}
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(f"{stem}.{k}").alias("file_name"), F.lit(f"{m};charset=utf-8").alias("mime"), c.alias("content")) for k, (m, c) in forms.items()]
+    return whole.select(*keys, F.explode(F.array(*rows)).alias("f")).select(*keys, "f.*")
+
+
 def write_text(rows: DataFrame, path: str, text_col: str = "masked") -> None:
     """One JSON line per document (id columns and text), as text files of any number."""
     rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).write.text(path)

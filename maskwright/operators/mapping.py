@@ -43,7 +43,7 @@ def mapping_table(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def category_counts(mappings: DataFrame) -> DataFrame:
     """Mappings per category, the most first."""
-    return mappings.groupBy("category").agg(F.count(F.lit(1)).alias("n_mappings")).orderBy(F.desc("n_mappings"), "category")
+    return mappings.groupBy("category").agg(F.count(F.lit(1)).alias("n_mappings")).orderBy(F.desc("n_mappings"), F.collate("category", "UNICODE"))
 
 
 def summary(mappings: DataFrame) -> DataFrame:

@@ -55,6 +55,15 @@ def literal(text: Column) -> Column:
     return F.when(text.rlike(r"[^\p{L}\p{N}_ ]"), F.array_join(F.transform(F.split(text, "(?s)(?<=.)(?=.)"), one), "")).otherwise(text)
 
 
+def tolerant(token: Column) -> Column:
+    """What spellings of a token have in common: case, separators, leading zeros and the number of brackets do not count.
+
+    Null for what has no number at its end.
+    """
+    inner = F.lower(F.regexp_replace(F.regexp_replace(token, r"^\[+|\]+\z", ""), r"[\s_]+", "_"))
+    return F.when(inner.rlike(r"(?s)^(?:.*_)?[0-9]+\z"), F.regexp_replace(inner, r"(^|_)0+(?=[0-9]+\z)", "$1"))
+
+
 def lines(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, pos, kind, quote (depth), body and, for items, indent and mark; for headings level."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")

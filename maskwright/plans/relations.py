@@ -12,7 +12,7 @@ from maskwright.functions.composed import composed
 from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
 from maskwright.functions.names import _skipped
 from maskwright.functions.spans import scan, substitute
-from maskwright.operators import intervals, language, markdown, mentions, sanitise, shared_names, snapshots
+from maskwright.operators import export, intervals, language, markdown, mentions, sanitise, shared_names, snapshots
 from maskwright.plans.catalogue import _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import query
 from maskwright.scratch import folder, local_rows
@@ -291,3 +291,20 @@ def composed_texts(spark, sf_dir):
 def decomposed_lang_scores(spark, sf_dir):
     """Language evidence of documents whose letters and marks were taken apart: that of the documents themselves."""
     return language.lang_scores(_docs(spark, sf_dir).withColumn("text", _decomposed(F.col("text"))), ["doc_id"])
+
+
+@query(
+    rf"""WITH {_LINES_SQL},
+    k AS (SELECT doc_id, '[[V1_' || upper(md5(CAST(doc_id AS VARCHAR))) || '_NAME_1]]' AS token FROM documents),
+    a AS (SELECT doc_id, i, html, markdown FROM w UNION ALL SELECT doc_id, 1e9, '<p><em>to</em> <mark>' || token || '</mark></p>', '*to* ' || token FROM k),
+    f AS (SELECT doc_id, string_agg(html, chr(10) || chr(10) ORDER BY i) AS html, string_agg(markdown, chr(10) || chr(10) ORDER BY i) AS markdown FROM a GROUP BY doc_id)
+    SELECT doc_id, 'document-sanitized.' || kind AS file_name, md5(CASE kind WHEN 'html' THEN '<!doctype html>' || chr(10)
+      || '<html><head><meta charset="utf-8"><title>document-sanitized</title><style>pre{{white-space:pre-wrap}}</style></head>' || chr(10) || '<body>' || chr(10) || html
+      || chr(10) || '</body></html>' || chr(10) ELSE markdown END) AS content_md5
+    FROM f, (VALUES ('txt'), ('md'), ('html')) AS t(kind)"""
+)
+def exported_forms(spark, sf_dir):
+    """Documents as replies with a token, as text, Markdown and a page."""
+    closing = F.concat(F.lit("*to* [[V1_"), F.upper(F.md5(F.col("doc_id").cast("string"))), F.lit("_NAME_1]]"))
+    replies = _docs(spark, sf_dir).select("doc_id", _reply(F.coalesce("text", F.lit("")), closing).alias("text"))
+    return export.exported(replies, ["doc_id"]).select("doc_id", "file_name", F.md5("content").alias("content_md5"))

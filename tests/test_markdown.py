@@ -5,8 +5,10 @@ from __future__ import annotations
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from maskwright.operators import markdown
+from maskwright.functions.engine import token_key
+from maskwright.operators import export, markdown
 
 MAPPING = [("[[NAME_1]]", "<Ana|*B*>"), ("[[NAME_2]]", "x"), ("[[NAME_2]]", "y")]
 CASES = {
@@ -68,3 +70,24 @@ def test_long_texts_of_one_kind_end(spark, unit):
     began = time.time()
     _views(spark, [unit * (60_000 // len(unit))])
     assert time.time() - began < 30
+
+
+def test_spellings_of_a_token_meet_its_mapping(spark):
+    spelled = ["[[NAME_001]]", "[name 1]", "[[Name__1]]", "[[NAME_010]]", "[[V1_AB_X_7]]", "[[NAME]]", "[x_y]", "[[NAME_0]]", "[[A_00]]", "[7]"]
+    rows = spark.createDataFrame([(t,) for t in spelled], "t string").select("t", markdown.tolerant(F.col("t")).alias("k")).collect()
+    for r in rows:
+        want = token_key(r["t"].strip("[]"))
+        assert (r["k"] or "") == want.removeprefix("_"), r
+    docs = spark.createDataFrame([(1, "a [name 1] [[NAME_01]] [[NAME]] [NAME_2]")], "id long, text string")
+    known = spark.createDataFrame([(1, "[[NAME_001]]", "Ana")], "id long, token string, original string")
+    got = markdown.structured(docs, known, ["id"], token_key=markdown.tolerant).first()
+    assert got["plain"] == "a Ana Ana [[NAME]] [NAME_2]" and got["n_restored"] == 2
+
+
+def test_exported_forms_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "# [[NAME_1]]\n![x](http://h/p.png) <script>a</script>"), (2, None)], "id long, text string")
+    got = {(r["id"], r["kind"]): r for r in export.exported(docs, ["id"]).collect()}
+    assert len(got) == 6 and got[1, "txt"]["content"].startswith("# [[NAME_1]]\n![x]") and got[2, "txt"]["content"] == ""
+    page = got[1, "html"]["content"]
+    assert "<h1><mark>[[NAME_1]]</mark></h1>" in page and "http" not in page and "<script" not in page
+    assert got[1, "md"]["content"] == "# [[NAME_1]]\n\nx &#60;script&#62;a&#60;&#47;script&#62;"
