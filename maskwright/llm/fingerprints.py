@@ -11,17 +11,18 @@ sketches of merged documents.
 
 Defined results: null counts as empty; a text shorter than a shingle is one shingle; an empty text has an empty
 sketch, which is alike to an empty sketch only; documents that share an id stand in the order of their text;
-null ids come last; the single document of a table is its own next; other columns are ignored.
+null ids come last; ids that many rows share, and null ones, are dealt to several tasks, but for rows that begin alike; the single document of a table is its own next; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ from maskwright.scratch import local_rows
 SHINGLE = 16
 SCALE = 16
 LEAST = 64
+#: Code points of a text that parts are cut at where one id fills several.
+BEGINNING = 64
 _U = np.uint32
 
 
@@ -114,26 +117,27 @@ def edited(text: str, following: str) -> str:
 def in_sequence(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs in descending order of the id, in parts whose first row is repeated at the end of the part before.
 
-    Rows have part, turn (0, or 1 for the repeated row), doc_id and text. Text moves once. The bounds of the parts
-    are quantiles of the ids, and each part's first row is found by an aggregate over ids alone.
+    Rows have part, turn (0, or 1 for the repeated row), doc_id and text. Text moves once. Parts begin at quantiles of
+    the ids; an id, or the absence of one, that fills several parts is cut at the beginnings of its texts as well.
+    Each part's first row is found by an aggregate over ids, and over beginnings where ids are cut.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text")
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id")
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = _part_of(bounds)  # part 0 has the largest ids; null ids go to the last part
-    firsts = ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).collect()
-    present = sorted(r["part"] for r in firsts)
-    before = {p: present[i - 1] for i, p in enumerate(present)}  # the first part follows the last
+    cuts, beginning = _cuts(rows, parts)
+    placed = rows.withColumn("beginning", beginning)
+    part = _part_of(cuts)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "beginning")
+    firsts = placed.groupBy(part.alias("part")).agg(F.min(at).alias("top")).collect()
     tops = {r["part"]: r["top"] for r in firsts}
+    present = sorted(tops)
+    before = {p: present[i - 1] for i, p in enumerate(present)}  # the first part follows the last
     # one entry per part: bounded by the number of partitions
-    heads = local_rows(spark, [(p, tops[p], before[p]) for p in present], "part int, top long, earlier int")
-    tagged = rows.withColumn("part", part.cast("int")).join(F.broadcast(heads), "part")
+    found = [(p, None if tops[p]["none"] else ~tops[p]["down"], tops[p]["beginning"], before[p]) for p in present]
+    heads = local_rows(spark, found, "part int, top long, opening string, earlier int")
+    tagged = placed.withColumn("part", part.cast("int")).join(F.broadcast(heads), "part")
     twice = F.when(
-        F.col("doc_id").eqNullSafe(F.col("top")),
+        F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("beginning") == F.col("opening")),
         F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("turn")), F.struct(F.col("earlier").alias("p"), F.lit(1).alias("turn"))),
     ).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("turn"))))
     spread = tagged.select("doc_id", "text", F.explode(twice).alias("to")).select(F.col("to.p").alias("part"), F.col("to.turn").alias("turn"), "doc_id", "text")
@@ -142,16 +146,55 @@ def in_sequence(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id
     )
 
 
-def _part_of(bounds: list[int]):
-    """Number of a row's part, by a decision tree over the sorted bounds."""
+def _cuts(rows: DataFrame, parts: int) -> tuple[list[tuple[int | None, str]], Column]:
+    """Where parts after the first begin, in the order of the rows, and the column that cuts within an id compare.
 
-    def tree(low: int, high: int):
+    A cut is an id and the beginning of a text. Ids that several quantiles fall on are cut at quantiles of the
+    beginnings of 64 * parts of their rows at most, drawn at random: they only bound the parts, whatever was drawn.
+    """
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    seen = rows.agg(
+        F.percentile_approx("doc_id", shares, 100 * parts).alias("at"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+    ).first()
+    falls: dict[int | None, int] = dict(Counter(seen["at"] or []))
+    if seen["nulls"] * parts >= seen["n"] > 0:
+        falls[None] = seen["nulls"] * parts // seen["n"]
+    heavy = {i: m for i, m in falls.items() if m > 1}
+    cuts = {(i, "") for i in falls}
+    beginning = F.lit("")
+    if heavy:
+        known = F.col("doc_id").isin([i for i in heavy if i is not None])
+        among = F.when(F.col("doc_id").isNull(), F.lit(None in heavy)).otherwise(known)
+        beginning = F.when(among, F.left("text", F.lit(BEGINNING))).otherwise("")
+        drawn = rows.filter(among).select("doc_id", F.left("text", F.lit(BEGINNING)).alias("b")).orderBy(F.rand(9)).limit(64 * parts)
+        of: dict[int | None, list[str]] = {}
+        for r in drawn.collect():
+            of.setdefault(r["doc_id"], []).append(r["b"])
+        for i, texts in of.items():
+            texts.sort()
+            cuts |= {(i, texts[k * len(texts) // heavy[i]]) for k in range(1, heavy[i])}
+    return sorted(cuts, key=lambda c: (c[0] is None, -(c[0] or 0), c[1])), beginning
+
+
+def _part_of(cuts: list[tuple[int | None, str]]) -> Column:
+    """How many cuts a row stands behind, by a decision tree over them: part 0 has the largest ids, null ones come last."""
+
+    def behind(cut: tuple[int | None, str]) -> Column:
+        own, text = cut
+        here = F.lit(True) if text == "" else F.col("beginning") >= F.lit(text)
+        if own is None:
+            return F.col("doc_id").isNull() & here
+        return F.col("doc_id").isNull() | (F.col("doc_id") < F.lit(own)) | ((F.col("doc_id") == F.lit(own)) & here)
+
+    def tree(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(len(bounds) - low)
+            return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.col("doc_id") > F.lit(bounds[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
+        return F.when(behind(cuts[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    return tree(0, len(bounds))
+    return tree(0, len(cuts))
 
 
 OUT = T.StructType(

@@ -60,7 +60,7 @@ def train(
         prior[r["__domain"]] += 1
     picked = local_rows(spark, sorted({(r["__id"], r["__domain"]) for r in chosen}), f"__id {kind}, __domain string")
     # bounded by `sample` rows, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(picked), "__id")
     counts = (
         rows.select("__domain", F.explode(features(F.col("__text"))).alias("bucket")).groupBy("__domain", "bucket").count().collect()
     )  # at most domains x BUCKETS rows
@@ -98,7 +98,7 @@ def with_posterior(rows: DataFrame, text: Column, model: tuple[list[float], list
 
 def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tokens and posterior of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text"))
     return with_posterior(rows, F.col("__text"), model).select("id", "tokens", "posterior")
 
 

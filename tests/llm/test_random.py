@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, queries, secrets, sharding, token_counts, toxicity, warc
 
@@ -263,6 +264,28 @@ def test_fingerprints_follow_the_order_and_estimate_likeness(docs, rows, empty):
     assert fingerprints.fingerprint_next(empty).count() == 0
 
 
+def test_fingerprints_deal_heavy_ids_to_several_parts(spark):
+    draw = random.Random(21)
+    text = lambda: "".join(draw.choice("abc é") for _ in range(draw.randrange(1, 90)))
+    given = [(None, text()) for _ in range(300)] + [(7, text()) for _ in range(250)] + [(i, text()) for i in range(-100, 100)]
+    given += [(None, None)] * 3 + [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (7, given[300][1])]
+    docs = spark.createDataFrame(given, "`the.id` long, `the.text` string").repartition(3)
+    placed = fingerprints.in_sequence(docs, 32, "the.id", "the.text").filter("turn = 0")
+    parts = {r.doc_id: r.n for r in placed.groupBy("doc_id").agg(F.countDistinct("part").alias("n")).collect()}
+    assert parts[None] > 8 and parts[7] > 6
+    order = sorted(given, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+    got = fingerprints.fingerprint_next(docs, "the.id", "the.text").collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    for r in mixing.posteriors(docs, ([0.0, 0.0], [[0.0] * mixing.BUCKETS] * 2), "the.id", "the.text").limit(3).collect():
+        assert list(r.posterior) == [0.5, 0.5]
+    assert sharding.sized(docs, "the.id", "the.text").count() == len(given)
+
+
 def test_packing_pieces_are_the_library_s_and_sequences_few(docs, rows, empty):
     from tokenizers import Tokenizer
 
