@@ -7,6 +7,7 @@ like a result (`spans`, `mappings`, `masked`, `result`) is replaced by it; an em
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,45 +73,84 @@ def _manual(given: list[dict] | None, text: str) -> list[Span]:
     ]
 
 
-def detect(docs: DataFrame, text_col: str = "text", manual_col: str | None = None, **profile) -> DataFrame:
-    """docs with `spans`: the winners, shields included, sorted by start. profile: see Engine.
+def _start(profile: dict, own: dict[str, str | None], each: Callable) -> Callable:
+    """What starts a task: each(engine, text, manual spans) with the engine of the row's own profile, built once a task.
 
-    manual_col names spans (start, end, category, text) of the caller's, replayed where their text still matches.
+    own names the columns that stand for parts of the profile; null means the table's.
     """
+    parts = [part for part, column in own.items() if column]
 
     def start():
-        engine = Engine(**profile)
-        return lambda text, manual=None: (engine.detect(text or "", _manual(manual, text or "")),)
-
-    return _with(docs, [text_col, *([manual_col] if manual_col else [])], {"spans": (f"array<{SPAN}>", _SPANS)}, start)
-
+        @lru_cache(maxsize=64)
+        def engine_of(*values):
+            given = {part: dict(v) if part == "settings" else v for part, v in zip(parts, values) if v is not None}
+            return Engine(**{**profile, **given})
 
-def candidates(docs: DataFrame, text_col: str = "text", **profile) -> DataFrame:
-    """docs with `candidates`: what every detector and rule finds, in the order that settles ties, nothing decided."""
-
-    def start():
-        engine = Engine(**profile)
-        return lambda text: (engine.candidates(text or ""),)
+        def work(text, *rest):
+            values = [v if v is None else tuple(x for x in v if x is not None) for v in rest[: len(parts)]]
+            return each(engine_of(*values), text or "", *rest[len(parts) :])
 
-    return _with(docs, [text_col], {"candidates": (f"array<{SPAN}>", _SPANS)}, start)
+        return work
 
+    return start
 
-def mask(docs: DataFrame, text_col: str = "text", manual_col: str | None = None, **profile) -> DataFrame:
-    """docs with `spans`, `mappings` and `masked`."""
 
-    def start():
-        engine = Engine(**profile)
+def _columns(text_col: str, own: dict[str, str | None], manual_col: str | None = None) -> list[str]:
+    return [c for c in (text_col, *own.values(), manual_col) if c]
 
-        def work(text, manual=None):
-            text = text or ""
-            spans = engine.detect(text, _manual(manual, text))
-            found = mappings(text, spans)
-            return spans, found, apply(text, found)
 
-        return work
+def detect(
+    docs: DataFrame,
+    text_col: str = "text",
+    manual_col: str | None = None,
+    languages_col: str | None = None,
+    jurisdictions_col: str | None = None,
+    settings_col: str | None = None,
+    **profile,
+) -> DataFrame:
+    """docs with `spans`: the winners, shields included, sorted by start. profile: see Engine.
 
+    manual_col names spans (start, end, category, text) of the caller's, replayed where their text still matches. The
+    columns of languages, jurisdictions (lists) and settings (a map) give each row its own; null ones the profile's.
+    """
+    own = {"languages": languages_col, "jurisdictions": jurisdictions_col, "settings": settings_col}
+    each = lambda engine, text, manual=None: (engine.detect(text, _manual(manual, text)),)
+    return _with(docs, _columns(text_col, own, manual_col), {"spans": (f"array<{SPAN}>", _SPANS)}, _start(profile, own, each))
+
+
+def candidates(
+    docs: DataFrame,
+    text_col: str = "text",
+    languages_col: str | None = None,
+    jurisdictions_col: str | None = None,
+    settings_col: str | None = None,
+    **profile,
+) -> DataFrame:
+    """docs with `candidates`: what every detector and rule finds, in the order that settles ties, nothing decided."""
+    own = {"languages": languages_col, "jurisdictions": jurisdictions_col, "settings": settings_col}
+    each = lambda engine, text: (engine.candidates(text),)
+    return _with(docs, _columns(text_col, own), {"candidates": (f"array<{SPAN}>", _SPANS)}, _start(profile, own, each))
+
+
+def mask(
+    docs: DataFrame,
+    text_col: str = "text",
+    manual_col: str | None = None,
+    languages_col: str | None = None,
+    jurisdictions_col: str | None = None,
+    settings_col: str | None = None,
+    **profile,
+) -> DataFrame:
+    """docs with `spans`, `mappings` and `masked`; columns of profiles as in `detect`."""
+
+    def each(engine, text, manual=None):
+        spans = engine.detect(text, _manual(manual, text))
+        found = mappings(text, spans)
+        return spans, found, apply(text, found)
+
+    own = {"languages": languages_col, "jurisdictions": jurisdictions_col, "settings": settings_col}
     made = {"spans": (f"array<{SPAN}>", _SPANS), "mappings": (f"array<{MAPPING}>", _MAPPINGS), "masked": ("string", _S)}
-    return _with(docs, [text_col, *([manual_col] if manual_col else [])], made, start)
+    return _with(docs, _columns(text_col, own, manual_col), made, _start(profile, own, each))
 
 
 def restored(responses: DataFrame, text_col: str = "masked", mappings_col: str = "mappings", tolerant: bool = True, legacy: bool = True) -> DataFrame:
