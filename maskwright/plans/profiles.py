@@ -9,7 +9,7 @@ from maskwright.functions.packs import COUNTRY_LANGUAGES, PACKS, lexicon_of
 from maskwright.functions.spans import RUNG
 from maskwright.operators import detect as ops
 from maskwright.operators import language, profile
-from maskwright.plans.catalogue import _docs, _spans_sql
+from maskwright.plans.catalogue import _DATE_SQL, _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import ORACLES, query
 from maskwright.plans.review import lang_detected
 from maskwright.sources import packages, tables
@@ -51,6 +51,44 @@ def profiled_acronyms(spark, sf_dir):
     return rows.filter(F.col("s.rung") == RUNG["COMPANY_ACRONYM"]).select("doc_id", "s.start", "s.end", "s.text", "languages")
 
 
+# The fused pass with the switches of what SQL can say: emails, cards, phones, masked ids, behind the shield of dates.
+_SAID = dict(languages=(), jurisdictions=("ES",), settings={c: False for c in ("IBAN", "MONEY", "VAT_NUMBER", "DNI", "NIE", "INVALID_ID", "ID_CODE", "ADDRESS", "LOCATION")})
+_SAID_SQL = _TWO_SQL.replace('ORDER BY "start" - "end", "start", turn', 'ORDER BY turn > 0, "start" - "end", "start", turn').replace(
+    "SELECT *, 1 AS turn", f"SELECT *, 0 AS turn FROM ({_spans_sql(_DATE_SQL, 'SHIELD')}) UNION ALL SELECT *, 1 AS turn", 1
+)
+_PUT_SQL = _SAID_SQL + """, v AS (SELECT * FROM w WHERE category <> 'SHIELD'), f AS (
+      SELECT doc_id, text AS original_text, arg_min(category, "start") AS category, min("start") AS first_start, count(*) AS n FROM v GROUP BY doc_id, text
+    ), p AS (SELECT *, '[[' || category || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, category ORDER BY first_start) AS VARCHAR), 3, '0') || ']]' AS placeholder FROM f)"""
+
+
+@query(_SAID_SQL + ' SELECT doc_id, "start", "end", category, text FROM w')
+def fused_spans(spark, sf_dir):
+    """Winners of the fused pass, shields included."""
+    return ops.exploded(ops.detect(_docs(spark, sf_dir), **_SAID), ["doc_id"]).select("doc_id", "start", "end", "category", "text")
+
+
+@query(_PUT_SQL + " SELECT doc_id, original_text, category, placeholder, n AS n_occurrences FROM p")
+def fused_mappings(spark, sf_dir):
+    """Mappings of the fused pass."""
+    rows = ops.mask(_docs(spark, sf_dir), **_SAID).select("doc_id", F.explode("mappings").alias("m"))
+    return rows.select("doc_id", "m.original_text", "m.category", "m.placeholder", F.size("m.occurrences").cast("long").alias("n_occurrences"))
+
+
+@query(
+    _PUT_SQL
+    + """, o AS (SELECT v.doc_id, list(struct_pack(a := v."start", z := v."end", p := p.placeholder) ORDER BY v."start") AS os
+      FROM v JOIN p ON p.doc_id = v.doc_id AND p.original_text = v.text GROUP BY v.doc_id)
+    SELECT d.doc_id, coalesce(CASE WHEN o.os IS NULL THEN d.text ELSE
+      array_to_string(list_transform(range(1, len(o.os) + 1), lambda i:
+        substr(d.text, CASE WHEN i = 1 THEN 1 ELSE o.os[i-1].z + 1 END, o.os[i].a - CASE WHEN i = 1 THEN 0 ELSE o.os[i-1].z END) || o.os[i].p), '')
+      || substr(d.text, o.os[len(o.os)].z + 1) END, '') AS masked, coalesce(d.text, '') AS back
+    FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id"""
+)
+def fused_round_trip(spark, sf_dir):
+    """Texts masked in the fused pass, and what restoring the masked text gives: the text itself, whole."""
+    return ops.restored(ops.mask(_docs(spark, sf_dir), **_SAID)).select("doc_id", "masked", F.col("result.text").alias("back"))
+
+
 # A package a source: an entry for each document, named by its length and with the digest of the text with single
 # blanks. Texts of equal length share a name, texts of other blanks do not match.
 _FILES_SQL = "(SELECT source || '/' || doc_id || '/' || strlen(text) || '.txt' AS file, strlen(text) || '.txt' AS name, strlen(text) AS size, sha256(text) AS digest FROM documents WHERE text IS NOT NULL)"
