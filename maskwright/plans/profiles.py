@@ -1,4 +1,4 @@
-"""Queries of profiles that documents bring themselves, and of packages."""
+"""Queries of profiles that documents bring themselves, of the fused pass, of sessions and of packages."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from maskwright.operators import language, profile
 from maskwright.plans.catalogue import _DATE_SQL, _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import ORACLES, query
 from maskwright.plans.review import lang_detected
-from maskwright.sources import packages, tables
+from maskwright.sources import packages, sessions, tables
 
 _LANDS_SQL = ", ".join(
     f"CASE WHEN list_has_any(string_split(languages, ','), {list(langs)!r}) THEN '{country}' END" for country, langs in COUNTRY_LANGUAGES.items()
@@ -74,21 +74,37 @@ def fused_mappings(spark, sf_dir):
     return rows.select("doc_id", "m.original_text", "m.category", "m.placeholder", F.size("m.occurrences").cast("long").alias("n_occurrences"))
 
 
-@query(
-    _PUT_SQL
-    + """, o AS (SELECT v.doc_id, list(struct_pack(a := v."start", z := v."end", p := p.placeholder) ORDER BY v."start") AS os
-      FROM v JOIN p ON p.doc_id = v.doc_id AND p.original_text = v.text GROUP BY v.doc_id)
-    SELECT d.doc_id, coalesce(CASE WHEN o.os IS NULL THEN d.text ELSE
+_ROUND_SQL = _PUT_SQL + """, o AS (SELECT v.doc_id, list(struct_pack(a := v."start", z := v."end", p := p.placeholder) ORDER BY v."start") AS os
+      FROM v JOIN p ON p.doc_id = v.doc_id AND p.original_text = v.text GROUP BY v.doc_id),
+    b AS (SELECT d.doc_id, coalesce(CASE WHEN o.os IS NULL THEN d.text ELSE
       array_to_string(list_transform(range(1, len(o.os) + 1), lambda i:
         substr(d.text, CASE WHEN i = 1 THEN 1 ELSE o.os[i-1].z + 1 END, o.os[i].a - CASE WHEN i = 1 THEN 0 ELSE o.os[i-1].z END) || o.os[i].p), '')
       || substr(d.text, o.os[len(o.os)].z + 1) END, '') AS masked, coalesce(d.text, '') AS back
-    FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id"""
-)
+    FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id)"""
+
+
+@query(_ROUND_SQL + " SELECT doc_id, masked, back FROM b")
 def fused_round_trip(spark, sf_dir):
     """Texts masked in the fused pass, and what restoring the masked text gives: the text itself, whole."""
     return ops.restored(ops.mask(_docs(spark, sf_dir), **_SAID)).select("doc_id", "masked", F.col("result.text").alias("back"))
 
 
+@query(
+    _ROUND_SQL
+    + """ SELECT b.doc_id, masked, CAST(NULL AS VARCHAR) AS problem, coalesce(m.n, 0) AS n_mappings, coalesce(m.k, 0) AS n_occurrences
+    FROM b LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS k FROM p GROUP BY doc_id) m ON m.doc_id = b.doc_id"""
+)
+def session_round_trip(spark, sf_dir):
+    """Sessions of all documents written as JSON and read back: all checks hold, mappings and texts are there."""
+    masked = ops.mask(_docs(spark, sf_dir), **_SAID)
+    made = sessions.of_masked(F.col("doc_id"), F.lit("2024-01-01T00:00:00Z"), F.col("text"), F.col("masked"), F.col("mappings"), F.lit("raw_text"))
+    back = sessions.read(masked.select("doc_id", sessions.written(made).alias("json")))
+    spots = F.aggregate("session.mappings", F.lit(0).cast("long"), lambda n, m: n + F.size(m["occurrences"]))
+    return back.select(
+        "doc_id", F.col("session.anonymizedMarkdown").alias("masked"), "problem", F.size("session.mappings").cast("long").alias("n_mappings"), spots.alias("n_occurrences")
+    )
+
+
 # A package a source: an entry for each document, named by its length and with the digest of the text with single
 # blanks. Texts of equal length share a name, texts of other blanks do not match.
 _FILES_SQL = "(SELECT source || '/' || doc_id || '/' || strlen(text) || '.txt' AS file, strlen(text) || '.txt' AS name, strlen(text) AS size, sha256(text) AS digest FROM documents WHERE text IS NOT NULL)"
