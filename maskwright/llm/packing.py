@@ -38,8 +38,6 @@ from maskwright.scratch import materialize
 SLACK = 1e-3
 #: Value and bound of the program this close together count as converged.
 CLOSE = 2e-3
-#: Rounds times squared sizes that a finer run may take.
-WORK = 1_000_000
 MEMORY = 800_000
 #: A word of one token that only words with this character contain.
 SEPARATOR = "~"
@@ -278,20 +276,18 @@ def weigh(sizes: np.ndarray, need: np.ndarray, capacity: int, rate: float, step:
 
 
 def solve(sizes: np.ndarray, need: np.ndarray, capacity: int) -> Program:
-    """Finer and finer runs of `weigh`, until the best value is within CLOSE of the best bound.
+    """Finer and finer runs of `weigh`, until the best value is within CLOSE of the best bound, or of the fewest whole sequences.
 
-    A run that would take more than WORK is not begun; `Plan.converged` says whether value and bound have met.
+    Every histogram gets the same runs, however many lengths it has; `Plan.converged` says whether value and bound have met.
     """
     best = None
     bound = 0.0
     for rate, step in ((1.0, 1.0), (4.0, 1 / 10), (8.0, 1 / 80), (32.0, 1 / 320), (64.0, 1 / 640)):
-        if best is not None and len(sizes) ** 2 * 4 / step > WORK:
-            break
         one = weigh(sizes, need, capacity, rate, step)
         bound = max(bound, one.bound)
         if best is None or one.value < best.value:
             best = one
-        if best.value <= (1 + CLOSE) * bound:
+        if best.value <= max((1 + CLOSE) * bound, math.ceil(bound - 1e-6)):
             break
     return best._replace(bound=bound)
 

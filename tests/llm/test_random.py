@@ -371,6 +371,21 @@ def test_plan_of_a_known_histogram():
     assert made.sequences <= 618 and made.bound <= 616
 
 
+def test_programs_of_many_lengths_get_the_finer_runs_too(monkeypatch):
+    sizes = np.arange(650, 1010, 9)
+    need = np.random.default_rng(1).integers(1, 2000, len(sizes)).astype(float)
+    coarse = packing.weigh(sizes, need, 2048, 4.0, 1 / 10)
+    plain, runs = packing.weigh, []
+
+    def counted(sizes, need, capacity, rate, step):
+        runs.append(step)
+        return plain(sizes, need, capacity, min(rate, 8.0), max(step, 1 / 80))  # the finest two take a minute
+
+    monkeypatch.setattr(packing, "weigh", counted)
+    made = packing.solve(sizes, need, 2048)
+    assert len(runs) == 5 and made.value < coarse.value
+
+
 def test_mixing_rates_solve_their_least_squares(spark, empty):
     draw = random.Random(2)
     kinds = {"p": WORDS[:18], "q": WORDS[18:], "r": [w[::-1] for w in WORDS]}
