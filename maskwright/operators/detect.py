@@ -35,9 +35,21 @@ _MAPPINGS = pa.list_(
         [("id", _S), ("original_text", _S), ("placeholder", _S), ("category", _S), ("confidence", _D), ("source", _S), ("enabled", _B), ("variants", pa.list_(_S)), ("occurrences", _OCCURRENCES)]
     )
 )
+#: Bytes of rows that are Python objects at a time in one task, however large the batches are that it is sent.
+SLICE_BYTES = 1 << 20
 _RESULT = pa.struct([("text", _S), ("restored", _I), ("unknown", pa.list_(_S)), ("ambiguous", pa.list_(_S)), ("malformed", pa.list_(_S))])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE_BYTES at most, single rows of more apart."""
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    else:
+        yield batch
+
+
 def _with(docs: DataFrame, given: list[str], made: dict[str, tuple[str, pa.DataType]], start: Callable) -> DataFrame:
     """docs with the columns `made` that the function start() returns gives for the values of the columns `given`.
 
@@ -53,7 +65,7 @@ def _with(docs: DataFrame, given: list[str], made: dict[str, tuple[str, pa.DataT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             row = batch.column(0)
             out = [work(*values) for values in zip(*(pc.struct_field(row, i).to_pylist() for i in at))]
             columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(types), types)]

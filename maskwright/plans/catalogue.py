@@ -224,7 +224,7 @@ def restored_documents(spark, sf_dir):
     enabled mapping as its original is what restoring the masked text gives."""
     masked = ops.mask(_docs(spark, sf_dir))
     expected = mapping.render(F.coalesce("text", F.lit("")), F.col("mappings"), lambda m: m["original_text"])
-    back = ops.restored(masked.withColumn("expected", expected))
+    back = ops.restored(masked.select("doc_id", "masked", "mappings", expected.alias("expected")))
     return back.select("doc_id", (F.col("result.text") == F.col("expected")).alias("same"), F.size("result.unknown").cast("long").alias("n_unknown"))
 
 

@@ -86,7 +86,8 @@ _ROUND_SQL = _PUT_SQL + """, o AS (SELECT v.doc_id, list(struct_pack(a := v."sta
 @query(_ROUND_SQL + " SELECT doc_id, masked, back FROM b")
 def fused_round_trip(spark, sf_dir):
     """Texts masked in the fused pass, and what restoring the masked text gives: the text itself, whole."""
-    return ops.restored(ops.mask(_docs(spark, sf_dir), **_SAID)).select("doc_id", "masked", F.col("result.text").alias("back"))
+    masked = ops.mask(_docs(spark, sf_dir), **_SAID).select("doc_id", "masked", "mappings")
+    return ops.restored(masked).select("doc_id", "masked", F.col("result.text").alias("back"))
 
 
 @query(

@@ -157,7 +157,7 @@ def random_draws(spark, sf_dir):
 @query()
 def pseudonymized_documents(spark, sf_dir):
     """Masked documents with stand-ins in place of placeholders."""
-    masked = ops.mask(_docs(spark, sf_dir)).withColumn("convention", scalars.money_convention(F.col("text")))
+    masked = ops.mask(_docs(spark, sf_dir)).select("doc_id", "text", "mappings", scalars.money_convention(F.col("text")).alias("convention"))
     return pseudonyms.pseudonymized(masked, "doc_id", convention_col="convention").select("doc_id", "realistic", F.size("pseudonyms").alias("n_pseudonyms"))
 
 

@@ -78,3 +78,39 @@ def test_restores_tolerantly_and_reports():
     got = restore("[[NAME_001]] [name 1] [[EMAIL_1]] [[NAME_009]] NAME_1", table)
     assert got["text"] == "Clara Vance Clara Vance a@b.com [[NAME_009]] NAME_1"
     assert got["restored"] == 3 and got["unknown"] == ["[[NAME_009]]"]
+
+
+def test_batches_are_read_in_small_slices():
+    import pyarrow as pa
+
+    from maskwright.operators.detect import SLICE_BYTES, slices
+
+    texts = [("x" * n) for n in [2 * SLICE_BYTES, 0, 5, *[1000] * 9000, 3 * SLICE_BYTES, 7]]
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])], ["row"])
+    parts = list(slices(batch))
+    assert [r["row"]["text"] for p in parts for r in p.to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= SLICE_BYTES for p in parts) and len(parts) > 10
+    assert list(slices(batch.slice(0, 0)))[0].num_rows == 0
+
+
+def test_no_more_than_a_slice_of_rows_is_python_objects_at_a_time(spark):
+    from maskwright.operators.detect import _with
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('x', 2000) as text").coalesce(1)
+
+    def start():
+        seen = []
+
+        def work(text):
+            import sys
+
+            f = sys._getframe(1)
+            seen.append(len(f.f_locals["row"]) if "row" in f.f_locals else 0)
+            return (max(seen),)
+
+        return work
+
+    import pyarrow as pa
+
+    most = _with(docs, ["text"], {"rows": ("int", pa.int32())}, start).agg({"rows": "max"}).first()[0]
+    assert 0 < most < 1000
