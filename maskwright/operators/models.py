@@ -5,12 +5,14 @@ tokens: keys, chunk (start of the window), index, word, entity (B-PER, I-PER, O)
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.patterns import spaced
 from maskwright.functions.scalars import informative
 from maskwright.functions.spans import RUNG
+from maskwright.operators.detect import _with
 from maskwright.scratch import local_rows
 
 # Windows, the usual limit of confidence, and what each label means; a label without a category is dropped.
@@ -18,6 +20,7 @@ WINDOW, OVERLAP, LIMIT = 800, 150, 0.8
 LABELS = {"PER": "NAME", "ORG": "COMPANY", "LOC": "LOCATION", "GPE": "LOCATION", "MISC": None}
 JOINED = ("NAME", "ADDRESS")
 _BLANK = spaced(r"\s")
+_WINDOWS = pa.list_(pa.struct([("chunk", pa.int32()), ("text", pa.string())]))
 
 
 def windows_of(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, str]]:
@@ -39,8 +42,10 @@ def windows_of(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[tu
 
 def windows(docs: DataFrame, keys: list[str], text_col: str = "text", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """One row per window: keys, chunk, text."""
-    cut = F.udf(lambda t: windows_of(t or "", size, overlap), "array<struct<chunk:int,text:string>>", useArrow=True)
-    return docs.select(*keys, F.explode(cut(F.col(text_col))).alias("w")).select(*keys, "w.*")
+    cut = lambda text: (windows_of(text or "", size, overlap),)
+    made = {"__windows": ("array<struct<chunk:int,text:string>>", _WINDOWS)}
+    found = _with(docs.select(*keys, F.col(text_col).alias("__text")), ["__text"], made, lambda: cut)
+    return found.select(*keys, F.explode("__windows").alias("w")).select(*keys, "w.*")
 
 
 def placed(words: list[tuple[int, str]], text: str) -> list[tuple[int, int] | None]:
