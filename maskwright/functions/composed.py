@@ -51,11 +51,15 @@ def marks() -> str:
     return _class(_tables()[2])
 
 
-def _class(chars) -> str:
+def _class(chars, negated: bool = False) -> str:
+    """The class of the characters, or of all others. What lies below the first of them is settled by one comparison:
+    a class of some hundred ranges is searched range by range, for every letter of a text.
+    """
     codes = set(map(ord, chars))
     starts = sorted(c for c in codes if c - 1 not in codes)
     ends = sorted(c for c in codes if c + 1 not in codes)
-    return "[" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in zip(starts, ends)) + "]"
+    ranges = "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in zip(starts, ends))
+    return f"[\\u0000-\\u{starts[0] - 1:04X}[^{ranges}]]" if negated else f"[\\u{starts[0]:04X}-\\uFFFF&&[{ranges}]]"
 
 
 def _table(values: dict) -> Column:
@@ -66,12 +70,10 @@ def _table(values: dict) -> Column:
 def composed(text: Column) -> Column:
     """text with letters and their marks in one character where there is one, marks in canonical order."""
     composes, decomposes, classes, alone, becomes = _tables()
-    given = text
-    text = F.when(text.rlike(_class(alone)), F.translate(text, alone, becomes)).otherwise(text)
     mark = marks()
     pairs, parts, ranks = _table(composes), _table(decomposes), _table(classes)
     letters = "(?s)(?<=.)(?=.)"
-    rest = f"[^{mark[1:]}"
+    rest = _class(classes, negated=True)
 
     def sequence(run: Column) -> Column:
         """A letter and marks: decomposed, ordered, then each mark taken in unless one of its class stands between."""
@@ -88,9 +90,18 @@ def composed(text: Column) -> Column:
 
         return F.aggregate(ordered, start, step, lambda done: F.concat(done["letter"], done["left"]))
 
-    # a letter with marks, or a run of characters without: each is kept or looked up
-    runs = F.regexp_extract_all(text, F.lit(f"(?s){rest}{mark}+|(?:{rest}(?!{mark}))++|{mark}+"), F.lit(0))
     marked = lambda r: r.rlike(f"(?s)^{rest}{mark}")
-    joined = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^{mark}"), F.substring(sequence(F.concat(F.lit("."), r)), 2, _ALL)).when(~marked(r), r).otherwise(F.coalesce(F.element_at(pairs, r), sequence(r)))), "")
-    # most texts hold no character that could change: one search of one range settles that
-    return F.when(given.rlike("[\u0300-\uFAD9]"), F.when(text.rlike(mark), joined).otherwise(text)).otherwise(given)
+    put = lambda r: F.when(r.rlike(f"^{mark}"), F.substring(sequence(F.concat(F.lit("."), r)), 2, _ALL)).when(~marked(r), r).otherwise(F.coalesce(F.element_at(pairs, r), sequence(r)))
+
+    def joined(text: Column) -> Column:
+        """A letter with marks, or a run of characters without: each is kept or looked up."""
+        runs = F.regexp_extract_all(text, F.lit(f"(?s){rest}{mark}+|(?:{rest}(?!{mark}))++|{mark}+"), F.lit(0))
+        return F.when(text.rlike(mark), F.array_join(F.transform(runs, put), "")).otherwise(text)
+
+    def whole(given: Column) -> Column:
+        """Most texts hold no character that could change: one search of one range settles that."""
+        alike = F.when(given.rlike(_class(alone)), F.translate(given, alone, becomes)).otherwise(given)
+        return F.when(given.rlike("[\u0300-\uFAD9]"), F.transform(F.array(alike), joined)[0]).otherwise(given)
+
+    # variables of functions, or every use of the text would work out again how it is made
+    return F.transform(F.array(text), whole)[0]

@@ -271,9 +271,10 @@ _ACCENTED = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in range(0xC0, 0
 
 
 def _decomposed(text):
-    for letter, apart in _ACCENTED.items():
-        text = F.replace(text, F.lit(letter), F.lit(apart))
-    return text
+    """text with its accented letters taken apart: a pass for each letter that it holds."""
+    apart = F.create_map(*[F.lit(x) for pair in _ACCENTED.items() for x in pair])
+    held = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{''.join(_ACCENTED)}]"), F.lit(0)))
+    return F.aggregate(held, text, lambda done, letter: F.replace(done, letter, F.element_at(apart, letter)))
 
 
 @query(

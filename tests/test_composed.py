@@ -31,3 +31,13 @@ def test_decomposed_texts_have_the_evidence_of_composed_ones(spark):
         sides = [sorted((r["lang"], r["score"], r["n_matches"]) for r in got if r["i"] == i) for i in (0, 1)]
         assert sides[0] and sides[0] == sides[1]
     assert {(tuple(r["languages"]), r["status"]) for r in language.detected(rows, ["i"]).collect()} == {(("pt",), "detected")}
+
+
+def test_the_text_is_made_once_whatever_looks_at_it(spark):
+    from pyspark.sql import functions as F
+
+    from maskwright.functions.composed import composed
+
+    made = spark.createDataFrame([("é",)], "text string").select(composed(F.replace("text", F.lit("e"), F.lit("o"))).alias("c"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("replace(text") == 1
+    assert made.first()[0] == "ó"
