@@ -24,6 +24,8 @@ WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{2,}(?:-\p{Lu}\p{Ll}+)?(?![\p{L}\p{N}])"
 RUN = r"[\p{L}\p{M}\p{N}_]+"
 #: A gazetteer of at most this many bytes travels to every task; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Characters of a text that are searched at a time, and what is looked at before and after a place.
+PART, BEHIND, AFTER = 1024, 32, 64
 
 
 def word_index(docs: DataFrame, keys: list[str], pattern: str = WORD, text_col: str = "text") -> DataFrame:
@@ -51,6 +53,17 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
+def _parts(docs: DataFrame, keys: list[str], text_col: str, behind: int, ahead: int) -> DataFrame:
+    """keys, own, from, part: PART characters of a text from `own` on, with those behind and ahead of them; `part` begins
+    at `from`. Characters are counted from the beginning of a string, so words of a long text are cut out of its parts.
+    """
+    text = F.col(text_col)
+    last = F.floor((F.length(text) - 1) / PART).cast("int")
+    own = docs.select(*keys, text.alias("__text"), F.explode(F.when(F.length(text) > 0, F.sequence(F.lit(0), last))).alias("nth")).select(*keys, "__text", (F.col("nth") * PART).alias("own"))
+    begun = own.withColumn("from", F.greatest(F.lit(0), F.col("own") - behind))
+    return begun.select(*keys, "own", "from", F.substring("__text", F.col("from") + 1, F.col("own") - F.col("from") + PART + ahead).alias("part"))
+
+
 def gazetteer_spans(docs: DataFrame, places: DataFrame, keys: list[str], ambiguous: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """Places of a gazetteer (column place) in the texts: keys, start, end, text.
 
@@ -60,16 +73,18 @@ def gazetteer_spans(docs: DataFrame, places: DataFrame, keys: list[str], ambiguo
     listed = places.select(F.lower("place").alias("place")).where(F.col("place").rlike(rf"^{RUN}(?s:.*{RUN})?\z")).distinct()
     table = listed.select("place", F.regexp_extract("place", RUN, 0).alias("head"), F.length("place").alias("size"))
     longest = table.agg(F.max("size")).first()[0] or 0
-    text = F.col(text_col)
-    words = docs.select(*keys, F.explode(scan(text, RUN)).alias("w"), text.alias("__text")).select(
-        *keys, F.lower("w.text").alias("head"), F.col("w.start").alias("start"), F.substring("__text", F.col("w.start") + 1, F.lit(longest + 1)).alias("__ahead"),
-        before(F.col("__text"), F.col("w"), 32).alias("__behind"), F.substring("__text", F.col("w.start") + 1, F.lit(longest + 65)).alias("__beyond"),
+    parts = _parts(docs, keys, text_col, BEHIND, longest + AFTER + 1)
+    words = parts.select(*keys, "from", "own", "part", F.explode(scan(F.col("part"), RUN)).alias("w")).where((F.col("from") + F.col("w.start")).between(F.col("own"), F.col("own") + PART - 1))
+    text = F.col("part")
+    words = words.select(
+        *keys, F.lower("w.text").alias("head"), (F.col("from") + F.col("w.start")).alias("start"), F.substring(text, F.col("w.start") + 1, F.lit(longest + 1)).alias("__ahead"),
+        before(text, F.col("w"), BEHIND).alias("__behind"), F.substring(text, F.col("w.start") + 1, F.lit(longest + AFTER + 1)).alias("__beyond"),
     )
     met = words.join(_small(table), "head").where(F.lower(F.substring("__ahead", 1, F.col("size"))) == F.col("place"))
     whole = met.where(~F.substring("__ahead", F.col("size") + 1, 1).rlike(RUN))
     found = whole.select(
         *keys, "start", (F.col("start") + F.col("size")).alias("end"), F.substring("__ahead", 1, F.col("size")).alias("text"), "place",
-        "__behind", F.substring("__beyond", F.col("size") + 1, 64).alias("__after"), F.col("start").cast("double").alias("rung"), F.lit(0).alias("seq"),
+        "__behind", F.substring("__beyond", F.col("size") + 1, AFTER).alias("__after"), F.col("start").cast("double").alias("rung"), F.lit(0).alias("seq"),
     )
     # the leftmost, of those the longest, is the ladder's order with the start as the rung
     won = intervals.arbitrated(found, keys)

@@ -85,3 +85,18 @@ def test_no_documents_or_no_places(spark):
     none = spark.createDataFrame([], "place string")
     assert mentions.gazetteer_spans(docs, none, ["doc_id"]).count() == 0
     assert mentions.gazetteer_spans(docs.limit(0), none.union(docs.select(F.lit("Madrid"))), ["doc_id"]).count() == 0
+
+
+def test_places_of_a_long_text_are_cut_out_of_its_parts(spark):
+    from maskwright.operators import mentions
+
+    at = [0, 1015, 1018, 1024, 2040, 2047, 3071, 4096, 5000]
+    texts = ["ñ" * (k - 1) + (" " if k else "") + "Vila Nova, " + "\U0001f600 " * 700 for k in at] + ["xVila Nova" * 300, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    places = spark.createDataFrame([("vila nova",), ("nova",)], "place string")
+    got = sorted(tuple(r) for r in mentions.gazetteer_spans(docs, places, ["doc_id"]).collect())
+    assert [g for g in got if g[0] < len(at)] == [(i, k, k + 9, "Vila Nova") for i, k in enumerate(at)]
+    # words that begin before a part are none of its own: "nova" stands at the end of "xvila nova" only
+    assert all(texts[i][a - 1] == " " and b - a == 4 for i, a, b, _ in got if i == len(at)) and {i for i, *_ in got} <= set(range(len(at) + 1))
+    sizes = mentions._parts(docs, ["doc_id"], "text", 32, 100).selectExpr("max(length(part)) as n", "count(*) as c").first()
+    assert sizes["n"] <= 1024 + 132
