@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.composed import composed
-from maskwright.scratch import local_rows, materialize
+from maskwright.scratch import local_rows
 from maskwright.sources import tables
 
 # Frequent words of each language; the order settles ties.
@@ -57,6 +59,8 @@ HINTS = {
     "es": "ñ|(?:ción|ciones)$", "gl": "ñ|cións?$", "pt": "(?:ção|ções)$|ã|õ", "ca": "l·l|ny|ç|[àèò]", "eu": "tx|tz", "fr": "ç|œ", "it": "[èìòù]",
     "de": "[ßäöü]",
 }
+#: What words of ASCII letters alone need for a hint; all other hints have a letter beyond ASCII.
+PLAIN_HINTS = ("ny", "tx", "tz", "ciones")
 PARAGRAPH = r"\r?\n[^\S\r\n]*\r?\n(?:[^\S\r\n]*\r?\n)*"
 
 
@@ -66,21 +70,55 @@ def paragraphs(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
     return parts.filter(F.trim("text") != "")
 
 
+#: All weights and hints are whole multiples of a point over this, so sums of points are exact.
+_UNIT = math.lcm(*range(1, len(WORDS) + 1))
+#: In the place of a language: the number of words.
+_ALL_WORDS = -1
+
+
+def hinting(word: Column) -> Column:
+    """Whether a word has a hint; words of ASCII letters without PLAIN_HINTS, which are most, meet no pattern."""
+    may = F.octet_length(word) > F.length(word)
+    for plain in PLAIN_HINTS:
+        may = may | word.contains(plain)
+    return (F.length(word) > 1) & may & word.rlike("|".join(HINTS.values()))
+
+
+def points(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, lang (its place in WORDS), points (in _UNIT), n_matches: known words and hints of each language with any.
+
+    A row of _ALL_WORDS has the number of words as its points. Words are cut out of a text once and most of them go
+    before anything is shuffled; those that stay are summed by text where they are found.
+    """
+    turn = {lang: i for i, lang in enumerate(WORDS)}
+    table = local_rows(parts.sparkSession, [(w, turn[lang], round(x * _UNIT)) for lang, w, x in weights()], "word string, lang int, points long")
+    hit = lambda lang, points, n: F.struct(F.lit(lang).cast("int").alias("lang"), points.cast("long").alias("points"), F.lit(n).cast("long").alias("n_matches"))
+    known = table.groupBy("word").agg(F.collect_list(hit(F.col("lang"), F.col("points"), 1)).alias("known"))
+    # no word is empty: the empty one behind the last carries their number
+    counted = F.transform(F.array(_words(F.col(text_col))), lambda w: F.struct(F.size(w).alias("n_words"), F.concat(w, F.array(F.lit(""))).alias("words")))
+    words = parts.select(*keys, F.inline(counted)).select(*keys, "n_words", F.explode("words").alias("word"))
+    word = F.col("word")
+    cued = hinting(word)
+    cues = F.array_compact(F.array(*[F.when(word.rlike(p), hit(turn[lang], F.lit(2 * _UNIT), 0)) for lang, p in HINTS.items()]))
+    none = F.array().cast("array<struct<lang:int,points:bigint,n_matches:bigint>>")
+    found = F.when(word == "", F.array(hit(_ALL_WORDS, F.col("n_words"), 0))).otherwise(F.concat(F.coalesce("known", none), F.when(cued, cues).otherwise(none)))
+    telling = words.join(F.broadcast(known), "word", "left").filter((word == "") | F.col("known").isNotNull() | cued)
+    hits = telling.select(*keys, F.inline(found))
+    return hits.groupBy(*keys, "lang").agg(F.sum("points").alias("points"), F.sum("n_matches").alias("n_matches"))
+
+
 def evidence(parts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang, score, n_matches: known words and hints of each language with any."""
-    words = _words(F.col(text_col))
-    listed = parts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("times"))
-    table = local_rows(parts.sparkSession, weights(), "lang string, word string, weight double")
-    known = listed.join(F.broadcast(table), "word").select(*keys, "lang", (F.col("weight") * F.col("times")).alias("weight"), F.col("times").alias("n"))
-    long = listed.filter((F.length("word") > 1) & F.col("word").rlike("|".join(HINTS.values())))
-    cues = F.array_compact(F.array(*[F.when(F.col("word").rlike(p), F.lit(lang)) for lang, p in HINTS.items()]))
-    hinted = long.select(*keys, F.explode(cues).alias("lang"), (F.col("times") * 2.0).alias("weight"), F.lit(0).cast("long").alias("n"))
-    both = known.unionByName(hinted)
-    return both.groupBy(*keys, "lang").agg(F.round(F.sum("weight"), 6).alias("score"), F.sum("n").alias("n_matches"))
+    found = points(parts, keys, text_col).filter(F.col("lang") != _ALL_WORDS)
+    lang = F.get(F.array(*[F.lit(name) for name in WORDS]), F.col("lang"))
+    return found.select(*keys, lang.alias("lang"), F.round(F.col("points") / _UNIT, 6).alias("score"), "n_matches")
 
 
-def _length(text_col: str):
-    return F.size(_words(F.coalesce(text_col, F.lit("")))).alias("n_words")
+def _winner(ranked: Column, n_words: Column) -> Column:
+    """The first of (-points, lang, n_matches) if it has enough and leads, else null."""
+    first, second = F.get(ranked, F.lit(0)), F.coalesce(-F.get(ranked, F.lit(1))["less"], F.lit(0))
+    enough = (n_words >= LEAST_WORDS) & (first["n_matches"] >= LEAST_MATCHES) & (-first["less"] >= int(LEAST_SCORE * _UNIT))
+    return F.when(enough & (-first["less"] * 100 > second * int(LEAD * 100)), first["lang"])
 
 
 def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -88,24 +126,26 @@ def detected(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
 
     A winner has LEAST_WORDS words, LEAST_MATCHES matches, LEAST_SCORE points and LEAD over the second. status is detected, mixed or undetermined; documents without any evidence are undetermined.
     """
-    cut = paragraphs(docs, keys, text_col)
     by = [*keys, "nth"]
-    parts = materialize(evidence(cut, by).join(cut.select(*by, _length("text")), by), "evidence")  # read for texts and paragraphs
-    totals = parts.groupBy(*keys, "lang").agg(F.sum("score").alias("score"), F.sum("n_matches").alias("n_matches"))
-    whole = totals.join(docs.select(*keys, _length(text_col)), keys)
-    order = local_rows(docs.sparkSession, [(k, i) for i, k in enumerate(WORDS)], "lang string, turn int")
-
-    def winners(rows: DataFrame, by: list[str]) -> DataFrame:
-        ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "turn", "lang", "score", "n_matches", "n_words"))).alias("r")
-        best = rows.join(F.broadcast(order), "lang").groupBy(*by).agg(ranked)
-        first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
-        enough = (first["n_words"] >= LEAST_WORDS) & (first["n_matches"] >= LEAST_MATCHES) & (first["score"] >= LEAST_SCORE)
-        return best.filter(enough & (first["score"] > LEAD * second)).select(*keys, F.col("r")[0]["lang"].alias("lang"))
-
-    won = winners(whole, keys).unionByName(winners(parts, [*keys, "nth"])).distinct()
-    placed = won.join(whole, [*keys, "lang"]).join(F.broadcast(order), "lang")
-    listed = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "turn", "lang"))).alias("l"))
-    out = docs.select(*keys).join(listed, keys, "left").withColumn("languages", F.coalesce(F.transform("l", lambda x: x["lang"]), F.array().cast("array<string>")))
+    spoken = F.col("lang") != _ALL_WORDS
+    n_words = F.sum(F.when(~spoken, F.col("points"))).alias("n_words")
+
+    def ranked(*more: str) -> Column:
+        """The languages with any evidence, best first; ties in the order of WORDS."""
+        return F.array_sort(F.collect_list(F.when(spoken, F.struct((-F.col("points")).alias("less"), "lang", "n_matches", *more)))).alias("ranked")
+
+    parts = points(paragraphs(docs, keys, text_col), by).groupBy(*by).agg(ranked(), n_words)
+    # a row for each language of a paragraph, and one for its words
+    each = F.concat(F.col("ranked"), F.array(F.struct((-F.col("n_words")).alias("less"), F.lit(_ALL_WORDS).alias("lang"), F.lit(0).cast("long").alias("n_matches"))))
+    rows = parts.select(*keys, _winner(F.col("ranked"), F.col("n_words")).alias("best"), F.explode(each).alias("e"))
+    totals = rows.groupBy(*keys, F.col("e.lang").alias("lang")).agg(
+        (-F.sum("e.less")).alias("points"), F.sum("e.n_matches").alias("n_matches"), F.max(F.coalesce(F.col("best") == F.col("e.lang"), F.lit(False))).alias("won")
+    )
+    whole = totals.groupBy(*keys).agg(ranked("won"), n_words).withColumn("best", _winner(F.col("ranked"), F.col("n_words")))
+    names = F.array(*[F.lit(lang) for lang in WORDS])
+    won = F.filter("ranked", lambda r: r["won"] | F.coalesce(r["lang"] == F.col("best"), F.lit(False)))
+    listed = whole.select(*keys, F.transform(won, lambda r: F.get(names, r["lang"])).alias("l"))
+    out = docs.select(*keys).join(listed, keys, "left").withColumn("languages", F.coalesce("l", F.array().cast("array<string>")))
     status = F.when(F.size("languages") > 1, "mixed").when(F.size("languages") == 1, "detected").otherwise("undetermined")
     return out.select(*keys, "languages", status.alias("status"))
 
