@@ -33,8 +33,9 @@ DELIMITER = r"^ {0,3}(?=.*\|)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*+:?-++:?[ \t]*+)*+\
 ITEM = r"^([ \t]*)([-*+]|\d{1,9}[.)])(?:[ \t]+|\z)"
 TOKEN = r"\[{1,2}[^\]\[\r\n]{1,200}\]{1,2}"
 LINK = rf"!?\[(?:[^\]\[\n]++|{TOKEN}){{0,200}}+\]\([^()\s]*(?:[ \t]+\"[^\"\n]*\")?\)"
-#: Words with single blanks and underscores between them; repetitions are possessive, as Java would use its stack for others.
-RUN = r"[\p{L}\p{N},.;:]++(?:(?: |(?<=[\p{L}\p{N}])_+(?=[\p{L}\p{N}]))[\p{L}\p{N},.;:]++)*+"
+#: Characters that begin no other piece, with the blanks, newlines, exclamation marks and underscores between them that
+#: begin none either; repetitions are possessive, as Java would use its stack for others.
+RUN = r"(?:[^\s`!\[<*~_\\]++|\s(?=\S)|!(?!\[)|(?<=[\p{L}\p{N}])_+(?=[\p{L}\p{N}]))++"
 #: Pieces of a leaf; the last alternative takes any character, so nothing is lost.
 PIECE = rf"(?s)(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)|{LINK}|{TOKEN}|<[A-Za-z/!?][^<>\n]*>|\*+|~~|(?<![\p{{L}}\p{{N}}_])_+|_+(?![\p{{L}}\p{{N}}_])|\\[!-/:-@\[-`{{-~]|(?: {{2,}}|\\)\n|{RUN}|."
 #: What a leaf without further markup is made of.

@@ -91,3 +91,14 @@ def test_exported_forms_stand_alone(spark):
     page = got[1, "html"]["content"]
     assert "<h1><mark>[[NAME_1]]</mark></h1>" in page and "http" not in page and "<script" not in page
     assert got[1, "md"]["content"] == "# [[NAME_1]]\n\nx &#60;script&#62;a&#60;&#47;script&#62;"
+
+
+def test_what_opens_no_markup_is_one_piece(spark):
+    """Punctuation is not cut from the words beside it, and the pieces are still all of the text."""
+    texts = {'Say "hi" (to) a/b@c.d! - x = 1 > 0\nit\'s 5% & #7; {e} ]': 1, "a_b and *c* d": 5, "see [[NAME_1]], then": 3, "wow![x](u) !y": 3, "tail  \nend \\! a": 5}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    framed = markdown._framed(markdown.blocks(docs, ["id"]), ["id"])
+    rows = markdown.pieces(markdown.leaves(framed, ["id"]), ["id"]).collect()
+    assert [sum(r["id"] == i for r in rows) for i in range(len(texts))] == list(texts.values())
+    got = _views(spark, list(texts))
+    assert [r["plain"] for r in got] == [*list(texts)[:1], "a_b and c d", "see <Ana|*B*>, then", "wowx !y", "tail\nend ! a"]
