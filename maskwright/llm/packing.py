@@ -32,18 +32,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.llm.plain_words import PlainWords
 from maskwright.scratch import materialize
 
 #: A round adds the configurations that are worth this much less than the dearest at most.
 SLACK = 1e-3
 #: Value and bound of the program this close together count as converged.
 CLOSE = 2e-3
+#: So many words are kept; a group of texts that begins below may go beyond.
 MEMORY = 800_000
+#: New words are encoded so many at a time.
+CHUNK = 20_000
 #: A word of one token that only words with this character contain.
 SEPARATOR = "~"
 END = 0
 
 
+class Numbers(dict):
+    """Numbers words as they are looked up, from 0."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def taken(self) -> list[bytes]:
+        """The words numbered since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
 class WordIds:
     """Token ids of whole texts, from a bounded memory of the ids of white-space separated words.
 
@@ -57,76 +78,85 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         sep = self._encode([SEPARATOR])[0]
         self.separator = sep[0] if len(sep) == 1 else None
+        self.plain = PlainWords(self.tokenizer, path)
         self._clear()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets where there is a choice
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words in a new order, the number of ids of each, and all ids in that order.
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the words, the number of ids of each in that order, and all ids in that order.
 
-        Many words are encoded in one text, with a word between them whose id no other word contains.
+        Plain words are merged here, the others by the library, many in one text, with a word between them whose id
+        no other word contains.
         """
+        order, lengths, flat = [], [], []
+        rest = np.arange(len(words))
+        if self.plain.usable:
+            plain, size, ids = self.plain.encode(words)
+            order.append(plain)
+            lengths.append(size)
+            flat.append(ids)
+            rest = np.delete(rest, plain)
         mark = SEPARATOR.encode()
-        apart = [w for w in words if mark in w or b"<|" in w] if self.separator is not None else words
-        joint = [w for w in words if not (mark in w or b"<|" in w)] if self.separator is not None else []
+        alone = np.array([self.separator is None or mark in words[k] or b"<|" in words[k] for k in rest], bool)
+        joint, apart = rest[~alone], rest[alone]
+        order += [joint, apart]
         between = b" " + mark + b" "
-        texts = [between.join(joint[a : a + 400]).decode("utf-8") for a in range(0, len(joint), 400)]
-        lengths, flat = [], []
+        texts = [between.join([words[k] for k in joint[a : a + 400]]).decode("utf-8") for a in range(0, len(joint), 400)]
         for ids in self._encode(texts):
             ids = np.array(ids, np.uint32)
             cuts = np.r_[-1, np.flatnonzero(ids == self.separator), len(ids)]
             lengths.append(np.diff(cuts) - 1)
             flat.append(ids[ids != self.separator])
-        for ids in self._encode([w.decode("utf-8") for w in apart]):
+        for ids in self._encode([words[k].decode("utf-8") for k in apart]):
             lengths.append(np.array([len(ids)]))
             flat.append(np.array(ids, np.uint32))
-        return joint + apart, np.concatenate(lengths), np.concatenate(flat)
+        return np.concatenate(order), np.concatenate(lengths), np.concatenate(flat)
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Numbers()
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        words, lengths, flat = self._encode_words(words)
-        first, total = len(self.place), len(flat)
+    def _learn(self, words: list[bytes], first: int) -> None:
+        """Keep the ids of words that are numbered from `first`."""
+        order, lengths, flat = self._encode_words(words)
+        total = len(flat)
         while first + len(words) > len(self.start):
             self.start, self.length = np.r_[self.start, self.start * 0], np.r_[self.length, self.length * 0]
         while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, self.flat * 0]
-        here = slice(first, first + len(words))
+        here = first + order
         self.length[here] = lengths
         self.start[here] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + total] = flat
-        self.place.update(zip(words, range(first, first + len(words))))
         self.used += total
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         at = 0
         while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= 1 << 20):
-                group.append(texts[at].encode("utf-8").split())
+            words, bounds, size = [], [0], 0
+            while at < len(texts) and (len(bounds) == 1 or size + len(texts[at]) <= 1 << 20):
+                words += texts[at].encode("utf-8").split()
+                bounds.append(len(words))
                 size += len(texts[at])
                 at += 1
-            words = [w for g in group for w in g]
-            new = set(words).difference(self.place)
-            if len(self.place) + len(new) > MEMORY:
+            if len(self.place) > MEMORY:
                 self._clear()
-                new = set(words)
-            if new:
-                self._learn(list(new))
             which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            new = self.place.taken()
+            for a in range(0, len(new), CHUNK):
+                self._learn(new[a : a + CHUNK], len(self.place) - len(new) + a)
             length = self.length[which]
             ends = np.cumsum(length)
             shift = np.repeat(self.start[which] - (ends - length), length)
             flat = self.flat[shift + np.arange(len(shift))]
-            bounds = np.r_[0, ends][np.cumsum([0] + [len(g) for g in group])]
+            bounds = np.r_[0, ends][bounds]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 yield flat[a:b]
 

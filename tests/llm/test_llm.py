@@ -237,3 +237,45 @@ def test_word_ids_equal_the_library():
     texts = ["".join(draw.choice(signs, draw.integers(0, 30))) for _ in range(1000)]
     for known, ids in zip(texts, packing.WordIds(path).ids(texts)):
         assert ids.tolist() == library.encode(known, add_special_tokens=False).ids, known
+
+
+def test_plain_words_are_merged_without_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    draw = np.random.default_rng(12)
+    signs = [chr(c) for c in range(0x21, 0x250) if chr(c) not in "'|" and not chr(c).isspace() and chr(c) not in "İȺȾ"]
+    words = ["".join(draw.choice(signs, draw.integers(1, 12))) for _ in range(1500)]
+    words += ["".join(draw.choice(list("abAB"), draw.integers(1, 60))) for _ in range(500)]
+    words += [c * n for c in "ao=-$7é" for n in range(1, 33)] + ["tokenizers", "Größenwahn,", "1234.5678", "don", "t***"]
+    texts = [" ".join(words[a : a + 50]) for a in range(0, len(words), 50)]
+    known = packing.WordIds(path)
+    encode, given = known._encode, []
+    monkeypatch.setattr(known, "_encode", lambda texts: given.extend(texts) or encode(texts))
+    for text, ids in zip(texts, known.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert not given
+    others = ["don't", "<|endoftext|>", "a" * 65, "日本", "e\u0301", "İ", "Ⱥ", "~'s"]  # these the library must see
+    for text, ids in zip(others, known.ids(others)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert {w for t in given for w in t.split(" ")} >= set(others)
+
+
+def test_every_pair_of_the_plain_words_has_its_rank():
+    import json
+
+    from maskwright.llm.plain_words import PlainWords
+
+    path = P.path("word_bpe_49k.json")
+    plain = packing.WordIds(path).plain
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+    keys = np.array([vocab[a] * plain.width + vocab[b] for a, b in pairs])
+    assert (plain._ranks(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(np.random.default_rng(4).integers(0, plain.width**2, 200_000), keys)
+    assert (plain._ranks(others) == plain.none).all()
+    # what is not known to merge or cut this way has no plain words
+    assert not PlainWords(None, P.path("byte_bpe_50k.json")).usable
