@@ -11,7 +11,6 @@ from maskwright.functions import detectors as D
 from maskwright.functions.composed import composed
 from maskwright.functions.lexicon import AMBIGUOUS_PLACES, PLACES
 from maskwright.functions.names import _skipped
-from maskwright.functions.spans import scan, substitute
 from maskwright.operators import export, intervals, language, markdown, mentions, sanitise, shared_names, snapshots
 from maskwright.plans.catalogue import _TWO_SQL, _docs, _spans_sql
 from maskwright.plans.registry import query
@@ -239,13 +238,17 @@ def structured_restore(spark, sf_dir):
     code and the text of a link, not in its destination; a token of no mapping stays."""
     t = F.coalesce("text", F.lit(""))
     scope = F.upper(F.md5(F.col("doc_id").cast("string")))
-    found = _docs(spark, sf_dir).select("doc_id", t.alias("text"), scan(t, _LONG).alias("spans")).withColumn("names", F.array_distinct(F.transform("spans", lambda s: s["text"])))
-    token = lambda n: F.concat(F.lit("[[V1_"), scope, F.lit("_NAME_"), n.cast("string"), F.lit("]]"))
-    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), token(F.array_position("names", s["text"])).alias("put")))
+    words = F.regexp_extract_all("text", F.lit(_LONG), F.lit(0))
+    docs = _docs(spark, sf_dir).select("doc_id", t.alias("text"), scope.alias("scope"))
+    found = docs.select("doc_id", "text", "scope", words.alias("words")).withColumn("names", F.array_distinct("words"))
+    token = lambda n: F.concat(F.lit("[[V1_"), F.col("scope"), F.lit("_NAME_"), n.cast("string"), F.lit("]]"))
+    # what stands before each word, and the word's token; behind the last gap there is none
+    between = F.arrays_zip(F.split("text", _LONG, -1).alias("gap"), F.col("words").alias("word"))
+    masked = F.array_join(F.transform(between, lambda x: F.concat(x["gap"], F.when(x["word"].isNull(), "").otherwise(token(F.array_position("names", x["word"]))))), "")
     first = F.when(F.size("names") > 0, token(F.lit(1))).otherwise("none")
     closing = F.concat(F.lit("["), first, F.lit("](http://host/"), first, F.lit(") "), token(F.lit(0)))
-    replies = found.select("doc_id", _reply(substitute(F.col("text"), placed), closing).alias("text"))
-    mapping = found.select("doc_id", F.posexplode("names").alias("n", "original")).select("doc_id", token(F.col("n") + 1).alias("token"), "original")
+    replies = found.select("doc_id", _reply(masked, closing).alias("text"))
+    mapping = found.select("doc_id", "scope", F.posexplode("names").alias("n", "original")).select("doc_id", token(F.col("n") + 1).alias("token"), "original")
     views = markdown.structured(replies, mapping, ["doc_id"])
     return views.select("doc_id", *[F.md5(c).alias(f"{c}_md5") for c in ("html", "markdown", "plain")], "n_restored", "n_unknown", "inert")
 
