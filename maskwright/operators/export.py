@@ -77,10 +77,10 @@ def exported(docs: DataFrame, keys: list[str], side: str = "sanitized", marked:
     """
     stem = f"document-{side}"
     none = docs.select(*keys, F.lit("").alias("token"), F.lit("").alias("original")).where("false")
-    views = markdown.structured(docs, none, keys, text_col).select(*keys, F.col("html").alias("__html"), F.col("markdown").alias("__markdown"))
+    texts = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    whole = markdown.structured(texts, none, keys, "__text", kept=("__text",)).select(*keys, "__text", F.col("html").alias("__html"), F.col("markdown").alias("__markdown"))
     body = F.regexp_replace("__html", PLACEHOLDER, "<mark>$1</mark>") if marked else F.col("__html")
     head = f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{stem}</title><style>pre{{white-space:pre-wrap}}</style></head>\n<body>\n'
-    whole = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(views, keys)
     forms = {"txt": ("text/plain", F.col("__text")), "md": ("text/markdown", F.col("__markdown")), "html": ("text/html", F.concat(F.lit(head), body, F.lit("\n</body></html>\n")))}
     rows = [F.struct(F.lit(k).alias("kind"), F.lit(f"{stem}.{k}").alias("file_name"), F.lit(f"{m};charset=utf-8").alias("mime"), c.alias("content")) for k, (m, c) in forms.items()]
     return whole.select(*keys, F.explode(F.array(*rows)).alias("f")).select(*keys, "f.*")

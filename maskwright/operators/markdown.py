@@ -408,8 +408,8 @@ def _shown(x: Column, token_key, linked: bool) -> Column:
     return _let(shown, lambda s: _let(cut(s), lambda parts: F.transform(F.transform(parts, lambda c, sub: part(parts, c, sub)), written)))
 
 
-def structured(docs: DataFrame, mappings: DataFrame, keys: list[str], text_col: str = "text", token_key=lambda token: token, linked: bool = False) -> DataFrame:
-    """keys, html, markdown, plain, n_restored, n_unknown, inert: texts written anew with originals inside leaves.
+def structured(docs: DataFrame, mappings: DataFrame, keys: list[str], text_col: str = "text", token_key=lambda token: token, linked: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """keys, kept columns of docs, html, markdown, plain, n_restored, n_unknown, inert: texts written anew with originals inside leaves.
 
     mappings: keys, token, original. token_key gives what spellings of a token have in common (its brackets included).
     linked keeps destinations in the page (`<a href>`) and the plain text (`text (destination)`) and raw HTML in the
@@ -464,7 +464,7 @@ def structured(docs: DataFrame, mappings: DataFrame, keys: list[str], text_col:
         cells = F.transform(x["cells"], lambda row: F.transform(row, lambda text: leaf_view(x["kind"], text)))
         return _let(cells, lambda views: _let(F.when(x["kind"] == "table", table(views)).otherwise(views[0][0]), framed))
 
-    met = docs.select(*keys, F.col(text_col).alias("__text")).join(_known(mappings, keys, token_key), keys, "left")
-    found = leaves(_framed(blocks(met, keys, "__text"), keys), keys)
+    met = docs.select(*keys, *kept, F.col(text_col).alias("__source")).join(_known(mappings, keys, token_key), keys, "left")
+    found = leaves(_framed(blocks(met, keys, "__source"), keys), keys)
     whole = lambda rows: _struct(**{k: joined(rows, k) for k in ("html", "markdown", "plain")}, **{k: total(rows, k) for k in sums})
-    return found.select(*keys, _let(F.transform("__blocks", block_view), whole).alias("__views")).select(*keys, "__views.*")
+    return found.select(*keys, *kept, _let(F.transform("__blocks", block_view), whole).alias("__views")).select(*keys, *kept, "__views.*")

@@ -115,6 +115,7 @@ def test_texts_are_shuffled_once_and_written_nowhere(spark):
     moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert moved(markdown.structured(docs.hint("merge"), known, ["id"])) <= 2
     assert moved(markdown.structured(docs, known.where("false"), ["id"])) == 0
+    assert moved(export.exported(docs, ["id"])) == 0
     assert set(scratch._written) == kept
 
 
